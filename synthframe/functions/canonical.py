@@ -19,7 +19,7 @@ _DECIMAL = r"^\s*[+-]?[0-9]*\.?[0-9]*\s*$"
 
 def canonical_text(column: Column, data_type: T.DataType) -> Column:
     """Explicit format per type, so that no engine default decides how a value reads."""
-    if isinstance(data_type, T.TimestampType):
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(column, TIMESTAMP_FORMAT)
     if isinstance(data_type, T.DateType):
         return F.date_format(column, DATE_FORMAT)

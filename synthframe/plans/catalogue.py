@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("identity", "generation")
+SECTIONS = ("identity", "conversion", "generation", "verbs", "profiles")
 
 
 def _registries():

@@ -1,0 +1,65 @@
+"""Tables of plain Parquet that change by writing a new version next to the one being read."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.verbs import delete_by_ids
+from ..session import scratch_path
+
+
+class VersionedTable:
+    """``<path>/v=<n>`` folders; readers see the newest one whose write was committed."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def versions(self) -> list[int]:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(conf)
+        if not fs.exists(root):
+            return []
+        found = []
+        for status in fs.listStatus(root):
+            match = re.fullmatch(r"v=(\d+)", status.getPath().getName())
+            if match and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+                found.append(int(match.group(1)))
+        return sorted(found)
+
+    def version_path(self, version: int) -> str:
+        return f"{self.path}/v={version}"
+
+    def read(self, version: int | None = None) -> DataFrame:
+        known = self.versions()
+        if not known:
+            raise FileNotFoundError(f"{self.path} has no committed version")
+        return self.spark.read.parquet(self.version_path(known[-1] if version is None else version))
+
+    def replace(self, df: DataFrame) -> DataFrame:
+        """Write the next version from ``df``, which may read the current one."""
+        known = self.versions()
+        df.write.mode("errorifexists").parquet(self.version_path(known[-1] + 1 if known else 1))
+        return self.read()
+
+
+def lifecycle_write(table: VersionedTable, rows: DataFrame, key: str, mode: str) -> DataFrame:
+    """Write ``rows`` and leave what the lifecycle leaves; returns the table afterwards.
+
+    persistent keeps them; transactional writes to a staging folder that is never swapped in;
+    tracked_teardown keeps the written keys on the side and deletes exactly those rows again.
+    """
+    if mode == "persistent":
+        return table.replace(table.read().unionByName(rows))
+    if mode == "transactional":
+        rows.write.parquet(scratch_path(table.spark, "rolled-back"))
+        return table.read()
+    if mode == "tracked_teardown":
+        tracked = scratch_path(table.spark, "tracked-keys")
+        before = table.read()
+        table.replace(before.unionByName(rows))
+        rows.select(key).write.parquet(tracked)
+        return table.replace(delete_by_ids(table.read(), table.spark.read.schema(rows.select(key).schema).parquet(tracked), key))
+    raise ValueError(f"unknown lifecycle '{mode}': persistent, transactional, tracked_teardown")
