@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("identity", "conversion", "generation", "verbs", "profiles")
+SECTIONS = ("identity", "conversion", "generation", "verbs", "references", "profiles")
 
 
 def _registries():
