@@ -69,3 +69,31 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: st
     elif how == "left_anti":
         out = out.unionByName(unmatched)
     return out
+
+
+def small_table(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """A broadcast copy of ``df`` if it has at most ``limit`` rows (checked), else ``df`` itself."""
+    head = df.limit(limit + 1).collect()
+    if len(head) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+
+
+def last_before(df: DataFrame, keys: Sequence[str], major: str, minor: str, value: str, name: str,
+                block: int = 100_000) -> DataFrame:
+    """Adds ``name``: the last non-null ``value`` of earlier rows of the key, in (major, minor) order.
+
+    A key's rows are cut into blocks of ``minor``; a window runs inside a block and another over
+    the blocks, so one key that owns most rows is still spread over many tasks.
+    """
+    from pyspark.sql import Window
+    keys = list(keys)
+    cut = df.withColumn("_block", F.floor(F.col(minor) / F.lit(block)))
+    place = [*keys, major, "_block"]
+    ends = cut.groupBy(*place).agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(minor))).alias("_end"))
+    over_blocks = Window.partitionBy(*keys).orderBy(major, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*place, F.last("_end", ignorenulls=True).over(over_blocks).alias("_carried"))
+    inside = Window.partitionBy(*place).orderBy(minor).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
+    return (local.join(carried, place).withColumn(name, F.coalesce("_local", "_carried"))
+            .drop("_block", "_local", "_carried"))

@@ -390,11 +390,11 @@ def _(t):
 
 
 @reg.add("gen21_source_marker", """
-SELECT o_orderkey, 'AutoFaker+plugin:sku,vat' || CASE WHEN o_orderstatus = 'O' THEN '+distributions' ELSE '' END
+SELECT o_orderkey, 'auto+plugin:sku,vat' || CASE WHEN o_orderstatus = 'O' THEN '+distributions' ELSE '' END
   || CASE WHEN o_orderkey % 2 = 0 THEN '+datasets' ELSE '' END AS source FROM orders""")
 def _(t):
     return t.orders.select("o_orderkey", gen.source_marker(
-        "AutoFaker", ("sku", "vat"), distributions=F.col("o_orderstatus") == "O",
+        "auto", ("sku", "vat"), distributions=F.col("o_orderstatus") == "O",
         datasets=F.col("o_orderkey") % 2 == 0).alias("source"))
 
 
