@@ -71,7 +71,7 @@ def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "property", "value")
-    return order_statistics(long, ["property"], "value", [upper_median("median")], groups_bound=len(columns))
+    return order_statistics(long, ["property"], "value", [upper_median("median")])
 
 
 def _with_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("identity", "conversion", "generation", "verbs", "references", "records", "playback", "profiles")
+SECTIONS = ("identity", "conversion", "generation", "verbs", "references", "records", "playback", "profiles", "benchmarks", "rules")
 
 
 def _registries():
