@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-SECTIONS = ("identity", "conversion", "generation", "verbs", "references", "records", "playback", "profiles", "benchmarks", "rules")
+SECTIONS = ("io", "identity", "conversion", "generation", "verbs", "references", "records", "playback", "profiles",
+            "benchmarks", "rules", "streams")
 
 
 def _registries():
