@@ -110,11 +110,12 @@ def _positive(value: float, kind: str) -> float:
     return value
 
 
-def weighted(u: Column, weights: Mapping[str, float]) -> Column:
-    """Weighted label: the first label, in code point order, whose running weight exceeds the roll.
+# Up to this many labels a draw compares with every step; beyond it the steps form a search tree.
+LINEAR_LABELS = 128
+
 
-    The steps form a balanced tree of comparisons, so a draw costs log2(labels) comparisons.
-    """
+def weighted(u: Column, weights: Mapping[str, float]) -> Column:
+    """Weighted label: the first label, in code point order, whose running weight exceeds the roll."""
     if not weights:
         raise ValueError("weights must contain at least one value")
     labels = sorted(weights)
@@ -125,6 +126,12 @@ def weighted(u: Column, weights: Mapping[str, float]) -> Column:
     if running <= 0:
         raise ValueError("weights must sum to a positive number")
     roll = u * F.lit(running)
+    if len(labels) <= LINEAR_LABELS:
+        # unconditional comparisons share one evaluation of the draw
+        passed = F.lit(1)
+        for step in steps[:-1]:
+            passed = passed + (roll >= F.lit(step)).cast("int")
+        return F.element_at(F.array(*[F.lit(label) for label in labels]), passed)
 
     def pick(first: int, last: int) -> Column:
         if first == last:

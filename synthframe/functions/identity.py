@@ -14,14 +14,12 @@ _NAMESPACE_BYTES = NAMESPACE.replace("-", "").upper()
 def uuid5_name(name: Column) -> Column:
     """Version 5 UUID of a name; null stays null. Runs inside whole-stage codegen."""
     digest = F.sha1(F.concat(F.unhex(F.lit(_NAMESPACE_BYTES)), F.encode(name, "utf-8")))
+    # The digest is named only twice: inside a conditional it would be hashed once per mention.
+    dashed = digest
+    for text, position, length in (("-", 9, 0), ("-5", 14, 1), ("-", 19, 0), ("-", 24, 0)):
+        dashed = F.overlay(dashed, F.lit(text), position, length)
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat(
-        F.substring(digest, 1, 8), F.lit("-"),
-        F.substring(digest, 9, 4), F.lit("-5"),
-        F.substring(digest, 14, 3), F.lit("-"), variant,
-        F.substring(digest, 18, 3), F.lit("-"),
-        F.substring(digest, 21, 12),
-    )
+    return F.overlay(F.substring(dashed, 1, 36), variant, 20, 1)
 
 
 def _text(value: Column | str | int) -> Column:

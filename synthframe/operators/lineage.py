@@ -62,8 +62,10 @@ def position_of_refs():
 def lineage_nodes(entities: DataFrame, bulk: DataFrame, refs: DataFrame, threshold: int = AGGREGATE_FROM) -> DataFrame:
     """``node_id, title, subtitle, domain, external``: created nodes and the outside targets."""
     rows = node_of_rows(entities, bulk, threshold)
-    made = rows.groupBy("node_id").agg(F.min("title").alias("title"), F.min("subtitle").alias("subtitle"), F.min("domain").alias("domain"))
-    beyond = resolve_targets(refs, rows).filter("external").groupBy("target_id").agg(F.min("target").alias("t"), F.min("owning_domain").alias("d"))
+    made = rows.select("node_id", "title", "subtitle", "domain").distinct()  # the node decides its texts
+    texts = F.split("target_id", ":", 3)
+    beyond = resolve_targets(refs, rows).filter("external").select("target_id").distinct().select(
+        "target_id", texts[2].alias("t"), texts[1].alias("d"))
     name = F.when(F.contains("t", F.lit(":")), F.substring_index("t", ":", 1)).otherwise(F.col("t"))
     key = F.when(F.contains("t", F.lit(":")), F.expr("substring(t, instr(t, ':') + 1)")).otherwise("")
     outside = beyond.select(F.col("target_id").alias("node_id"), name.alias("title"),
