@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from ..functions.canonical import snapshot, values_equal
 from ..functions.convert import typed_convert
 from ..spec import normalize
-from .references import parents_by_key
 from .skew import join_per_key, last_before, small_table
 
 WRITING_VERBS = ("Create", "Projection", "Update")
@@ -61,16 +60,16 @@ def fold_expected(entities: DataFrame, scenarios: DataFrame) -> DataFrame:
 def find_recorded(expected: DataFrame, actual: DataFrame, row_id: str, natural_key: str, columns: Sequence[str]) -> DataFrame:
     """Adds ``found`` and ``actual_values`` (text map): by id, and only without an id by natural key."""
     held = actual.select(F.col(row_id).cast("string").alias("id"), F.col(natural_key).cast("string").alias("_nk"),
-                         snapshot(actual, columns).alias("_v"))
-    by_id = held.filter(F.col("id").isNotNull()).select("id", F.col("_v").alias("_by_id"))
-    single = parents_by_key(held, "_nk", "id").filter(F.col("_rows") == 1).select("_nk")
-    by_key = held.join(single, "_nk", "left_semi").select("_nk", F.col("_v").alias("_by_key"))
+                         snapshot(actual, columns).alias("actual_values"))
     with_id, without = expected.filter(F.col("id").isNotNull()), expected.filter(F.col("id").isNull())
-    found = (join_per_key(with_id, by_id, ["id"]).withColumn("_by_key", F.lit(None).cast(held.schema["_v"].dataType))
-             .unionByName(join_per_key(without.withColumn("_nk", F.col("natural_key")), by_key, ["_nk"]).drop("_nk")
-                          .withColumn("_by_id", F.lit(None).cast(held.schema["_v"].dataType))))
-    return (found.withColumn("actual_values", F.coalesce("_by_id", "_by_key"))
-            .withColumn("found", F.col("actual_values").isNotNull()).drop("_by_id", "_by_key"))
+    by_id = join_per_key(with_id, held.filter(F.col("id").isNotNull()).select("id", "actual_values"), ["id"])
+    # only keys that are asked for, and of those only the ones a single row has
+    asked = held.join(without.select(F.col("natural_key").alias("_nk")).distinct(), "_nk", "left_semi")
+    single = asked.groupBy("_nk").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") == 1).select("_nk")
+    one = asked.join(single, "_nk", "left_semi").select("_nk", "actual_values")
+    by_key = join_per_key(without.withColumn("_nk", F.col("natural_key")), one, ["_nk"]).drop("_nk")
+    found = by_id.unionByName(by_key)
+    return found.withColumn("found", F.col("actual_values").isNotNull())
 
 
 def drift_rows(found: DataFrame) -> DataFrame:
