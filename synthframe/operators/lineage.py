@@ -12,6 +12,8 @@ from ..session import scratch_path
 from .records import CREATING_VERBS
 from .skew import join_per_key
 
+# Kinds of node ids, and from how many rows on a scenario's entity is one node.
+SINGLE, AGGREGATE, OUTSIDE = "ent", "agg", "ext"
 AGGREGATE_FROM = 10
 MAX_DEPTH = 64
 
@@ -32,8 +34,8 @@ def node_of_rows(entities: DataFrame, bulk: DataFrame, threshold: int = AGGREGAT
     many = F.col("_bulk").isNotNull() | (F.col("_members") >= threshold)
     key = F.coalesce("natural_key", "id")
     single = F.coalesce(key, F.concat(F.col("scenario_seq").cast("string"), F.lit("#"), F.col("ordinal").cast("string")))
-    node = F.when(many, F.concat_ws(":", F.lit("agg"), F.col("scenario_seq").cast("string"), "domain", "entity")).otherwise(
-        F.concat_ws(":", F.lit("ent"), "domain", "entity", single))
+    node = F.when(many, F.concat_ws(":", F.lit(AGGREGATE), F.col("scenario_seq").cast("string"), "domain", "entity")).otherwise(
+        F.concat_ws(":", F.lit(SINGLE), "domain", "entity", single))
     title = F.when(many, F.concat(F.coalesce("_bulk", "_members").cast("string"), F.lit(" × "), "entity")).otherwise(F.col("entity"))
     subtitle = F.when(many | key.isNull(), F.col("domain")).otherwise(F.concat(key, F.lit(" · "), "domain"))
     return rows.select("scenario_seq", "ordinal", "domain", "entity", "id", "natural_key", many.alias("aggregate"),
@@ -47,7 +49,7 @@ def resolve_targets(refs: DataFrame, rows: DataFrame) -> DataFrame:
     by_key = (rows.filter((F.col("natural_key") != "") & ~F.col("aggregate"))
               .groupBy(F.lower(F.concat("entity", F.lit(":"), "natural_key")).alias("_key")).agg(F.min_by("node_id", position).alias("_by_key")))
     outside = refs.groupBy(F.lower("target").alias("_key")).agg(
-        F.min_by(F.concat(F.lit("ext:"), F.coalesce("owning_domain", F.lit("")), F.lit(":"), "target"), position_of_refs()).alias("_outside"))
+        F.min_by(F.concat(F.lit(f"{OUTSIDE}:"), F.coalesce("owning_domain", F.lit("")), F.lit(":"), "target"), position_of_refs()).alias("_outside"))
     found = join_per_key(refs.withColumn("_id", F.lower("id")), by_id, ["_id"])
     found = join_per_key(found.withColumn("_key", F.lower("target")), outside.join(by_key, "_key", "left"), ["_key"])
     known = F.coalesce("_by_id", "_by_key")

@@ -92,10 +92,10 @@ def drift_values(found: DataFrame) -> DataFrame:
 def unverifiable_bulk(bulk: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Bulk operations of played scenarios whose rows were only hashed: a warning each."""
     kept = scenarios.filter((F.col("lifecycle") == "Persistent") & (F.col("outcome") != "Skipped")).select("scenario_seq", "scenario")
-    return bulk.filter(F.col("hashed_rows") > 0).join(kept, "scenario_seq").select(
-        "scenario_seq", "domain", "entity", F.concat(
-            F.lit("["), "scenario", F.lit("] bulk create of "), F.col("count").cast("string"), F.lit(" "), "entity",
-            F.lit(" row(s): only "), F.col("sampled_rows").cast("string"), F.lit(" sampled row(s) are verifiable")).alias("warning"))
+    hashed = join_per_key(bulk.filter(F.col("hashed_rows") > 0), kept, ["scenario_seq"], "inner")
+    return hashed.select("scenario_seq", "domain", "entity", F.concat(
+        "scenario", F.lit(": "), F.col("sampled_rows").cast("string"), F.lit(" of "), F.col("count").cast("string"),
+        F.lit(" bulk rows of "), "entity", F.lit(" were recorded one by one; the rest cannot be checked")).alias("warning"))
 
 
 def drift_report(found: DataFrame, scenarios: DataFrame, warnings: int = 0) -> DataFrame:

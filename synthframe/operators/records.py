@@ -226,13 +226,13 @@ def findings(violations: DataFrame, unmatched: DataFrame, scenarios: DataFrame,
 
     names = scenarios.select("scenario_seq", "scenario", F.col("line").alias("at"))
     nothing = F.lit(None)
-    broken = rows(violations, "0004", "error", F.concat(F.lit("["), "rule", F.lit("] "), "message"), nothing, F.lit(0))
-    strays = rows(unmatched.join(names, "scenario_seq"), "0001", "warning", F.concat(
-        F.lit("Unmatched step in '"), "scenario", F.lit("': "), "text"), F.col("scenario_seq"), F.col("line"))
+    broken = rows(violations, "0004", "error", F.concat("rule", F.lit(": "), "message"), nothing, F.lit(0))
+    strays = rows(join_per_key(unmatched, names, ["scenario_seq"], "inner"), "0001", "warning", F.concat(
+        F.lit("no rule for a step of "), "scenario", F.lit(": "), "text"), F.col("scenario_seq"), F.col("line"))
     raised = scenarios.select("scenario_seq", F.explode("warnings").alias("w")).unionByName(
         entities.select("scenario_seq", F.explode("warnings").alias("w")))
-    warned = rows(raised.join(names, "scenario_seq"), "0002", "warning", F.concat(
-        F.lit("'"), "scenario", F.lit("': "), "w"), F.col("scenario_seq"), F.col("at"))
+    warned = rows(join_per_key(raised, names, ["scenario_seq"], "inner"), "0002", "warning", F.concat(
+        "scenario", F.lit(": "), "w"), F.col("scenario_seq"), F.col("at"))
     failed = rows(scenarios.filter(F.col("outcome") == "Failed"), "0003", "error", F.concat(
-        F.lit("Scenario '"), "scenario", F.lit("' failed.")), F.col("scenario_seq"), F.col("line"))
+        "scenario", F.lit(" ended as failed")), F.col("scenario_seq"), F.col("line"))
     return broken.unionByName(strays).unionByName(warned).unionByName(failed)

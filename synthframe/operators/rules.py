@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 from ..functions.names import singularize
 
 
+# Names of the rules.
+STEP_ROWS = "MaxBulkRowsPerStep"
+RUN_ROWS = "MaxCreatedRowsPerRun"
+BANNED = "BannedEntities"
+TAGS = "RequiredTags"
+LIFECYCLES = "AllowedLifecycles"
+REGISTRY = "KeyRegistry"
+NO_ENVIRONMENT = "UnknownEnvironment"
+
+
 def _rows():
     return F.coalesce("inline_rows", "count")
 
@@ -25,19 +35,19 @@ def _finding(df: DataFrame, rule: str, *message) -> DataFrame:
 
 def max_rows_per_step(steps: DataFrame, limit: int) -> DataFrame:
     big = steps.filter((F.col("verb") == "create") & (_rows() > limit))
-    return _finding(big, "MaxBulkRowsPerStep", "[", F.col("scenario"), "] creates ", _rows().cast("string"), " row(s) of '",
-                    F.col("entity"), f"', exceeding the max of {limit}.")
+    return _finding(big, STEP_ROWS, F.col("scenario"), ": a step asks for ", _rows().cast("string"), " rows of ",
+                    F.col("entity"), f"; the limit is {limit}")
 
 
 def max_rows_total(steps: DataFrame, limit: int) -> DataFrame:
     total = steps.filter(F.col("verb") == "create").agg(F.sum(_rows()).alias("total")).filter(F.col("total") > limit)
-    return _finding(total, "MaxCreatedRowsPerRun", "Run would create ", F.col("total").cast("string"), f" row(s) total, exceeding the max of {limit}.")
+    return _finding(total, RUN_ROWS, "all steps ask for ", F.col("total").cast("string"), f" rows; the limit is {limit}")
 
 
 def banned_entities(steps: DataFrame, banned: Sequence[str], environment: str) -> DataFrame:
     """Any verb, names in any case. The list comes from the settings."""
     hit = steps.filter(F.lower("entity").isin([b.lower() for b in banned]))
-    return _finding(hit, "BannedEntities", "[", F.col("scenario"), "] targets banned entity '", F.col("entity"), f"' in environment '{environment}'.")
+    return _finding(hit, BANNED, F.col("scenario"), ": ", F.col("entity"), f" is banned in {environment}")
 
 
 def required_tags(scenarios: DataFrame, tags: Sequence[str]) -> DataFrame:
@@ -46,13 +56,12 @@ def required_tags(scenarios: DataFrame, tags: Sequence[str]) -> DataFrame:
     missing = F.filter(wanted, lambda need: ~F.exists("tags", lambda tag: (
         (F.lower(tag) == F.lower(need)) | F.startswith(F.lower(tag), F.concat(F.lower(need), F.lit(":"))))))
     lacking = scenarios.withColumn("_missing", missing).filter(F.size("_missing") > 0)
-    return _finding(lacking, "RequiredTags", "Scenario '", F.col("scenario"), "' is missing required tag(s): ", F.array_join("_missing", ", "), ".")
+    return _finding(lacking, TAGS, F.col("scenario"), ": no tag ", F.array_join("_missing", ", "))
 
 
 def allowed_lifecycles(scenarios: DataFrame, allowed: Sequence[str]) -> DataFrame:
     outside = scenarios.filter(F.col("lifecycle").isNotNull() & ~F.col("lifecycle").isin(*allowed))
-    return _finding(outside, "AllowedLifecycles", "Scenario '", F.col("scenario"), "' overrides lifecycle to '", F.col("lifecycle"),
-                    f"', not permitted (allowed: {', '.join(allowed)}).")
+    return _finding(outside, LIFECYCLES, F.col("scenario"), ": lifecycle ", F.col("lifecycle"), f" is not one of {', '.join(allowed)}")
 
 
 def rule_report(spark: SparkSession, environments: Mapping[str, Mapping], environment: str, steps: DataFrame,
@@ -60,7 +69,7 @@ def rule_report(spark: SparkSession, environments: Mapping[str, Mapping], enviro
     """All checks that the environment asks for; an unknown environment is a single finding."""
     rules = {name.lower(): r for name, r in environments.items()}.get(environment.lower())
     if rules is None:
-        return spark.createDataFrame([("UnknownEnvironment", f"environment '{environment}' is not configured.")], "rule string, message string")
+        return spark.createDataFrame([(NO_ENVIRONMENT, f"no rules for environment {environment}")], "rule string, message string")
     found = spark.createDataFrame([], "rule string, message string")
     if rules.get("allowed_lifecycles"):
         found = found.unionByName(allowed_lifecycles(scenarios, rules["allowed_lifecycles"]))
@@ -90,5 +99,4 @@ def key_registry(refs: DataFrame, keys: DataFrame, patterns: DataFrame) -> DataF
     distinct = asked.select("_d", "_e", "key", "domain", "entity").distinct()
     unknown = (distinct.join(governed, ["_d", "_e"]).join(named(keys, "key").distinct(), ["_d", "_e", "key"], "left_anti")
                .filter(~F.coalesce(F.expr("key rlike pattern"), F.lit(False))))
-    return _finding(unknown, "KeyRegistry", "external reference ", singularize(F.col("entity")), ' "', F.col("key"), '" from \'',
-                    F.col("domain"), "' is not declared in that domain's key registry.")
+    return _finding(unknown, REGISTRY, F.col("domain"), " has not published ", singularize(F.col("entity")), " ", F.col("key"))

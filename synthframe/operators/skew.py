@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 # Below this estimated size no key can fill a task, so heavy keys are not looked for.
 CHECK_FROM_BYTES = 1 << 30
-# A key is heavy from one row in 256 of the sample on: there are at most 256 such keys.
-HEAVY_SHARE = 256
+# At most this many keys, the most frequent ones of the sample, travel as heavy keys.
+HEAVY_KEYS = 256
 SAMPLE = 0.02
 SAMPLE_ROWS = 1000
 
@@ -34,7 +34,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 def heavy_keys(rows: DataFrame, on: Sequence[str], check_from_bytes: int = CHECK_FROM_BYTES, sample: float = SAMPLE,
                sample_rows: int = SAMPLE_ROWS) -> list:
-    """At most ``HEAVY_SHARE`` keys that dominate a sample; none for tables below the size limit.
+    """At most ``HEAVY_KEYS`` keys that dominate a sample; none for tables below the size limit.
 
     Which keys are found only decides how rows travel, never the result.
     """
@@ -44,11 +44,8 @@ def heavy_keys(rows: DataFrame, on: Sequence[str], check_from_bytes: int = CHECK
     if sample < 1.0:
         keys = keys.sample(fraction=sample, seed=17)
     top = (keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") >= sample_rows).orderBy(F.desc("_n")).limit(HEAVY_SHARE).collect())
-    if not top:
-        return []
-    total = keys.count()
-    return [row[:-1] for row in top if row["_n"] * HEAVY_SHARE >= total]
+           .filter(F.col("_n") >= sample_rows).orderBy(F.desc("_n")).limit(HEAVY_KEYS).collect())
+    return [row[:-1] for row in top]
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left", **detection) -> DataFrame:

@@ -69,10 +69,13 @@ def find_by_natural_key(df: DataFrame, keys: DataFrame, natural_key: str, row_id
     ``keys`` has one column ``key``. Status is missing, unique or ambiguous; of an ambiguous key
     two ids are named, however many rows it has.
     """
-    found = df.groupBy(F.col(natural_key).alias("key")).agg(
+    wanted = keys.select("key").distinct()
+    # only rows of wanted keys are grouped: with few keys the table itself is not shuffled
+    asked = df.withColumn("key", F.col(natural_key)).join(wanted, "key", "left_semi")
+    found = asked.groupBy("key").agg(
         F.count(F.lit(1)).alias("rows"), F.min(row_id).alias("first_id"), F.max(row_id).alias("last_id"))
     status = F.when(F.col("rows") == 1, "unique").when(F.col("rows") > 1, "ambiguous").otherwise("missing")
-    return keys.select("key").distinct().join(found, "key", "left").select(
+    return wanted.join(found, "key", "left").select(
         "key", status.alias("status"), F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), "first_id", "last_id")
 
 
@@ -90,9 +93,9 @@ def assert_exists(df: DataFrame, expectations: DataFrame, natural_key: str) -> D
     fields = {f.name: f for f in df.schema.fields if f.name != natural_key}
     names = sorted(fields)
     wanted = expectations.select("key", "property", "expected")
-    found = df.groupBy(F.col(natural_key).alias("key")).agg(F.count(F.lit(1)).alias("_rows"))
-    asked = wanted.select(F.col("key").alias(natural_key)).distinct()
-    held = snapshot_long(df.join(asked, natural_key, "left_semi").withColumn("key", F.col(natural_key)), ["key"], names).withColumnRenamed("value", "actual")
+    asked = df.join(wanted.select(F.col("key").alias(natural_key)).distinct(), natural_key, "left_semi").withColumn("key", F.col(natural_key))
+    found = asked.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
+    held = snapshot_long(asked, ["key"], names).withColumnRenamed("value", "actual")
     # rows of ambiguous keys are not compared; the others have one value per (key, property)
     held = held.groupBy("key", "property").agg(F.min("actual").alias("actual"))
     canonical, error = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -146,7 +149,8 @@ def create_or_reuse(target: DataFrame, rows: DataFrame, natural_key: str, order:
     share cannot be reused, so its row is inserted.
     """
     batch = fold_batch(rows, natural_key, order, set_columns)
-    stored = target.groupBy(natural_key).agg(F.count(F.lit(1)).alias("_stored"))
+    asked = target.select(natural_key).join(batch.select(natural_key), natural_key, "left_semi")
+    stored = asked.groupBy(natural_key).agg(F.count(F.lit(1)).alias("_stored"))
     batch = batch.join(stored, natural_key, "left").withColumn("_stored", F.coalesce("_stored", F.lit(0)))
 
     changes = batch.filter(F.col("_stored") == 1).select(
@@ -179,7 +183,8 @@ def update_by_key(df: DataFrame, changes: DataFrame, natural_key: str, columns:
     position = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
     folded = changes.groupBy(natural_key).agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_set_{c}") for c in columns])
-    single = df.groupBy(natural_key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") == 1)
+    asked = df.select(natural_key).join(folded.select(natural_key), natural_key, "left_semi")
+    single = asked.groupBy(natural_key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") == 1)
     usable = folded.join(single, natural_key, "left_semi")
     return join_per_key(df, usable, [natural_key]).select(*[
         F.coalesce(F.col(f"_set_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])

@@ -144,8 +144,8 @@ def _(t):
 
 
 @reg.add("drf9_unverifiable_bulk", f"""
-SELECT b.scenario_seq, domain, entity, '[' || scenario || '] bulk create of ' || count::VARCHAR || ' ' || entity || ' row(s): only '
-  || sampled_rows::VARCHAR || ' sampled row(s) are verifiable' AS warning
+SELECT b.scenario_seq, domain, entity, scenario || ': ' || sampled_rows::VARCHAR || ' of ' || count::VARCHAR || ' bulk rows of ' || entity
+  || ' were recorded one by one; the rest cannot be checked' AS warning
 FROM {fx.BULK_SQL} b JOIN {fx.SCENARIOS_SQL} s ON b.scenario_seq = s.scenario_seq
 WHERE hashed_rows > 0 AND lifecycle = 'Persistent' AND outcome <> 'Skipped'""")
 def _(t):

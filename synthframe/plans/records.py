@@ -176,14 +176,14 @@ _VIOLATIONS_SQL = """(SELECT 'maxRows' AS rule, 'step ' || o_orderpriority || '
 
 
 @reg.add("man14_findings", f"""
-SELECT '{RULE}0004' AS rule_id, 'error' AS level, '[' || rule || '] ' || message AS message, NULL::BIGINT AS scenario_seq, 0::BIGINT AS line
+SELECT '{RULE}0004' AS rule_id, 'error' AS level, rule || ': ' || message AS message, NULL::BIGINT AS scenario_seq, 0::BIGINT AS line
 FROM {_VIOLATIONS_SQL} UNION ALL
-SELECT '{RULE}0001', 'warning', 'Unmatched step in ''' || scenario || ''': ' || text, u.scenario_seq, u.line
+SELECT '{RULE}0001', 'warning', 'no rule for a step of ' || scenario || ': ' || text, u.scenario_seq, u.line
 FROM {fx.UNMATCHED_SQL} u JOIN {fx.SCENARIOS_SQL} s ON u.scenario_seq = s.scenario_seq UNION ALL
-SELECT '{RULE}0002', 'warning', '''' || scenario || ''': ' || w, s.scenario_seq, s.line FROM {fx.SCENARIOS_SQL} s JOIN (
+SELECT '{RULE}0002', 'warning', scenario || ': ' || w, s.scenario_seq, s.line FROM {fx.SCENARIOS_SQL} s JOIN (
   SELECT scenario_seq, warning AS w FROM {fx.ENTITIES_SQL} UNION ALL SELECT scenario_seq, warning FROM {fx.SCENARIOS_SQL}) x
   ON s.scenario_seq = x.scenario_seq AND w IS NOT NULL UNION ALL
-SELECT '{RULE}0003', 'error', 'Scenario ''' || scenario || ''' failed.', scenario_seq, line FROM {fx.SCENARIOS_SQL} WHERE outcome = 'Failed'""")
+SELECT '{RULE}0003', 'error', scenario || ' ended as failed', scenario_seq, line FROM {fx.SCENARIOS_SQL} WHERE outcome = 'Failed'""")
 def _(t):
     violations = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("maxRows").alias("rule"), F.concat(F.lit("step "), "o_orderpriority", F.lit(" asks for "), F.col("n").cast("string")).alias("message"))

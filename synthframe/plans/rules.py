@@ -14,21 +14,21 @@ _ROWS = "coalesce(inline_rows, count)"
 
 
 @reg.add("pol1_max_rows_per_step", f"""
-SELECT 'MaxBulkRowsPerStep' AS rule, '[' || scenario || '] creates ' || {_ROWS}::VARCHAR || ' row(s) of ''' || entity || ''', exceeding the max of 15.' AS message
+SELECT 'MaxBulkRowsPerStep' AS rule, scenario || ': a step asks for ' || {_ROWS}::VARCHAR || ' rows of ' || entity || '; the limit is 15' AS message
 FROM {fx.STEPS_SQL} WHERE verb = 'create' AND {_ROWS} > 15""")
 def _(t):
     return rl.max_rows_per_step(fx.steps(t), 15)
 
 
 @reg.add("pol2_max_rows_total", f"""
-SELECT 'MaxCreatedRowsPerRun' AS rule, 'Run would create ' || sum({_ROWS})::VARCHAR || ' row(s) total, exceeding the max of 100.' AS message
+SELECT 'MaxCreatedRowsPerRun' AS rule, 'all steps ask for ' || sum({_ROWS})::VARCHAR || ' rows; the limit is 100' AS message
 FROM {fx.STEPS_SQL} WHERE verb = 'create' HAVING sum({_ROWS}) > 100""")
 def _(t):
     return rl.max_rows_total(fx.steps(t), 100)
 
 
 @reg.add("pol3_banned_entities", f"""
-SELECT 'BannedEntities' AS rule, '[' || scenario || '] targets banned entity ''' || entity || ''' in environment ''prod''.' AS message
+SELECT 'BannedEntities' AS rule, scenario || ': ' || entity || ' is banned in prod' AS message
 FROM {fx.STEPS_SQL} WHERE entity = 'F'""")
 def _(t):
     return rl.banned_entities(fx.steps(t), ["f", "Z"], "prod")
@@ -48,14 +48,14 @@ def _tagged(t):
 
 
 @reg.add("pol4_required_tags", f"""
-SELECT 'RequiredTags' AS rule, 'Scenario ''' || scenario || ''' is missing required tag(s): ' ||
-  CASE WHEN user_id % 3 = 1 THEN 'owner, Smoke' ELSE 'Smoke' END || '.' AS message FROM {_TAGGED_SQL} WHERE user_id % 3 <> 0""")
+SELECT 'RequiredTags' AS rule, scenario || ': no tag ' ||
+  CASE WHEN user_id % 3 = 1 THEN 'owner, Smoke' ELSE 'Smoke' END AS message FROM {_TAGGED_SQL} WHERE user_id % 3 <> 0""")
 def _(t):
     return rl.required_tags(_tagged(t), ["owner", "Smoke"])
 
 
-_LIFE_SQL = f"""SELECT 'AllowedLifecycles' AS rule, 'Scenario ''' || scenario || ''' overrides lifecycle to ''' ||
-  CASE user_id % 4 WHEN 0 THEN 'Transactional' ELSE 'TrackedTeardown' END || ''', not permitted (allowed: Persistent).' AS message
+_LIFE_SQL = f"""SELECT 'AllowedLifecycles' AS rule, scenario || ': lifecycle ' ||
+  CASE user_id % 4 WHEN 0 THEN 'Transactional' ELSE 'TrackedTeardown' END || ' is not one of Persistent' AS message
 FROM {_TAGGED_SQL} WHERE user_id % 4 IN (0, 2)"""
 
 
@@ -65,8 +65,8 @@ def _(t):
 
 
 @reg.add("pol6_rule_report", f"""{_LIFE_SQL} UNION ALL
-SELECT 'BannedEntities', '[' || scenario || '] targets banned entity ''' || entity || ''' in environment ''Prod''.' FROM {fx.STEPS_SQL} WHERE entity = 'P' UNION ALL
-SELECT 'MaxBulkRowsPerStep', '[' || scenario || '] creates ' || {_ROWS}::VARCHAR || ' row(s) of ''' || entity || ''', exceeding the max of 20.'
+SELECT 'BannedEntities', scenario || ': ' || entity || ' is banned in Prod' FROM {fx.STEPS_SQL} WHERE entity = 'P' UNION ALL
+SELECT 'MaxBulkRowsPerStep', scenario || ': a step asks for ' || {_ROWS}::VARCHAR || ' rows of ' || entity || '; the limit is 20'
 FROM {fx.STEPS_SQL} WHERE verb = 'create' AND {_ROWS} > 20""")
 def _(t):
     environments = {"PROD": {"allowed_lifecycles": ["Persistent"], "max_rows_per_step": 20, "banned_entities": ["p"]}}
@@ -74,7 +74,7 @@ def _(t):
 
 
 @reg.add("pol7_key_registry", """
-SELECT 'KeyRegistry' AS rule, 'external reference ' || e || ' "' || key || '" from ''' || domain || ''' is not declared in that domain''s key registry.' AS message
+SELECT 'KeyRegistry' AS rule, domain || ' has not published ' || e || ' ' || key AS message
 FROM (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'Brand' WHEN 1 THEN 'Size' ELSE 'Type' END AS e, CASE WHEN p_partkey % 5 = 0 THEN 'Stock' ELSE 'Catalog' END AS domain,
     CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'size-' || p_size::VARCHAR ELSE p_type END AS key FROM part)
 WHERE domain = 'Catalog' AND (e = 'Brand' AND key NOT IN (SELECT p_brand FROM part WHERE p_size = 50) AND NOT regexp_matches(key, '^Brand#1[0-9]$')

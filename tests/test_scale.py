@@ -28,7 +28,7 @@ def test_heavy_keys_join_like_others(spark, hot, rows, how):
 
 def test_heavy_keys_are_few(hot):
     found = skew.heavy_keys(hot, ["k"], check_from_bytes=0, sample=1.0, sample_rows=1)
-    assert 0 < len(found) <= skew.HEAVY_SHARE
+    assert 0 < len(found) <= skew.HEAVY_KEYS
     assert ("hot",) in [tuple(k) for k in found]
 
 
