@@ -14,12 +14,12 @@ _NAMESPACE_BYTES = NAMESPACE.replace("-", "").upper()
 def uuid5_name(name: Column) -> Column:
     """Version 5 UUID of a name; null stays null. Runs inside whole-stage codegen."""
     digest = F.sha1(F.concat(F.unhex(F.lit(_NAMESPACE_BYTES)), F.encode(name, "utf-8")))
-    # The digest is named only twice: inside a conditional it would be hashed once per mention.
-    dashed = digest
-    for text, position, length in (("-", 9, 0), ("-5", 14, 1), ("-", 19, 0), ("-", 24, 0)):
-        dashed = F.overlay(dashed, F.lit(text), position, length)
+    # Mentions of the digest share one evaluation as long as the id is not inside a conditional:
+    # callers choose between names, not between ids.
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.overlay(F.substring(dashed, 1, 36), variant, 20, 1)
+    return F.concat(
+        F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3),
+        F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))
 
 
 def _text(value: Column | str | int) -> Column:
@@ -34,15 +34,20 @@ def joined_name(*parts: Column | str | int) -> Column:
     return F.concat(*pieces[1:])
 
 
+def natural_name(domain: Column | str, entity: Column | str, key: Column | str) -> Column:
+    return joined_name(domain, entity, key)
+
+
+def ordinal_name(domain, entity, scenario, seed, ordinal) -> Column:
+    return joined_name(domain, entity, scenario, seed, ordinal)
+
+
 def uuid5_natural(domain: Column | str, entity: Column | str, key: Column | str) -> Column:
     """Identity of a row with a natural key; a null part is a contract violation, not a null id."""
-    name = joined_name(domain, entity, key)
-    return F.coalesce(
-        uuid5_name(name),
-        F.raise_error(F.lit("domain, entity and natural key must not be null")).cast("string"),
-    )
+    problem = F.raise_error(F.lit("domain, entity and natural key must not be null")).cast("string")
+    return uuid5_name(F.coalesce(natural_name(domain, entity, key), problem))
 
 
 def uuid5_ordinal(domain, entity, scenario, seed, ordinal) -> Column:
     """Identity of a row without a natural key: its position in a seeded scenario."""
-    return uuid5_name(joined_name(domain, entity, scenario, seed, ordinal))
+    return uuid5_name(ordinal_name(domain, entity, scenario, seed, ordinal))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import autofake, draws as dr
 from ..functions.convert import typed_convert
-from ..functions.identity import uuid5_natural, uuid5_ordinal
+from ..functions.identity import natural_name, ordinal_name, uuid5_name
 from ..spec import EntitySpec
 from .skew import estimated_bytes
 
@@ -221,14 +221,13 @@ def assign_identity(df: DataFrame, spec: EntitySpec, *, scenario: Column | None
     """
     if not spec.deterministic:
         return df
-    by_ordinal = (F.lit(None).cast("string") if ordinal is None
-                  else uuid5_ordinal(spec.domain, spec.entity, scenario, seed, ordinal))
-    derived = by_ordinal
+    nothing = F.lit(None).cast("string")
+    name = nothing if ordinal is None else ordinal_name(spec.domain, spec.entity, scenario, seed, ordinal)
     if spec.natural_key:
         nk = F.col(spec.natural_key).cast("string")
-        derived = F.when(nk.isNotNull() & (nk != ""), uuid5_natural(spec.domain, spec.entity, nk)).otherwise(by_ordinal)
-    explicit = F.col(override).cast("string") if override else F.lit(None).cast("string")
-    return df.withColumn(spec.key, F.coalesce(explicit, derived))
+        name = F.when(nk.isNotNull() & (nk != ""), natural_name(spec.domain, spec.entity, nk)).otherwise(name)
+    derived = uuid5_name(name)
+    return df.withColumn(spec.key, F.coalesce(F.col(override).cast("string"), derived) if override else derived)
 
 
 def source_marker(base: str, plugins: Sequence[str] = (), *, distributions: Column | bool = False,

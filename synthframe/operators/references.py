@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.identity import uuid5_natural
+from ..functions.identity import natural_name, uuid5_name, uuid5_natural
 from ..functions.names import normalize_name, singularize
 from ..spec import EntitySpec
 from . import generate as gen
@@ -54,8 +54,8 @@ def self_reference(df: DataFrame, parent_key: str, natural_key: str, row_id: str
 
 
 def external_reference(domain: str, entity: str, key: Column) -> Column:
-    """Foreign key into another domain: computed from its identity rule, never joined."""
-    return F.when(key.isNotNull(), uuid5_natural(domain, entity, F.coalesce(key, F.lit(""))))
+    """Foreign key into another domain: computed from its identity rule, never joined; null stays null."""
+    return uuid5_name(natural_name(domain, entity, key))
 
 
 def coerce_key(key: Column, target: str) -> Column:

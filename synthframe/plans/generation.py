@@ -9,6 +9,7 @@ from ..functions import autofake, draws as dr
 from ..functions.canonical import canonical_text
 from ..operators import generate as gen
 from ..operators.profiling import generate_like
+from ..operators.references import external_reference
 from ..spec import EntitySpec, ForeignKey
 from .base import Registry, dbl, sql_draw, sql_normal, sql_pick, sql_uuid5, sql_weighted
 
@@ -91,12 +92,10 @@ FROM (SELECT {_STATUS_SQL} AS status, {_TOTAL_SQL} AS total, {sql_uuid5("'Orders
       FROM orders LEFT JOIN customer ON o_custkey = c_custkey) GROUP BY status""")
 def flagship(t):
     """Orders generated for the stored customers: weighted status, lognormal total, derived ids."""
-    from ..functions.identity import uuid5_natural
     named = t.orders.select(F.col("o_orderkey").alias("ordinal"), "o_custkey").join(
         t.customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left")
     rows = gen.generate(named, order_plan())
-    rows = rows.withColumn("CustomerId", F.when(
-        F.col("c_name").isNotNull(), uuid5_natural("Orders", "Customer", F.col("c_name"))))
+    rows = rows.withColumn("CustomerId", external_reference("Orders", "Customer", F.col("c_name")))
     return rows.groupBy(F.col("Status").alias("status")).agg(
         F.count(F.lit(1)).alias("orders"), F.count("CustomerId").alias("linked"),
         F.sum(F.col("Total").cast("decimal(18,2)")).cast("double").alias("total"),
@@ -284,6 +283,22 @@ def _(t):
         (F.unix_seconds(F.lit("1970-01-01").cast("timestamp") + span) / 60).cast("int").alias("span_minutes"))
 
 
+def _char_sql(u, alphabet):
+    return f"substr('{alphabet}', (floor({u} * {dbl(float(len(alphabet)))}) + 1)::BIGINT, 1)"
+
+
+def _pattern_sql(prop, pattern, draw=lambda prop, k: sql_draw(SEED, "Orders|Product", prop, "p_partkey", k)):
+    parts, k = [], 0
+    for ch in pattern:
+        if ch in "#?":
+            u = draw(prop, k)
+            parts.append(_char_sql(u, "0123456789" if ch == "#" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+            k += 1
+        else:
+            parts.append(f"'{ch.upper()}'")
+    return " || ".join(parts)
+
+
 CONTACT = EntitySpec("Crm", "Contact", T.StructType([
     T.StructField("Id", T.StringType()), T.StructField("OwnerId", T.StringType()),
     T.StructField("FullName", T.StringType()), T.StructField("Email", T.StringType()),
@@ -294,7 +309,28 @@ CONTACT = EntitySpec("Crm", "Contact", T.StructType([
     key="Id", foreign_keys=(ForeignKey("OwnerId", "Customer"),), enums={"Kind": ("Lead", "Client", "Partner")})
 
 
-@reg.add("gen14_autofake")
+def _contact_word(prop, topic, k=0):
+    return sql_pick(sql_draw(11, "Crm|Contact", prop, "c_custkey", k), autofake.VOCABULARY["de"][topic])
+
+
+def _contact_u(prop, k=0):
+    return sql_draw(11, "Crm|Contact", prop, "c_custkey", k)
+
+
+_CONTACT_SQL = f"""
+SELECT c_custkey AS ordinal, {_contact_word('FullName', 'first_name')} || ' ' || {_contact_word('FullName', 'last_name', 1)} AS "FullName",
+  lower({_contact_word('Email', 'first_name')} || '.' || {_contact_word('Email', 'last_name', 1)} ||
+    floor({_contact_u('Email', 2)} * 100)::INT::VARCHAR) || '@example.com' AS "Email",
+  {_contact_word('City', 'city')} AS "City", {_pattern_sql('Sku', 'SKU-####-??', _contact_u)} AS "Sku",
+  upper(substr({_contact_word('Notes', 'word')}, 1, 1)) || substr({_contact_word('Notes', 'word')}, 2)
+    || {" || ".join("' ' || " + _contact_word('Notes', 'word', k) for k in range(1, 6))} || '.' AS "Notes",
+  CAST(CAST(round_even({_contact_u('CreditLimit')} * {dbl(1000.0)}, 2) AS DECIMAL(18,2)) AS VARCHAR) AS "CreditLimit",
+  {sql_pick(_contact_u('Kind'), CONTACT.enums['Kind'])} AS "Kind",
+  strftime(TIMESTAMP '{ANCHOR}' - to_seconds(floor({_contact_u('CreatedUtc')} * {dbl(30 * 86400.0)})::BIGINT), '%Y-%m-%dT%H:%M:%S.%f') AS "CreatedUtc",
+  CASE WHEN {_contact_u('Active')} < {dbl(0.5)} THEN 'true' ELSE 'false' END AS "Active" FROM customer"""
+
+
+@reg.add("gen14_autofake", _CONTACT_SQL)
 def _(t):
     plan = gen.GenerationPlan(spec=CONTACT, seed=11, locale="de", anchor=F.lit(ANCHOR).cast("timestamp"))
     rows = t.customer.select(F.col("c_custkey").alias("ordinal"))
@@ -326,22 +362,6 @@ def _(t):
     return rows.select("c_custkey", "locale", by_locale("city").alias("city"), by_locale("first_name").alias("first_name"))
 
 
-def _char_sql(u, alphabet):
-    return f"substr('{alphabet}', (floor({u} * {dbl(float(len(alphabet)))}) + 1)::BIGINT, 1)"
-
-
-def _pattern_sql(prop, pattern):
-    parts, k = [], 0
-    for ch in pattern:
-        if ch in "#?":
-            u = sql_draw(SEED, "Orders|Product", prop, "p_partkey", k)
-            parts.append(_char_sql(u, "0123456789" if ch == "#" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
-            k += 1
-        else:
-            parts.append(f"'{ch.upper()}'")
-    return " || ".join(parts)
-
-
 @reg.add("gen16_pattern_fill", f"SELECT p_partkey, {_pattern_sql('Sku', 'sku-####-??')} AS sku FROM part")
 def _(t):
     d = dr.Draws(SEED, "Orders", "Product", F.col("p_partkey"))
@@ -417,7 +437,14 @@ def _(t):
     return rows.select("scenario", "ordinal", F.col("Status").alias("status"), F.col("Id").alias("id"))
 
 
-@reg.add("gen23_profile_then_generate")
+@reg.add("gen23_profile_then_generate", f"""
+WITH w AS (SELECT label, share, sum(share) OVER (ORDER BY label) AS running FROM (
+    SELECT o_orderstatus AS label, round_even(count(*) / (SELECT count(*) FROM orders)::DOUBLE, 4) AS share FROM orders GROUP BY 1)),
+g AS (SELECT o_orderkey, min(label) AS label FROM (
+    SELECT o_orderkey, {sql_draw(SEED, 'Profiled|Entity', 'o_orderstatus', 'o_orderkey')} * (SELECT max(running) FROM w) AS roll FROM orders)
+  JOIN w ON roll < running GROUP BY o_orderkey)
+SELECT 'o_orderstatus' AS property, w.label, any_value(w.share) AS source_share,
+  round_even(count(g.label) / (SELECT count(*) FROM orders)::DOUBLE, 4) AS generated_share FROM w LEFT JOIN g ON w.label = g.label GROUP BY w.label""")
 def _(t):
     """Shares per status in the stored orders and in rows generated from their profile."""
     return generate_like(t.orders, "o_orderkey", ["o_orderstatus", "o_totalprice"], seed=SEED).select(
