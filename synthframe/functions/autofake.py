@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .draws import Draws, alphanumeric, chance, pattern_fill, pick_random
+from .identity import joined_name, uuid5_name
 
 # Ordered name rules (rule, how, fragments); the first match decides.
 NAME_RULES = (
@@ -184,6 +185,12 @@ def fake_time(draws: Draws, prop: str) -> Column:
 
 def fake_guid(draws: Draws, prop: str) -> Column:
     """Random-looking but seeded GUID text in lower case."""
-    from .identity import uuid5_name
-    return uuid5_name(F.concat(F.lit(f"{draws.domain}|{draws.entity}|{prop}|"), draws.u(prop).cast("string"),
-                               F.lit("|"), draws.ordinal.cast("string")))
+    return uuid5_name(joined_name("guid", draws.seed, draws.domain, draws.entity, prop, draws.ordinal))
+
+
+def fake_byte(draws: Draws, prop: str) -> Column:
+    return draws.index(prop, 256)
+
+
+# Values of kinds that the Spark type does not tell apart.
+BY_KIND = {"guid": fake_guid, "time": fake_time, "byte": fake_byte}

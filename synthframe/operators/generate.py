@@ -105,7 +105,9 @@ def autofake_columns(df: DataFrame, plan: GenerationPlan, source: dr.Draws) -> D
     for f in spec.generated_fields:
         choices = [p.generate(source, f) for p in sorted(plan.plugins, key=lambda p: p.name) if p.matches(spec, f)]
         enum_values = spec.enums.get(f.name)
-        if isinstance(f.dataType, T.StringType) and not enum_values:
+        if f.name in spec.kinds:
+            fallback = autofake.BY_KIND[spec.kinds[f.name]](source, f.name)
+        elif isinstance(f.dataType, T.StringType) and not enum_values:
             fallback = autofake.fake_text(source, f.name, plan.locale)
         else:
             fallback = autofake.fake_typed(source, f.name, f.dataType, anchor, enum_values)
@@ -141,9 +143,9 @@ def check_statistics(spec: EntitySpec, config: Mapping[str, Mapping]) -> None:
 
 def _text_to(column: Column, f: T.StructField, spec: EntitySpec) -> Column:
     """Text to the property type; text that does not fit stops the job."""
-    if isinstance(f.dataType, T.StringType) and f.name not in spec.enums:
+    target = spec.conversion_target(f.name)
+    if target == "string":
         return column
-    target = "enum" if f.name in spec.enums else f.dataType.simpleString()
     result = typed_convert(column, target, enum_values=spec.enums.get(f.name))
     return F.when(result["error"].isNotNull(), F.raise_error(result["error"])).otherwise(result["value"])
 
@@ -207,8 +209,8 @@ def apply_overrides(df: DataFrame, spec: EntitySpec, overrides: Mapping[str, str
     columns: dict[str, Column] = {}
     for name, raw in overrides.items():
         f = _target(spec, name)
-        columns[f.name] = F.lit(raw) if isinstance(f.dataType, T.StringType) and f.name not in spec.enums \
-            and raw.lower() != "null" else _text_to(F.lit(raw), f, spec).cast(f.dataType)
+        value = F.lit(None) if raw.lower() == "null" else _text_to(F.lit(raw), f, spec)
+        columns[f.name] = value.cast(f.dataType)
     return df.withColumns(columns) if columns else df
 
 

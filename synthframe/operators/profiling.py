@@ -150,14 +150,16 @@ def correlation_hints(df: DataFrame, columns: Sequence[str], categorical_max: in
 
 
 def profile(df: DataFrame, skip: Sequence[str] = (), categorical_max: int = CATEGORICAL_MAX,
-            include_values: bool = True) -> DataFrame:
-    """Everything about every column, long form; ``include_values=False`` leaves counts only.
+            include_values: bool = True, approximate: bool = False) -> DataFrame:
+    """Everything about every column, long form; ``include_values=False`` leaves out labels.
+
+    ``approximate`` estimates distinct counts, which otherwise shuffle every distinct value.
 
     ``property, type, count, null_count, distinct, min, max, mean, median, std_dev, weights,
     distribution, fit_mean, fit_sigma, fit_min``. All inputs but the counts have one row per column.
     """
     columns, numbers, labels = profiled_columns(df, skip), numeric_columns(df, skip), label_columns(df, skip)
-    out = profile_counts(df, columns)
+    out = profile_counts(df, columns, approximate)
     if numbers:
         out = out.join(F.broadcast(profile_moments(df, numbers)), "property", "left")
         fit = fit_distribution(df, numbers).withColumnsRenamed({"mean": "fit_mean", "sigma": "fit_sigma", "min": "fit_min"})

@@ -263,7 +263,10 @@ SELECT event_id, {_whole_sql('Count', 1, 1000, 'INTEGER')} AS count_int, {_whole
   {sql_pick(_event_u('Kind'), ('Site', 'Aisle', 'Bin'))} AS kind,
   strftime({_recent_sql('Seen', 30)}, '%Y-%m-%d %H:%M:%S') AS seen,
   strftime({_recent_sql('Day', 30)}, '%Y-%m-%d') AS day,
-  {_whole_sql('Span', 1, 1440, 'INTEGER')} AS span_minutes FROM events""")
+  {_whole_sql('Span', 1, 1440, 'INTEGER')} AS span_minutes,
+  strftime(TIMESTAMP '1970-01-01' + to_seconds(floor({_event_u('At')} * {dbl(86400.0)})::BIGINT), '%H:%M:%S') AS at_time,
+  CAST(floor({_event_u('Level')} * {dbl(256.0)}) AS INTEGER) AS level,
+  {sql_uuid5("'guid|7|Ops|Event|Token|' || event_id::VARCHAR")} AS token FROM events""")
 def _(t):
     d, anchor = _event_draws(), F.lit(ANCHOR).cast("timestamp")
 
@@ -280,7 +283,9 @@ def _(t):
         typed("Kind", T.StringType(), enum_values=("Site", "Aisle", "Bin")).alias("kind"),
         F.date_format(typed("Seen", T.TimestampType()), "yyyy-MM-dd HH:mm:ss").alias("seen"),
         F.date_format(typed("Day", T.DateType()), "yyyy-MM-dd").alias("day"),
-        (F.unix_seconds(F.lit("1970-01-01").cast("timestamp") + span) / 60).cast("int").alias("span_minutes"))
+        (F.unix_seconds(F.lit("1970-01-01").cast("timestamp") + span) / 60).cast("int").alias("span_minutes"),
+        autofake.fake_time(d, "At").alias("at_time"), autofake.fake_byte(d, "Level").alias("level"),
+        autofake.fake_guid(d, "Token").alias("token"))
 
 
 def _char_sql(u, alphabet):

@@ -28,6 +28,7 @@ class EntitySpec:
     id_strategy: str = "auto"  # auto | deterministic | db_generated
     foreign_keys: tuple[ForeignKey, ...] = ()
     enums: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    kinds: dict[str, str] = field(default_factory=dict)  # guid, time or byte, where the Spark type is wider
     unique_guid_key: bool = True
 
     @property
@@ -45,6 +46,17 @@ class EntitySpec:
     def generated_fields(self) -> list[T.StructField]:
         return [f for f in self.schema.fields if f.name not in self.skipped]
 
+    def conversion_target(self, name: str) -> str:
+        """What raw text of a property is converted to."""
+        if name in self.enums:
+            return "enum"
+        data_type = self.schema[name].dataType
+        if isinstance(data_type, T.DayTimeIntervalType):
+            return "timespan"
+        if isinstance(data_type, T.TimestampNTZType):
+            return "timestamp"
+        return self.kinds.get(name, data_type.simpleString())
+
     def foreign_key_for(self, entity: str, domain: str | None = None) -> str | None:
         """Declared foreign key column, else ``{Entity}Id`` by name, else none."""
         for fk in self.foreign_keys:

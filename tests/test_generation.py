@@ -139,3 +139,15 @@ def test_large_dataset_is_joined_not_broadcast(spark, monkeypatch, rows):
     base, draws = gen.ordinals(spark, 300), dr.Draws(1, "D", "E", F.col("ordinal"))
     out = [rows(gen.correlated(base, d, draws, {spec.schema["V"]: "v"}, spec)) for d in (small, large)]
     assert out[0] == out[1]
+
+
+def test_kinds_and_typed_overrides(spark):
+    spec = EntitySpec("D", "Slot", T.StructType([
+        T.StructField("Id", T.StringType()), T.StructField("Start", T.StringType()), T.StructField("Token", T.StringType()),
+        T.StructField("Level", T.ShortType()), T.StructField("Note", T.StringType()), T.StructField("Length", T.DayTimeIntervalType())]),
+        key="Id", kinds={"Start": "time", "Token": "guid", "Level": "byte"})
+    row = gen.generate(gen.ordinals(spark, 1), gen.GenerationPlan(spec=spec, seed=1, overrides={"note": "null", "length": "01:30"})).first()
+    assert len(row["Token"]) == 36 and len(row["Start"]) == 8 and 0 <= row["Level"] <= 255
+    assert row["Note"] is None and row["Length"].total_seconds() == 5400
+    with pytest.raises(Exception, match="Cannot convert"):
+        gen.generate(gen.ordinals(spark, 1), gen.GenerationPlan(spec=spec, seed=1, overrides={"start": "25:00"})).collect()
