@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.identity import uuid5_natural
 from ..operators import generate as gen, records as rc
 from ..spec import EntitySpec
 from . import fixtures as fx

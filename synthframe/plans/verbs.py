@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.identity import uuid5_natural
 from ..operators import generate as gen, verbs as vb
 from ..sources.versioned import VersionedTable, lifecycle_write
 from ..session import scratch_path
 from .base import Registry, sql_uuid5
-from .generation import _KEY_SQL, _STATUS_SQL, _TOTAL_SQL, order_plan
+from .generation import _STATUS_SQL, _TOTAL_SQL, order_plan
 
 reg = Registry()
 

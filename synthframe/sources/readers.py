@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..spec import EntitySpec
 
@@ -55,8 +54,9 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
           .csv(path))
     if not df.columns:
         raise ValueError(f"{path}: a dataset needs a header")
-    clean = df.select(*[F.regexp_replace(F.coalesce(c, F.lit("")), r"\r$", "").alias(c.rstrip("\r")) for c in (f"`{n}`" for n in df.columns)]
-                      ).toDF(*[c.strip().rstrip("\r") for c in df.columns])
+    names = [c.strip() for c in df.columns]
+    clean = df.toDF(*names).select(*[
+        F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), r"\r$", "").alias(c) for c in names])
     if clean.isEmpty():
         raise ValueError(f"{path}: a dataset needs at least one row")
     return clean.withColumn("row_id", F.monotonically_increasing_id())
