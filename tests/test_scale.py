@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from check_oracle import compare
 from synthframe.operators import quantiles as q, records as rc, registry as rg, skew
 from synthframe.plans.catalogue import all_queries
 from .conftest import SMALL
@@ -96,3 +97,12 @@ def test_no_query_plans_a_cross_join_or_python(spark):
 def test_filter_reaches_the_scan(spark):
     plan = all_queries()["vrb1_filter_eq"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EqualNullSafe(o_orderstatus,O)" in plan and "o_totalprice" not in plan
+
+
+@pytest.mark.parametrize("name", ["jn1_resolve_fk", "vrb15_concurrent_winner", "drf1_fold_expected", "man6_bulk_summary",
+                                  "jrn4_resume_plan", "ben2_bench_two_grains"])
+def test_queries_on_the_paths_of_large_tables(spark, con, monkeypatch, name):
+    """Every key counts as heavy early and every group as large: the SQL still agrees."""
+    monkeypatch.setattr(skew.heavy_keys, "__defaults__", (0, 1.0, 8))
+    monkeypatch.setattr(q.order_statistics, "__defaults__", (0, 50))
+    assert compare(spark, con, SMALL, name)[0] is None
