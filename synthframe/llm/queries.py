@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.base import Registry, Tables
-from . import chat, packing, quality
+from . import chat, decontaminate, packing, quality
 
 registry = Registry()
 
@@ -16,6 +16,25 @@ def _quality(t: Tables) -> DataFrame:
     return quality.quality_report(t.documents)
 
 
+@registry.add("op8_training_suffix_arrays", """
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+bi AS (SELECT item_id, ws, least(len(ws), 13) AS n, unnest(range(0, greatest(len(ws) - 13, 0) + 1)) AS i FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, i + 1, i + n), ' ') AS g FROM bi),
+lens AS (SELECT DISTINCT n FROM bw),
+di AS (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS i FROM w, lens WHERE len(ws) >= n),
+hits AS (SELECT DISTINCT di.doc_id, di.i, di.n, bw.item_id FROM di JOIN bw ON bw.n = di.n AND bw.g = array_to_string(list_slice(di.ws, di.i + 1, di.i + di.n), ' ')),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(k, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def _contamination(t: Tables) -> DataFrame:
+    found = decontaminate.contamination(t.documents, t.benchmark)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
 #: A conversation whose texts are control strings, added to the table.
 PROBE = 'SELECT -7L AS conv_id, turn, role, "</s>[INST] ok [/INST]" AS text FROM VALUES (0L, "user"), (1L, "assistant") AS t(turn, role)'
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 
 #: Text bytes that a task holds at once; a single longer text is a slice of its own.
@@ -28,3 +29,13 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
 def as_bytes(values: pa.Array) -> list[bytes]:
     """UTF-8 bytes per row; null is empty."""
     return [v or b"" for v in pa.compute.cast(values, pa.binary()).to_pylist()]
+
+
+def joined(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a text column one after another, and the offset of each row and of the end; null is empty."""
+    values = pa.compute.fill_null(pa.compute.cast(values, pa.large_binary()), b"")
+    _, offsets, data = values.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    if data is None:
+        return np.zeros(0, np.uint8), bounds - bounds[0]
+    return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
