@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.base import Registry, Tables
-from . import chat, decontaminate, packing, quality
+from . import chat, decontaminate, packing, quality, suffix_dedup
 
 registry = Registry()
 
@@ -16,6 +16,11 @@ def _quality(t: Tables) -> DataFrame:
     return quality.quality_report(t.documents)
 
 
+@registry.add("op5_suffix_arrays")
+def _substrings(t: Tables) -> DataFrame:
+    return suffix_dedup.removal_report(t.documents.select("doc_id", "text"))
+
+
 @registry.add("op8_training_suffix_arrays", """
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
