@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.base import Registry, Tables
-from . import chat, decontaminate, packing, quality, suffix_dedup
+from . import chat, decontaminate, packing, quality, simhash, suffix_dedup
 
 registry = Registry()
 
@@ -16,6 +16,11 @@ def _quality(t: Tables) -> DataFrame:
     return quality.quality_report(t.documents)
 
 
+@registry.add("op3_simhash_bk_trees")
+def _simhash(t: Tables) -> DataFrame:
+    return simhash.simhash_components(t.documents)
+
+
 @registry.add("op5_suffix_arrays")
 def _substrings(t: Tables) -> DataFrame:
     return suffix_dedup.removal_report(t.documents.select("doc_id", "text"))
