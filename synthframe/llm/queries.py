@@ -6,11 +6,19 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.base import Registry, Tables
-from . import chat, decontaminate, packing, quality, simhash, suffix_dedup
+from . import chat, decontaminate, packing, quality, sentencepiece_codec, simhash, suffix_dedup
 
 registry = Registry()
 
 
+@registry.add("op1_sentencepiece")
+def _sentencepiece(t: Tables) -> DataFrame:
+    """Per document: tokens, hash of the ids, whether they decode to the text, and parity with the SentencePiece library."""
+    made = sentencepiece_codec.encode_rows(t.documents.select("doc_id", "text"))
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "parity")
+
+
 @registry.add("op2_compression_bands")
 def _quality(t: Tables) -> DataFrame:
     return quality.quality_report(t.documents)
