@@ -33,6 +33,8 @@ LENGTH = 200
 GRAM = 32
 #: Window starts looked at together.
 CHUNK = 1 << 20
+#: Windows of one piece at most; longer runs are several pieces.
+MOST_WINDOWS = 256
 #: Bytes of pieces after which a suffix array is closed, and pieces of one anchor in one shard.
 SHARD_BYTES, SHARD_PIECES = 1 << 20, 2000
 
@@ -49,7 +51,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def windows_with_anchor(data: np.ndarray, length: int = LENGTH):
-    """Pieces of some bytes: (first window, windows, anchor hash) for each run of windows with one anchor."""
+    """Pieces of some bytes, a part at a time: first windows, numbers of windows, anchor hashes, whether the
+    anchor stands at several places of its run; then the part's bytes and where it begins."""
     for low in range(0, len(data) - length + 1, CHUNK):
         part = data[low : low + CHUNK + length - 1]
         hashes = gram_hashes(part)
@@ -60,9 +63,16 @@ def windows_with_anchor(data: np.ndarray, length: int = LENGTH):
             width *= 2
         if span > width:
             value = np.minimum(value[: len(value) - (span - width)], value[span - width :])
+        # the same hash at another place is the same anchor: periodic text gives one run, not one per period
         first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+        anchor = hashes[(value[first] & np.uint64(0xFFFFFF)).astype(np.int64)]
+        new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+        several = np.add.reduceat(np.ones(len(first), np.int64), np.flatnonzero(new)) > 1
+        first, anchor = first[new], anchor[new]
         count = np.diff(np.concatenate((first, [len(value)])))
-        yield low + first, count, hashes[(value[first] & np.uint64(0xFFFFFF)).astype(np.int64)], part, low
+        parts = -(-count // MOST_WINDOWS)
+        step = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * MOST_WINDOWS
+        yield low + np.repeat(first, parts) + step, np.minimum(np.repeat(count, parts) - step, MOST_WINDOWS), np.repeat(anchor, parts), np.repeat(several, parts), part, low
 
 
 def _within_texts(first: np.ndarray, count: np.ndarray, bounds: np.ndarray, length: int):
@@ -80,15 +90,16 @@ def _within_texts(first: np.ndarray, count: np.ndarray, bounds: np.ndarray, leng
 
 
 def _anchors(length: int):
-    """Task: texts to pieces. ``at`` packs the first window (32 bits), the windows less one (8 bits) and 24 bits of the text's length."""
+    """Task: texts to pieces. ``at`` packs the first window (32 bits), the windows less one (8 bits) 23 bits of
+    the text's length, and on top whether the anchor stands at several places of its run."""
     def run(batches):
         for part in text_slices(batches, "text"):
             data, bounds = joined(part.column("text"))
             keys = part.column("text_key").to_numpy()
-            for first, count, anchor, chunk, low in windows_with_anchor(data, length):
+            for first, count, anchor, several, chunk, low in windows_with_anchor(data, length):
                 which, text, start, count = _within_texts(first, count, bounds, length)
                 pieces = span_hashes(chunk, start - low, start - low + count + length - 1)
-                size = (bounds[1:] - bounds[:-1])[text] & 0xFFFFFF
+                size = (bounds[1:] - bounds[:-1])[text] & 0x7FFFFF | (several[which].astype(np.int64) << 23)
                 at = (size.astype(np.uint64) << np.uint64(40)) | ((start - bounds[text]).astype(np.uint64) << np.uint64(8)) | (count - 1).astype(np.uint64)
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (anchor[which], pieces, keys[text], at)], ["anchor", "piece", "text_key", "at"])
 
@@ -108,7 +119,7 @@ def _cut_pieces(length: int):
                 start = bounds[row] + ((at >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 end = start + (at & np.uint64(0xFF)).astype(np.int64) + length
                 raw = data.tobytes()
-                ok = (at >> np.uint64(40)).astype(np.int64) == ((bounds[1:] - bounds[:-1]) & 0xFFFFFF)[row]
+                ok = ((at >> np.uint64(40)) & np.uint64(0x7FFFFF)).astype(np.int64) == ((bounds[1:] - bounds[:-1]) & 0x7FFFFF)[row]
                 keep = np.flatnonzero(ok)
                 yield pa.RecordBatch.from_arrays(
                     [flat.field(n).take(pa.array(keep)) for n in ("anchor", "piece", "copies", "spread")] + [pa.array([raw[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist())], pa.binary())],
@@ -265,7 +276,7 @@ def _remove(length: int, whole_characters: bool):
 def _covered(spans: list[dict], n_bytes: int, length: int) -> list[tuple[int, int]]:
     """Maximal byte ranges covered by windows that start in ``spans``; spans of another text of that key are left out."""
     out: list[tuple[int, int]] = []
-    for span in sorted((s["start"], s["end"]) for s in spans if s["size"] == n_bytes & 0xFFFFFF):
+    for span in sorted((s["start"], s["end"]) for s in spans if s["size"] == n_bytes & 0x7FFFFF):
         a, b = span[0], span[1] - 1 + length
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -307,7 +318,9 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
     texts = (docs.select(F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
              .groupBy("text_key", "n_bytes").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
     found = texts.mapInArrow(_anchors(length), "anchor long, piece long, text_key long, at long")
-    often = found.groupBy("anchor").agg(F.count("*").alias("_n")).filter("_n > 1")
+    # Said here once, so that both uses of the join below plan the same shuffle and share it.
+    found = found.filter("anchor IS NOT NULL AND piece IS NOT NULL AND text_key IS NOT NULL")
+    often = found.groupBy("anchor").agg(F.sum(F.when(F.col("at") < 0, 2).otherwise(1)).alias("_n")).filter("_n > 1")
     again = found.join(often, "anchor")
     pieces = again.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.first("text_key").alias("text_key"), F.first("at").alias("at"),
                                                   F.ceil(F.first("_n") / SHARD_PIECES).cast("int").alias("spread"))
@@ -320,7 +333,7 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
     repeated = few.unionByName(many).select("anchor", "piece", "runs")
     start = F.shiftrightunsigned("at", 8).bitwiseAND(F.lit(0xFFFFFFFF))
     spans = (again.join(repeated, ["anchor", "piece"])
-             .select("text_key", F.explode("runs").alias("run"), start.alias("_from"), F.shiftrightunsigned("at", 40).cast("int").alias("size"))
+             .select("text_key", F.explode("runs").alias("run"), start.alias("_from"), F.shiftrightunsigned("at", 40).bitwiseAND(F.lit(0x7FFFFF)).cast("int").alias("size"))
              .groupBy("text_key").agg(F.collect_list(F.struct((F.col("_from") + F.col("run.start")).alias("start"), (F.col("_from") + F.col("run.end")).alias("end"), "size")).alias("spans")))
     cuts = (texts.join(spans, "text_key", "left")
             .mapInArrow(_remove(length, whole_characters), "text_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
