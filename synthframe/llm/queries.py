@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.base import Registry, Tables
-from . import chat, decontaminate, packing, quality, sentencepiece_codec, simhash, suffix_dedup
+from . import chat, decontaminate, licenses, main_text, packing, quality, sentencepiece_codec, simhash, suffix_dedup
 
 registry = Registry()
 
@@ -29,11 +29,27 @@ def _simhash(t: Tables) -> DataFrame:
     return simhash.simhash_components(t.documents)
 
 
+@registry.add("op4_fuzzy_notices")
+def _licenses(t: Tables) -> DataFrame:
+    found = licenses.scan_licenses(t.documents)
+    base, own = F.transform("base", lambda x: x["label"]), F.transform("matches", lambda x: x["label"])
+    words = F.transform("base", lambda x: x["word"].cast("long"))
+    score = F.coalesce(F.array_max(F.transform("matches", lambda x: x["score"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(words).alias("first_word"), F.array_max(words).alias("last_word"),
+                        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+                        F.array_join(F.array_sort(F.array_union(base, own)), ",").alias("labels"), score.alias("score"))
+
+
 @registry.add("op5_suffix_arrays")
 def _substrings(t: Tables) -> DataFrame:
     return suffix_dedup.removal_report(t.documents.select("doc_id", "text"))
 
 
+@registry.add("op7_host_paths")
+def _pages(t: Tables) -> DataFrame:
+    return main_text.main_text(t.pages)
+
+
 @registry.add("op8_training_suffix_arrays", """
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
