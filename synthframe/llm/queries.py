@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.base import Registry, Tables
-from . import chat, decontaminate, licenses, main_text, packing, quality, sentencepiece_codec, simhash, suffix_dedup
+from . import chat, decontaminate, language, licenses, main_text, packing, quality, sentencepiece_codec, simhash, suffix_dedup
 
 registry = Registry()
 
@@ -45,6 +45,13 @@ def _substrings(t: Tables) -> DataFrame:
     return suffix_dedup.removal_report(t.documents.select("doc_id", "text"))
 
 
+@registry.add("op6_crf_language")
+def _language(t: Tables) -> DataFrame:
+    docs = t.documents.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
+    model = language.train(language.training_rows(docs.filter("NOT held_out")))
+    return language.predict_language(docs, model, ("doc_id", "held_out")).drop("shares")
+
+
 @registry.add("op7_host_paths")
 def _pages(t: Tables) -> DataFrame:
     return main_text.main_text(t.pages)
