@@ -80,19 +80,20 @@ def phrase_places(words: bytes, phrase: bytes) -> list[int]:
 
 def fuzzy_places(text: str, notice: Notice, pattern) -> list[tuple[int, int, int]]:
     """(start, end, errors) of the matches around the exact places of the notice's seeds, best ones first at each place."""
-    reach, found = len(notice.phrase) + notice.errors, {}
-    starts = set()
+    reach, found = len(notice.phrase) + 2 * notice.errors + 3, {}
+    # the library allows no insertion where a search begins, so it begins two characters early
+    padded, starts = "  " + text, set()
     for offset, seed in notice.seeds:
-        at = text.find(seed)
+        at = padded.find(seed)
         while at >= 0:
-            starts.add(max(0, at - offset - notice.errors))
-            at = text.find(seed, at + 1)
+            starts.add(max(0, at - offset - notice.errors - 2))
+            at = padded.find(seed, at + 1)
     for low in sorted(starts):
-        high = min(len(text), low + reach + 2 * notice.errors + 1)
-        match = pattern.search(text, low, high)
+        high = min(len(padded), low + reach)
+        match = pattern.search(padded, low, high)
         # what ends where the search had to end may go on behind it
-        if match and (match.end() < high or high == len(text) or text[high] == " ") and notice.accepts(match[0]):
-            span = (match.start(), match.end())
+        if match and (match.end() < high or high == len(padded) or padded[high] == " ") and notice.accepts(match[0]):
+            span = (match.start() - 2, match.end() - 2)
             found[span] = min(sum(match.fuzzy_counts), found.get(span, notice.errors))
     return [(a, b, e) for (a, b), e in sorted(found.items())]
 

@@ -8,6 +8,7 @@ tasks as text (a few MB, bounded by the vocabulary), so executors need no model
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -98,7 +99,8 @@ def bpe_merges(model: PieceModel) -> list[tuple[str, str]]:
 
 def build_tokenizer(model: PieceModel) -> Tokenizer:
     if model.kind == UNIGRAM:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unk_id, byte_fallback=model.byte_fallback)
+        # control pieces never match a text: behind a noncharacter they can't, and keep their ids
+        core = models.Unigram([(p if kind in (NORMAL, USER_DEFINED, BYTE) else f"\uffff{p}", s) for p, s, kind in model.pieces], unk_id=model.unk_id, byte_fallback=model.byte_fallback)
     elif model.kind == BPE:
         core = models.BPE({p: i for i, (p, _, _) in enumerate(model.pieces)}, bpe_merges(model), unk_token=model.pieces[model.unk_id][0],
                           fuse_unk=True, byte_fallback=model.byte_fallback)
@@ -128,6 +130,35 @@ def load(path: str = MODEL) -> tuple[str, bytes]:
     return build_tokenizer(PieceModel.parse(data)).to_str(), data
 
 
+class Codec:
+    """Batches through the rebuilt tokenizer and, to compare, through the SentencePiece library.
+
+    With unigram scores the rebuilt tokenizer would take the spelling of a byte piece, such as ``<0x41>``, for
+    the byte; the library does not. Texts that spell one are left to the library.
+    """
+
+    SPELLED_BYTE = re.compile("<0x[0-9A-F]{2}>")
+
+    def __init__(self, tokenizer: str, model: bytes, threads: int = THREADS):
+        self.own, self.library, self.threads = Tokenizer.from_str(tokenizer), sentencepiece.SentencePieceProcessor(model_proto=model), threads
+        self.spells = isinstance(self.own.model, models.Unigram)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids = [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.spells:
+            for i, text in enumerate(texts):
+                if self.SPELLED_BYTE.search(text):
+                    ids[i] = self.library.encode(text)
+        return ids
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.own.decode_batch(ids, skip_special_tokens=False)
+
+    def parity(self, texts: list[str], ids: list[list[int]], decoded: list[str]) -> list[bool]:
+        theirs = self.library.encode(texts, num_threads=self.threads)
+        return [a == b and c == d for a, b, c, d in zip(ids, theirs, decoded, self.library.decode(theirs, num_threads=self.threads))]
+
+
 def encode_rows(docs: DataFrame, path: str = MODEL, text_col: str = "text", threads: int = THREADS, verify: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array of int), ``decoded`` (text read back from the ids) and ``parity``.
 
@@ -142,16 +173,12 @@ def encode_rows(docs: DataFrame, path: str = MODEL, text_col: str = "text", thre
     def run(batches):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        own = Tokenizer.from_str(tokenizer)
-        library = sentencepiece.SentencePieceProcessor(model_proto=model) if verify else None
+        codec = Codec(tokenizer, model, threads)
         for part in text_slices(batches, "_text", BATCH_BYTES):
             texts = [t or "" for t in part.column("_text").to_pylist()]
-            ids = [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
-            decoded = own.decode_batch(ids, skip_special_tokens=False)
-            parity = [None] * len(ids)
-            if library is not None:
-                theirs = library.encode(texts, num_threads=threads)
-                parity = [a == b and d == t for a, b, d, t in zip(ids, theirs, decoded, library.decode(theirs, num_threads=threads))]
+            ids = codec.encode(texts)
+            decoded = codec.decode(ids)
+            parity = codec.parity(texts, ids, decoded) if verify else [None] * len(ids)
             lengths = np.cumsum([0, *map(len, ids)])
             flat = pa.array(np.fromiter((i for row in ids for i in row), np.int32, lengths[-1]))
             yield pa.RecordBatch.from_arrays([part.column("_row"), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat), pa.array(decoded), pa.array(parity, pa.bool_())],
