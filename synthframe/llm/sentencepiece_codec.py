@@ -13,9 +13,8 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
 import pyarrow as pa
-import pyspark.sql.functions as F
+import pyspark.sql.types as T
 import sentencepiece
 from pyspark.sql import DataFrame
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
@@ -167,23 +166,20 @@ def encode_rows(docs: DataFrame, path: str = MODEL, text_col: str = "text", thre
     of these names in ``docs`` are replaced. Narrow; a task holds a few MB of text at once.
     """
     tokenizer, model = load(path)
-    rest = [c for c in docs.columns if c not in ("ids", "decoded", "parity")]
-    schema = "_row struct<" + ",".join(f"`{c}`:{docs.schema[c].dataType.simpleString()}" for c in rest) + ">, ids array<int>, decoded string, parity boolean"
+    made = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType()).add("parity", T.BooleanType())
+    rest = [f for f in docs.schema.fields if f.name not in made.names]
 
     def run(batches):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         codec = Codec(tokenizer, model, threads)
-        for part in text_slices(batches, "_text", BATCH_BYTES):
-            texts = [t or "" for t in part.column("_text").to_pylist()]
+        for part in text_slices(batches, text_col, BATCH_BYTES):
+            texts = [t or "" for t in part.column(text_col).to_pylist()]
             ids = codec.encode(texts)
             decoded = codec.decode(ids)
             parity = codec.parity(texts, ids, decoded) if verify else [None] * len(ids)
-            lengths = np.cumsum([0, *map(len, ids)])
-            flat = pa.array(np.fromiter((i for row in ids for i in row), np.int32, lengths[-1]))
-            yield pa.RecordBatch.from_arrays([part.column("_row"), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat), pa.array(decoded), pa.array(parity, pa.bool_())],
-                                             ["_row", "ids", "decoded", "parity"])
-
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(run, schema).select("_row.*", "ids", "decoded", "parity")
+            columns = [part.column(n) for n in names] + [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(parity, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *made.names])
 
+    names = [f.name for f in rest]
+    return docs.mapInArrow(run, T.StructType([*rest, *made.fields]))
