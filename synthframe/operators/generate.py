@@ -16,12 +16,9 @@ from ..functions import autofake, draws as dr
 from ..functions.convert import typed_convert
 from ..functions.identity import natural_name, ordinal_name, uuid5_name
 from ..spec import EntitySpec
-from .skew import estimated_bytes
 
 # A dataset is a small reference table; above this row count it is joined, not broadcast.
 DATASET_BROADCAST_ROWS = 100_000
-# Inputs below this size per core are spread over the cores before values are computed.
-SPREAD_BYTES = 4 << 20
 
 Rule = Callable[[dr.Draws], Column]
 
@@ -75,12 +72,6 @@ def ordinals(spark: SparkSession, n: int, first: int = 1) -> DataFrame:
     return spark.range(first, first + n).withColumnRenamed("id", "ordinal")
 
 
-def spread(df: DataFrame, ordinal: str) -> DataFrame:
-    """Use all cores for a small input that sits in few files; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, ordinal) if estimated_bytes(df) < cores * SPREAD_BYTES else df
-
-
 def generate(df: DataFrame, plan: GenerationPlan, ordinal: str = "ordinal",
              seed: Column | None = None, scenario: Column | None = None) -> DataFrame:
     """One generated row per ordinal row; input columns are kept in front.
@@ -88,7 +79,6 @@ def generate(df: DataFrame, plan: GenerationPlan, ordinal: str = "ordinal",
     ``seed`` and ``scenario`` may be columns, so that many scenarios are one DataFrame.
     """
     source = _draws(plan, ordinal, seed)
-    df = spread(df, ordinal)
     out = rule_set(df, plan.rules, source) if plan.rules else autofake_columns(df, plan, source)
     out = apply_statistics(out, plan, source, ordinal)
     out = apply_overrides(out, plan.spec, plan.overrides)

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name, singularize
 from .references import resolve_entity
-from .skew import small_table
-
-CATALOG_ROWS = 100_000
 
 
 def _spellings(name):
@@ -27,7 +24,7 @@ def unknown_names(steps: DataFrame, catalog: DataFrame) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), name.alias("name"), within.alias("within"), F.lit(level).alias("level")).distinct()
 
     nothing = F.lit(None).cast("string")
-    catalog = small_table(catalog.distinct(), CATALOG_ROWS)
+    catalog = catalog.distinct()
     steps = steps.select("domain_pin", "entity", "property", "ref_target").distinct()
     domains = catalog.select(F.lower("domain").alias("_d")).distinct()
     pins = steps.filter(F.col("domain_pin").isNotNull()).select("domain_pin").distinct()

@@ -1,27 +1,22 @@
 """Exact order statistics per group, with no large group held in one task.
 
-Groups known to be small are ranked over their distinct values. For larger ones a sketch
-brackets every wanted rank; exact counts then say in which bracket the rank lies, and only the
-rows of that bracket are ranked. A poor sketch costs time, never the result.
+A group's distinct values are cut into blocks at the quantiles of a sketch. Running counts are taken
+inside each block and over the blocks' totals, so a group that owns most rows is spread over as many
+tasks as it has blocks. A poor sketch makes uneven blocks, never another result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import estimated_bytes
-
-# A table below this estimated size, or groups up to this many rows (counted), are ranked directly.
-DIRECT_BYTES = 64 << 20
-DIRECT_ROWS = 5_000_000
-_ACCURACY = 10_000       # the sketch is off by at most n / accuracy ranks
-_MARGIN = 2.5 / _ACCURACY
-# A group is large from one row in this many on, hence there are at most this many large groups.
-LARGE_SHARE = 10_000
+# Blocks of a group, and the sketch's accuracy: a block is off by at most 1 / _ACCURACY of the group.
+BLOCKS = 128
+_ACCURACY = 1000
 
 
 @dataclass(frozen=True)
@@ -44,77 +39,36 @@ def upper_median(name: str) -> Rank:
     return Rank(name, 0.5, lambda n: (F.floor(n / F.lit(2)) + 1).cast("bigint"))
 
 
-def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[Rank],
-                     direct_bytes: int = DIRECT_BYTES, direct_rows: int = DIRECT_ROWS) -> DataFrame:
-    """``by..., <rank name>...``: one row per group with at least one non-null value."""
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[Rank], blocks: int = BLOCKS) -> DataFrame:
+    """``by..., <rank name>...``: one row per group with at least one non-null value, in the value's own type."""
     keys = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     held = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_g0")]
-    rows = df.select(*held, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    large = [] if estimated_bytes(df) <= direct_bytes else _large_groups(rows, keys, direct_rows)
-    if large:
-        listed = df.sparkSession.createDataFrame(large, rows.select(*keys).schema)
-        out = (_bracketed(_attached(rows, listed, keys, "left_semi"), keys, ranks)
-               .unionByName(_ranked(_attached(rows, listed, keys, "left_anti"), keys, ranks)))
-    else:
-        out = _ranked(rows, keys, ranks)
+    rows = df.select(*held, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    values = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("_v", [i / blocks for i in range(1, blocks)], _ACCURACY).alias("_cuts"))
+    placed = _with_keys(values, cuts, keys).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+
+    over_blocks = Window.partitionBy(*keys).orderBy("_block")
+    totals = placed.groupBy(*keys, "_block").agg(F.sum("_c").alias("_t")).withColumn("_upto", F.sum("_t").over(over_blocks))
+    totals = totals.withColumn("_n", F.sum("_t").over(Window.partitionBy(*keys)))
+    # only the blocks that hold a wanted rank are ranked
+    wanted = reduce(lambda a, b: a | b, [_inside(r, "_upto", "_t") for r in ranks])
+    hit = totals.filter(wanted).select(*keys, "_block", "_n", (F.col("_upto") - F.col("_t")).alias("_before"))
+    near = _with_keys(placed, hit, [*keys, "_block"])
+    inside = Window.partitionBy(*keys, "_block").orderBy("_v")
+    ranked = near.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    out = ranked.groupBy(*keys).agg(*[F.max(F.when(_inside(r, "_upto", "_c"), F.col("_v"))).alias(r.name) for r in ranks])
     return out.withColumnsRenamed(dict(zip(keys, by))) if by else out.drop("_g0")
 
 
-def _large_groups(rows: DataFrame, keys: list[str], direct_rows: int) -> list:
-    """Keys of the groups that one task should not rank; at most ``LARGE_SHARE`` of them."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    top, total = sizes.agg(F.max("_n"), F.sum("_n")).first()
-    if top is None or top <= direct_rows:
-        return []
-    limit = max(direct_rows, total // LARGE_SHARE)
-    return [row[:-1] for row in sizes.filter(F.col("_n") > limit).collect()]
-
+def _inside(rank: Rank, upto: str, count: str) -> Column:
+    """The wanted rank falls into the last ``count`` of the first ``upto`` rows."""
+    wanted = rank.rank(F.col("_n"))
+    return (wanted <= F.col(upto)) & (wanted > F.col(upto) - F.col(count))
 
-def _attached(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join to a broadcast table of large groups (bounded by LARGE_SHARE), nulls matching nulls."""
-    other = F.broadcast(right.withColumnsRenamed({k: f"{k}_r" for k in on}))
-    condition = F.col(on[0]).eqNullSafe(F.col(f"{on[0]}_r"))
-    for k in on[1:]:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"{k}_r"))
-    joined = left.join(other, condition, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"{k}_r" for k in on])
 
-
-def _ranked(rows: DataFrame, keys: list[str], ranks: Sequence[Rank]) -> DataFrame:
-    """Running count over the distinct values of each group."""
-    values = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    group = Window.partitionBy(*keys)
-    placed = values.withColumn("_upto", F.sum("_c").over(group.orderBy("_v"))).withColumn("_n", F.sum("_c").over(group))
-    return placed.groupBy(*keys).agg(*[
-        F.min(F.when(F.col("_upto") >= r.rank(F.col("_n")), F.col("_v"))).alias(r.name) for r in ranks])
-
-
-def _bracketed(rows: DataFrame, keys: list[str], ranks: Sequence[Rank]) -> DataFrame:
-    """Large groups: sketch, count per bracket, rank inside the brackets that hold a wanted rank."""
-    wanted = sorted({min(1.0, max(0.0, r.fraction + side)) for r in ranks for side in (-_MARGIN, _MARGIN)})
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", [float(p) for p in wanted], _ACCURACY).alias("_cuts"),
-        F.count(F.lit(1)).alias("_n"))
-    sketch = rows.sparkSession.createDataFrame(sketch.collect(), sketch.schema)
-
-    position = F.lit(0)
-    for i in range(len(wanted)):
-        position = position + (F.col("_v") > F.col("_cuts")[i]).cast("int")
-    tagged = _attached(rows, sketch.select(*keys, "_cuts"), keys).select(*keys, "_v", position.alias("_seg"))
-
-    counted = _attached(tagged.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_c")),
-                        sketch.select(*keys, "_n"), keys)
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_seg"))
-    choices = F.array(*[F.struct(F.lit(i).alias("i"), r.rank(F.col("_n")).alias("r")) for i, r in enumerate(ranks)])
-    targets = (counted.withColumn("_upto", upto).withColumn("_want", F.explode(choices))
-               .filter((F.col("_want.r") > F.col("_upto") - F.col("_c")) & (F.col("_want.r") <= F.col("_upto")))
-               .select(*keys, "_seg", F.col("_want.i").alias("_i"),
-                       (F.col("_want.r") - (F.col("_upto") - F.col("_c"))).alias("_left")))
-
-    inside = _attached(tagged, targets.select(*keys, "_seg").distinct(), [*keys, "_seg"], "left_semi")
-    values = inside.groupBy(*keys, "_seg", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    values = values.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_seg").orderBy("_v")))
-    hits = _attached(values, targets, [*keys, "_seg"]).filter(
-        (F.col("_left") > F.col("_upto") - F.col("_c")) & (F.col("_left") <= F.col("_upto")))
-    return hits.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(r.name) for i, r in enumerate(ranks)])
+def _with_keys(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join in which nulls match nulls."""
+    other = right.withColumnsRenamed({k: f"{k}_r" for k in on})
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_r")) for k in on])
+    return left.join(other, condition).drop(*[f"{k}_r" for k in on])

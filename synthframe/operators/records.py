@@ -116,7 +116,7 @@ def attestation(entities: DataFrame) -> DataFrame:
     kinds = entities.select("source", (F.size("overrides") > 0).alias("o"), F.col("id_strategy").eqNullSafe("Deterministic").alias("d")).distinct()
     parts = F.split(F.coalesce("source", F.lit("")), r"\+")
     base = F.when(F.coalesce("source", F.lit("")) == "", F.lit(None)).when(parts[0] == "auto", "AutoFaker").otherwise("ConventionFaker")
-    marks = F.transform(F.slice(parts, 2, 1000), lambda p: F.when(F.startswith(p, F.lit("plugin:")), SOURCE_LABELS["plugin"])
+    marks = F.transform(F.slice(parts, 2, F.size(parts)), lambda p: F.when(F.startswith(p, F.lit("plugin:")), SOURCE_LABELS["plugin"])
                         .when(p == "distributions", SOURCE_LABELS["distributions"]).when(p == "datasets", SOURCE_LABELS["datasets"]))
     found = F.concat(F.array(base, F.when(F.col("o"), "Override"), F.when(F.col("d"), "IdentityContract")), marks)
     labels = kinds.select(F.explode(found).alias("label")).filter(F.col("label").isNotNull())

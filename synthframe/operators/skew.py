@@ -1,103 +1,40 @@
-"""Joins of many rows to one row per key, safe for keys that hold a large share of the rows."""
+"""Joins of many rows to one row per key, and running values of long keys."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# Below this estimated size no key can fill a task, so heavy keys are not looked for.
-CHECK_FROM_BYTES = 1 << 30
-# At most this many keys, the most frequent ones of the sample, travel as heavy keys.
-HEAVY_KEYS = 256
-SAMPLE = 0.02
-SAMPLE_ROWS = 1000
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of what the plan reads; unknown counts as large.
-
-    The optimizer's own estimate multiplies the sides of a join and so calls every joined plan
-    huge. An explode makes rows that no file holds, so it counts its input many times over.
-    """
-    try:
-        plan = df._jdf.queryExecution().analyzed()
-    except AttributeError:  # a session without JVM access
-        return 1 << 62
-    leaves = plan.collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return size * 64 if "Generate explode" in plan.toString() else size
-
-
-def heavy_keys(rows: DataFrame, on: Sequence[str], check_from_bytes: int = CHECK_FROM_BYTES, sample: float = SAMPLE,
-               sample_rows: int = SAMPLE_ROWS) -> list:
-    """At most ``HEAVY_KEYS`` keys that dominate a sample; none for tables below the size limit.
-
-    Which keys are found only decides how rows travel, never the result.
-    """
-    if estimated_bytes(rows) < check_from_bytes:
-        return []
-    keys = rows.select(*on)
-    if sample < 1.0:
-        keys = keys.sample(fraction=sample, seed=17)
-    top = (keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") >= sample_rows).orderBy(F.desc("_n")).limit(HEAVY_KEYS).collect())
-    return [row[:-1] for row in top]
-
-
-def join_per_key(rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left", **detection) -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """``rows`` joined (left, inner, left_semi, left_anti) to ``per_key``, one row per key at most.
 
-    Rows of heavy keys are not shuffled: their at most 256 partners are broadcast. Rows with a
-    null key match nothing and stay where they are. All other rows take an ordinary join.
+    One join that reads each side once. A key, or the null key, that holds most rows is split at run time
+    (adaptive skew joins, see ``session.configure``): with one partner per key only ``rows`` can be skewed,
+    and in all these joins Spark splits the left side.
     """
-    on = list(on)
-    heavy = heavy_keys(rows, on, **detection)
-    if not heavy:
-        return rows.join(per_key, on, how)
-    spark = rows.sparkSession
-    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    unmatched, keyed = rows.filter(no_key), rows.filter(~no_key)
-    listed = [k for k in heavy if all(v is not None for v in k)]
-    schema = T.StructType([rows.schema[c] for c in on])
-    table = F.broadcast(spark.createDataFrame(listed, schema))
-    partners = F.broadcast(per_key.join(table, on, "left_semi"))
-    out = (keyed.join(table, on, "left_semi").join(partners, on, how)
-           .unionByName(keyed.join(table, on, "left_anti").join(per_key, on, how)))
-    if how == "left":
-        extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in per_key.schema.fields if f.name not in on]
-        out = out.unionByName(unmatched.select("*", *extra))
-    elif how == "left_anti":
-        out = out.unionByName(unmatched)
-    return out
-
-
-def small_table(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """A broadcast copy of ``df`` if it has at most ``limit`` rows (checked), else ``df`` itself."""
-    head = df.limit(limit + 1).collect()
-    if len(head) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+    return rows.join(per_key, list(on), how)
 
 
-def last_before(df: DataFrame, keys: Sequence[str], major: str, minor: str, value: str, name: str,
-                block: int = 100_000) -> DataFrame:
+def last_before(df: DataFrame, keys: Sequence[str], major: str, minor: str, value: str, name: str, blocks: int = 128) -> DataFrame:
     """Adds ``name``: the last non-null ``value`` of earlier rows of the key, in (major, minor) order.
 
-    A key's rows are cut into blocks of ``minor``; a window runs inside a block and another over
-    the blocks, so one key that owns most rows is still spread over many tasks.
+    The table's positions are cut into ``blocks`` ranges at the quantiles of a sketch of ``major`` (numbers
+    that grow with time, so a key's history spreads over them). A window runs inside each block of a key
+    and another over the ends of its blocks, so a key that owns most rows is spread over as many tasks
+    and brings at most ``blocks`` rows to the second window.
     """
-    from pyspark.sql import Window
     keys = list(keys)
-    cut = df.withColumn("_block", F.floor(F.col(minor) / F.lit(block)))
-    place = [*keys, major, "_block"]
-    ends = cut.groupBy(*place).agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(minor))).alias("_end"))
-    over_blocks = Window.partitionBy(*keys).orderBy(major, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = df.agg(F.percentile_approx(major, [i / blocks for i in range(1, blocks)], 1000).alias("_cuts"))
+    cut = df.withColumn("_cuts", cuts.scalar()).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(major)))).drop("_cuts")
+    place = [*keys, "_block"]
+    position = F.struct(major, minor)
+    ends = cut.groupBy(*place).agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), position)).alias("_end"))
+    over_blocks = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(*place, F.last("_end", ignorenulls=True).over(over_blocks).alias("_carried"))
-    inside = Window.partitionBy(*place).orderBy(minor).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*place).orderBy(major, minor).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_local", F.last(value, ignorenulls=True).over(inside))
     return (local.join(carried, place).withColumn(name, F.coalesce("_local", "_carried"))
             .drop("_block", "_local", "_carried"))
