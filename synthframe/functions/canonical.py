@@ -11,10 +11,10 @@ from pyspark.sql import types as T
 # Text formats of recorded values.
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 DATE_FORMAT = "yyyy-MM-dd"
-FRACTION_DIGITS = 6
 
 _ISO_POINT = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
-_DECIMAL = r"^\s*[+-]?[0-9]*\.?[0-9]*\s*$"
+_PLAIN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+_SCIENTIFIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)[eE][+-]?[0-9]+$"
 
 
 def canonical_text(column: Column, data_type: T.DataType) -> Column:
@@ -23,8 +23,7 @@ def canonical_text(column: Column, data_type: T.DataType) -> Column:
         return F.date_format(column, TIMESTAMP_FORMAT)
     if isinstance(data_type, T.DateType):
         return F.date_format(column, DATE_FORMAT)
-    if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        return column.cast(f"decimal(38,{FRACTION_DIGITS})").cast("string")
+    # a double's text reads back as the same double, NaN and infinity included
     return column.cast("string")
 
 
@@ -52,21 +51,30 @@ def canonical_row(ordinal: Column, row_id: Column, key: Column, values: dict[str
     return F.concat(head, *cells)
 
 
+def _digits(text: Column) -> Column:
+    """Text of a plain number without sign, leading and trailing zeros; a negative one keeps its sign. No digit is cut."""
+    body = F.regexp_replace(text, r"^[+-]", "")
+    whole = F.regexp_replace(F.regexp_extract(body, r"^([0-9]*)", 1), "^0+", "")
+    fraction = F.regexp_replace(F.regexp_extract(body, r"\.([0-9]*)$", 1), "0+$", "")
+    value = F.concat(whole, F.lit("."), fraction)
+    return F.when((value != ".") & F.startswith(text, F.lit("-")), F.concat(F.lit("-"), value)).otherwise(value)
+
+
 def values_equal(recorded: Column, current: Column) -> Column:
     """Same stored value, never NULL.
 
-    Equal text; or equal numbers where at least one side has a fraction dot (so ``007`` is not
-    ``7``); or the same instant to the microsecond. A null equals only a null.
+    Equal text; or equal numbers, to every digit, where at least one side has a fraction dot (so ``007`` is
+    not ``7``); or, where one side has an exponent, the same double; or the same instant to the microsecond.
+    A null equals only a null.
     """
-    def number(text: Column) -> Column:
-        return F.when(text.rlike(_DECIMAL), F.trim(text).try_cast("decimal(38,10)"))
-
     def instant(text: Column) -> Column:
         return F.when(text.rlike(_ISO_POINT), text.try_cast("timestamp"))
 
-    a, b = number(recorded), number(current)
+    a, b = F.trim(recorded), F.trim(current)
+    plain = a.rlike(_PLAIN) & b.rlike(_PLAIN)
+    number = (a.rlike(_PLAIN) | a.rlike(_SCIENTIFIC)) & (b.rlike(_PLAIN) | b.rlike(_SCIENTIFIC))
     dotted = F.contains(recorded, F.lit(".")) | F.contains(current, F.lit("."))
-    numeric = F.when(a.isNotNull() & b.isNotNull() & dotted, a == b)
+    numeric = F.when(plain & dotted, _digits(a) == _digits(b)).when(number & ~plain, a.try_cast("double") == b.try_cast("double"))
     temporal = instant(recorded) == instant(current)
     return F.coalesce(
         F.when(recorded.eqNullSafe(current), True),

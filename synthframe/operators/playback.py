@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.canonical import snapshot, values_equal
 from ..functions.convert import typed_convert
 from ..spec import normalize
-from .skew import join_per_key, last_before, small_table
+from .skew import join_per_key, last_before
 
 WRITING_VERBS = ("Create", "Projection", "Update")
 
@@ -52,7 +52,7 @@ def fold_expected(entities: DataFrame, scenarios: DataFrame) -> DataFrame:
     writes = records.filter(F.col("verb").isin(*WRITING_VERBS) | ((F.col("verb") == "Delete") & F.col("id").isNotNull()))
     last = _last_writes(writes)
     # one row per entity type that was wiped
-    marked = last.join(small_table(voids), (F.lower("domain") == F.col("_d")) & (F.lower("entity") == F.col("_e")), "left")
+    marked = last.join(voids, (F.lower("domain") == F.col("_d")) & (F.lower("entity") == F.col("_e")), "left")
     survives = F.col("_void").isNull() | (F.struct("scenario_seq", "ordinal") > F.col("_void"))
     return marked.filter(survives).drop("_d", "_e", "_void", "_gone", "_made")
 
@@ -99,17 +99,23 @@ def unverifiable_bulk(bulk: DataFrame, scenarios: DataFrame) -> DataFrame:
 
 
 def drift_report(found: DataFrame, scenarios: DataFrame, warnings: int = 0) -> DataFrame:
-    """One row ``rows_checked, skipped_scenarios, drift, warnings, exit_code`` (0 clean, 1 drift)."""
-    values = drift_values(found)
-    rows = drift_rows(found).agg(F.count(F.lit(1)).alias("_r"))
-    cells = values.agg(F.count(F.when(F.col("finding") == "changed", 1)).alias("_c"),
-                       F.count(F.when(F.col("finding") == "vanished", 1)).alias("_v"))
+    """One row ``rows_checked, skipped_scenarios, drift, warnings, exit_code`` (0 clean, 1 drift).
+
+    Properties are compared inside each row, so the found rows are read once.
+    """
+    def current(name):
+        return F.try_element_at("actual_values", name)
+
+    known = F.map_filter("values", lambda k, v: F.map_contains_key("actual_values", k))
+    changed = F.size(F.map_filter(known, lambda k, v: ~values_equal(v, current(k))))
+    compared = F.col("found") & ~F.col("deleted") & F.col("values").isNotNull()
+    moved = F.when(F.col("deleted") == F.col("found"), 1).otherwise(0)
+    counted = found.agg(F.count(F.lit(1)).alias("rows_checked"),
+                        F.coalesce(F.sum(moved + F.when(compared, changed).otherwise(0)), F.lit(0)).alias("drift"),
+                        (F.coalesce(F.sum(F.when(compared, F.size("values") - F.size(known))), F.lit(0)) + F.lit(warnings)).alias("warnings"))
     skipped = scenarios.agg(F.count(F.when(~((F.col("lifecycle") == "Persistent") & (F.col("outcome") != "Skipped")), 1)).alias("_s"))
-    return found.agg(F.count(F.lit(1)).alias("rows_checked")).select(
-        "rows_checked", skipped.scalar().alias("skipped_scenarios"),
-        (rows.scalar() + cells.select("_c").scalar()).alias("drift"),
-        (cells.select("_v").scalar() + F.lit(warnings)).alias("warnings"),
-    ).withColumn("exit_code", F.when(F.col("drift") > 0, 1).otherwise(0))
+    return counted.select("rows_checked", skipped.scalar().alias("skipped_scenarios"), "drift", "warnings").withColumn(
+        "exit_code", F.when(F.col("drift") > 0, 1).otherwise(0))
 
 
 def apply_recorded_values(df: DataFrame, values: str, columns: Sequence[str], nullable: Sequence[str] = ()) -> DataFrame:
@@ -119,10 +125,14 @@ def apply_recorded_values(df: DataFrame, values: str, columns: Sequence[str], nu
     text that does not fit, and a property nobody knows, only warn.
     """
     updates, messages = {}, []
+    held, spelled = F.map_values(values), F.transform(F.map_keys(values), lambda k: F.lower(F.translate(k, " _-", "")))
     for name in columns:
         kind = df.schema[name].dataType
-        has = F.map_contains_key(values, F.lit(name))
-        raw = F.try_element_at(F.col(values), F.lit(name))
+        # the exact name, else the first one that differs in case, spaces, underscores or hyphens only
+        place = F.array_position(spelled, normalize(name))
+        exact = F.map_contains_key(values, F.lit(name))
+        has = exact | (place > 0)
+        raw = F.when(exact, F.try_element_at(F.col(values), F.lit(name))).otherwise(F.get(held, (place - 1).cast("int")))
         target = "timestamp" if isinstance(kind, T.TimestampNTZType) else kind.simpleString()
         result = typed_convert(raw, target)
         new = result["value"] if isinstance(kind, T.StringType) else result["value"].cast(kind)
@@ -146,51 +156,74 @@ def replay(entities: DataFrame, scenarios: DataFrame, target: DataFrame, domain:
 
     Adds ``action`` kept, updated or created. Created and projected rows are inserted or get their
     values again, updates need the row, deletes by id tolerate its absence, delete-alls do nothing.
+    A record without an id finds its row by natural key, and inserts it if it creates and no row has
+    the key; of two writes that find one row, by id and by key, the later one decides.
     """
     mine = playable(entities, scenarios).filter((F.lower("domain") == domain.lower()) & (F.lower("entity") == entity.lower()))
-    writes = mine.filter(F.col("verb").isin(*WRITING_VERBS) | F.col("id").isNotNull()).filter(F.col("id").isNotNull())
-    last = _last_writes(writes)
+    writes = mine.filter((F.col("verb").isin(*WRITING_VERBS) & F.col("natural_key").isNotNull()) | F.col("id").isNotNull())
     # an update alone cannot bring a row into being: a creation after the last delete can
     creates = F.col("_made").isNotNull() & (F.col("_gone").isNull() | (F.col("_made") > F.col("_gone")))
-    plan = last.select(F.col("id").alias("_id"), "deleted", creates.alias("_creates"),
-                       F.col("_gone").isNotNull().alias("_was_deleted"), F.col("values").alias("_values"))
-    base = target.withColumn("_id", F.col(row_id).cast("string"))
-    joined = join_per_key(base, plan, ["_id"])
+    last = _last_writes(writes).withColumn("_creates", creates).withColumn("_at", F.struct("scenario_seq", "ordinal"))
+    by_id = last.filter(F.col("id").isNotNull()).select(
+        F.col("id").alias("_id"), F.col("natural_key").alias("_key"), "deleted", "_creates", F.col("_gone").isNotNull().alias("_was_deleted"),
+        F.col("values").alias("_values"), "_at")
+    by_key = last.filter(F.col("id").isNull()).select(
+        F.col("natural_key").alias("_nk"), F.col("_creates").alias("_key_creates"), F.col("values").alias("_key_values"), F.col("_at").alias("_key_at"))
+    base = target.withColumn("_id", F.col(row_id).cast("string")).withColumn("_nk", F.col(natural_key).cast("string"))
+    joined = join_per_key(join_per_key(base, by_id, ["_id"]), by_key, ["_nk"])
     there = joined.filter(~F.coalesce("deleted", F.lit(False)) & ~(F.coalesce("_was_deleted", F.lit(False)) & ~F.coalesce("_creates", F.lit(False))))
+    later = F.col("_key_at").isNotNull() & (F.col("_at").isNull() | (F.col("_key_at") > F.col("_at")))
+    there = there.withColumn("_values", F.when(later, F.col("_key_values")).otherwise(F.col("_values")))
     kept = apply_recorded_values(there, "_values", columns, nullable=columns).withColumn(
-        "action", F.when(F.col("_values").isNull(), "kept").otherwise("updated"))
-    fresh = plan.filter(~F.col("deleted") & F.col("_creates")).join(base.select("_id"), "_id", "left_anti")
-    empty = fresh.select("_values", *[
-        (F.col("_id").try_cast(f.dataType) if f.name == row_id else F.lit(None).cast(f.dataType)).alias(f.name)
+        "action", F.when(F.col("_at").isNull() & F.col("_key_at").isNull(), "kept").otherwise("updated"))
+    fresh = by_id.filter(~F.col("deleted") & F.col("_creates")).join(base.select("_id"), "_id", "left_anti").select("_id", F.col("_key").alias("_nk"), "_values")
+    taken = there.select("_nk").unionByName(fresh.select("_nk"))
+    keyed = (by_key.filter("_key_creates").join(taken, "_nk", "left_anti")
+             .select(F.lit(None).cast("string").alias("_id"), "_nk", F.col("_key_values").alias("_values")))
+    given = {row_id: "_id", natural_key: "_nk"}
+    empty = fresh.unionByName(keyed).select("_values", *[
+        (F.col(given[f.name]).try_cast(f.dataType) if f.name in given else F.lit(None).cast(f.dataType)).alias(f.name)
         for f in target.schema.fields])
     created = apply_recorded_values(empty, "_values", columns, nullable=columns).withColumn("action", F.lit("created"))
     names = [*target.columns, "action"]
     return kept.select(*names).unionByName(created.select(*names))
 
 
-def replay_steps(entities: DataFrame, scenarios: DataFrame, target: DataFrame, row_id: str) -> DataFrame:
+def replay_steps(entities: DataFrame, scenarios: DataFrame, target: DataFrame, row_id: str, natural_key: str | None = None,
+                 configured: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """Every record with ``step``: created, updated, deleted, absent, failed, warning or skipped.
 
-    Whether the row exists when a record is replayed follows from the last creation or deletion
-    before it, else from the table.
+    Whether the row exists when a record is replayed follows from the last creation or deletion before
+    it, else from the table: by id, and only without an id by natural key. A record whose (domain,
+    entity) is not ``configured`` fails.
     """
     played = scenarios.withColumn("_play", (F.col("lifecycle") == "Persistent") & (F.col("outcome") != "Skipped")).select("scenario_seq", "_play")
     marked = join_per_key(entities, played, ["scenario_seq"])
     dry = F.col("persisted_via").eqNullSafe("dry-run")
     live = F.coalesce("_play", F.lit(False)) & ~dry
+    known_type = F.lit(True) if configured is None else F.concat(F.lower("domain"), F.lit("|"), F.lower("entity")).isin(
+        *[f"{d}|{e}".lower() for d, e in configured])
     rest = marked.filter(~live).select("scenario_seq", "ordinal", F.lit("skipped").alias("step"))
-    wiped = marked.filter(live & (F.col("verb") == "Delete") & F.col("id").isNull()).select("scenario_seq", "ordinal", F.lit("warning").alias("step"))
-    rows = (marked.filter(live & ~((F.col("verb") == "Delete") & F.col("id").isNull())).withColumn("row_key", row_key())
+    strange = marked.filter(live & ~F.coalesce(known_type, F.lit(False))).select("scenario_seq", "ordinal", F.lit("failed").alias("step"))
+    live = live & known_type
+    wipe = (F.col("verb") == "Delete") & F.col("id").isNull()
+    wiped = marked.filter(live & wipe).select("scenario_seq", "ordinal", F.lit("warning").alias("step"))
+    rows = (marked.filter(live & ~wipe).withColumn("row_key", row_key())
             .withColumn("_exists_after", F.when(F.col("verb").isin("Create", "Projection"), True).when(F.col("verb") == "Delete", False)))
-    traced = last_before(rows.select("scenario_seq", "ordinal", "row_key", "id", "verb", "_exists_after"),
+    traced = last_before(rows.select("scenario_seq", "ordinal", "row_key", "id", "natural_key", "verb", "_exists_after"),
                          ["row_key"], "scenario_seq", "ordinal", "_exists_after", "_before")
-    stored = target.select(F.col(row_id).cast("string").alias("id")).filter(F.col("id").isNotNull()).distinct().withColumn("_stored", F.lit(True))
-    known = join_per_key(traced, stored, ["id"])
+    # ids and natural keys of the table in one list, so that the records are joined once
+    stored = target.select(F.concat(F.lit("i"), F.col(row_id).cast("string")).alias("_handle"))
+    if natural_key is not None:
+        stored = stored.unionByName(target.select(F.concat(F.lit("k"), F.col(natural_key).cast("string")).alias("_handle")))
+    stored = stored.filter(F.col("_handle").isNotNull()).distinct().withColumn("_stored", F.lit(True))
+    handle = F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("k"), "natural_key"))
+    known = join_per_key(traced.withColumn("_handle", handle), stored, ["_handle"])
     exists = F.coalesce("_before", "_stored", F.lit(False))
     step = (F.when(F.col("verb").isin("Create", "Projection"), F.when(exists, "updated").otherwise("created"))
             .when(F.col("verb") == "Update", F.when(exists, "updated").otherwise("failed"))
             .when(F.col("verb") == "Delete", F.when(exists, "deleted").otherwise("absent")).otherwise("skipped"))
-    return known.select("scenario_seq", "ordinal", step.alias("step")).unionByName(wiped).unionByName(rest)
+    return known.select("scenario_seq", "ordinal", step.alias("step")).unionByName(wiped).unionByName(strange).unionByName(rest)
 
 
 def replay_report(steps: DataFrame, bulk_warnings: int = 0) -> DataFrame:

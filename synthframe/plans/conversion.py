@@ -189,7 +189,7 @@ def _(t):
 
 _SNAP_SQL = """
 SELECT o_orderkey, 'o_orderstatus' AS property, o_orderstatus AS value FROM orders UNION ALL
-SELECT o_orderkey, 'o_totalprice', CAST(CAST(o_totalprice AS DECIMAL(38,6)) AS VARCHAR) FROM orders UNION ALL
+SELECT o_orderkey, 'o_totalprice', CAST(o_totalprice AS VARCHAR) FROM orders UNION ALL
 SELECT o_orderkey, 'o_orderdate', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') FROM orders UNION ALL
 SELECT o_orderkey, 'o_custkey', CASE WHEN o_custkey % 5 <> 0 THEN o_custkey::VARCHAR END FROM orders"""
 
@@ -201,17 +201,19 @@ def _(t):
 
 
 @reg.add("cnv13_values_equal", """
-SELECT o_orderkey, CASE (o_orderkey % 8)::INT WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true
+SELECT o_orderkey, CASE (o_orderkey % 11)::INT WHEN 8 THEN false WHEN 9 THEN true WHEN 10 THEN false WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true
   WHEN 4 THEN false WHEN 5 THEN false WHEN 6 THEN true ELSE false END AS same FROM orders""")
 def _(t):
     i = F.col("o_orderkey")
     price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     key = i.cast("string")
     iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
-    case = i % 8
+    case = i % 11
     recorded = (F.when(case == 0, key).when(case == 1, price).when(case == 2, F.concat(F.lit("007"), key))
-                 .when(case == 3, F.concat(iso, F.lit("Z"))).when(case == 4, iso).when(case == 5, key))
+                 .when(case == 3, F.concat(iso, F.lit("Z"))).when(case == 4, iso).when(case == 5, key)
+                 .when(case == 8, F.lit("0.00000000001")).when(case == 9, F.concat(F.lit("+0"), key, F.lit("."), F.repeat(F.lit("0"), 40), F.lit("10"))).when(case == 10, F.lit("9007199254740993.0")))
     current = (F.when(case == 0, key).when(case == 1, F.concat(price, F.lit("00"))).when(case == 2, F.concat(F.lit("7"), key))
                 .when(case == 3, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(".0000004")))
-                .when(case == 4, F.concat(iso, F.lit(".000001"))).when(case == 7, key))
+                .when(case == 4, F.concat(iso, F.lit(".000001"))).when(case == 7, key)
+                .when(case == 8, F.lit("0.00000000002")).when(case == 9, F.concat(key, F.lit("."), F.repeat(F.lit("0"), 40), F.lit("1"))).when(case == 10, F.lit("9007199254740992.0")))
     return t.orders.select("o_orderkey", values_equal(recorded, current).alias("same"))

@@ -30,7 +30,7 @@ def _(t):
 _EXPECTED_SQL = """(SELECT *, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey::VARCHAR END AS id, 'ORD-' || o_orderkey::VARCHAR AS nk,
   'orders|order|' || CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey::VARCHAR ELSE 'nk:ord-' || o_orderkey::VARCHAR END AS row_key,
   o_orderkey % 101 = 0 AS deleted, o_orderkey % 97 <> 0 AS found, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price_text,
-  CAST(CAST(o_totalprice + CASE WHEN o_orderkey % 89 = 0 THEN 1 ELSE 0 END AS DECIMAL(38,6)) AS VARCHAR) AS price_now FROM orders)"""
+  CAST(o_totalprice + CASE WHEN o_orderkey % 89 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS price_now FROM orders)"""
 
 
 def _found(t):
@@ -86,14 +86,19 @@ _TARGET_SQL = "(SELECT 'r' || c_custkey::VARCHAR AS id, 'K' || c_custkey::VARCHA
 
 
 @reg.add("drf5_replay", f"""
-WITH p AS (SELECT * FROM {_PLAYED_SQL} WHERE entity = 'Customer' AND id IS NOT NULL),
-l AS (SELECT id, arg_max(verb, pos) AS verb, arg_max(amount, pos) AS amount, arg_max(kind, pos) AS kind,
-  max(pos) FILTER (verb = 'Delete') AS gone, max(pos) FILTER (verb IN ('Create', 'Projection')) AS made FROM p GROUP BY id)
-SELECT t.id, t.nk, coalesce(CAST(l.amount AS DOUBLE), t.amount) AS amount, coalesce(l.kind, t.kind) AS kind,
-  CASE WHEN l.id IS NULL THEN 'kept' ELSE 'updated' END AS action FROM {_TARGET_SQL} t LEFT JOIN l ON t.id = l.id
-WHERE l.id IS NULL OR (verb <> 'Delete' AND (gone IS NULL OR coalesce(made > gone, false))) UNION ALL
-SELECT l.id, NULL, CAST(l.amount AS DOUBLE), l.kind, 'created' FROM l WHERE verb <> 'Delete' AND made IS NOT NULL AND (gone IS NULL OR made > gone)
-  AND id NOT IN (SELECT id FROM {_TARGET_SQL})""")
+WITH q AS (SELECT * FROM {_PLAYED_SQL} WHERE entity = 'Customer'), p AS (SELECT * FROM q WHERE id IS NOT NULL),
+k AS (SELECT natural_key AS nk, arg_max(amount, pos) AS amount, arg_max(kind, pos) AS kind, max(pos) AS pos,
+  max(pos) FILTER (verb IN ('Create', 'Projection')) AS made FROM q WHERE id IS NULL AND verb <> 'Delete' GROUP BY natural_key),
+l AS (SELECT id, max(pos) AS pos, arg_max(natural_key, pos) AS nk, arg_max(verb, pos) AS verb, arg_max(amount, pos) AS amount, arg_max(kind, pos) AS kind,
+  max(pos) FILTER (verb = 'Delete') AS gone, max(pos) FILTER (verb IN ('Create', 'Projection')) AS made FROM p GROUP BY id),
+s AS (SELECT t.id, t.nk, coalesce(CAST(CASE WHEN k.pos > coalesce(l.pos, 0) THEN k.amount ELSE l.amount END AS DOUBLE), t.amount) AS amount,
+  coalesce(CASE WHEN k.pos > coalesce(l.pos, 0) THEN k.kind ELSE l.kind END, t.kind) AS kind,
+  CASE WHEN l.id IS NULL AND k.nk IS NULL THEN 'kept' ELSE 'updated' END AS action FROM {_TARGET_SQL} t LEFT JOIN l ON t.id = l.id LEFT JOIN k ON t.nk = k.nk
+  WHERE l.id IS NULL OR (verb <> 'Delete' AND (gone IS NULL OR coalesce(l.made > gone, false)))),
+f AS (SELECT l.id, l.nk, CAST(l.amount AS DOUBLE) AS amount, l.kind, 'created' AS action FROM l WHERE verb <> 'Delete' AND made IS NOT NULL
+  AND (gone IS NULL OR made > gone) AND id NOT IN (SELECT id FROM {_TARGET_SQL}))
+SELECT * FROM s UNION ALL SELECT * FROM f UNION ALL
+SELECT NULL, nk, CAST(amount AS DOUBLE), kind, 'created' FROM k WHERE made IS NOT NULL AND nk NOT IN (SELECT nk FROM s) AND nk NOT IN (SELECT nk FROM f)""")
 def _(t):
     return pb.replay(fx.entities(t), fx.scenarios(t), _target(t), "orders", "customer", "id", "nk", ["amount", "kind"])
 
@@ -101,7 +106,7 @@ def _(t):
 _STEPS_SQL = f"""(SELECT scenario_seq, ordinal, CASE WHEN verb IN ('Create', 'Projection') THEN CASE WHEN there THEN 'updated' ELSE 'created' END
     WHEN verb = 'Update' THEN CASE WHEN there THEN 'updated' ELSE 'failed' END ELSE CASE WHEN there THEN 'deleted' ELSE 'absent' END END AS step FROM (
   SELECT p.*, coalesce(last_value(CASE WHEN verb IN ('Create', 'Projection') THEN true WHEN verb = 'Delete' THEN false END IGNORE NULLS) OVER (
-      PARTITION BY row_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), p.id IN (SELECT id FROM {_TARGET_SQL}), false) AS there
+      PARTITION BY row_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE WHEN p.id IS NULL THEN p.natural_key IN (SELECT nk FROM {_TARGET_SQL}) ELSE p.id IN (SELECT id FROM {_TARGET_SQL}) END, false) AS there
   FROM {_PLAYED_SQL} p WHERE verb <> 'Delete' OR id IS NOT NULL)
 UNION ALL SELECT scenario_seq, ordinal, 'warning' FROM {_PLAYED_SQL} WHERE verb = 'Delete' AND id IS NULL
 UNION ALL SELECT scenario_seq, ordinal, 'skipped' FROM {fx.ENTITIES_SQL} WHERE persisted_via = 'dry-run' OR scenario_seq NOT IN (
@@ -110,7 +115,7 @@ UNION ALL SELECT scenario_seq, ordinal, 'skipped' FROM {fx.ENTITIES_SQL} WHERE p
 
 @reg.add("drf5_replay_steps", f"SELECT * FROM {_STEPS_SQL}")
 def _(t):
-    return pb.replay_steps(fx.entities(t), fx.scenarios(t), _target(t), "id")
+    return pb.replay_steps(fx.entities(t), fx.scenarios(t), _target(t), "id", "nk", [("orders", "customer"), ("Orders", "ORDER")])
 
 
 @reg.add("drf6_replay_report", f"""
@@ -119,17 +124,17 @@ SELECT *, CASE WHEN failures > 0 THEN 2 WHEN warnings > 0 THEN 1 ELSE 0 END::INT
     count(*) FILTER (step = 'skipped') AS skipped, count(*) FILTER (step = 'warning') + 3 AS warnings, count(*) FILTER (step = 'failed') AS failures
   FROM {_STEPS_SQL})""")
 def _(t):
-    return pb.replay_report(pb.replay_steps(fx.entities(t), fx.scenarios(t), _target(t), "id"), bulk_warnings=3)
+    return pb.replay_report(pb.replay_steps(fx.entities(t), fx.scenarios(t), _target(t), "id", "nk"), bulk_warnings=3)
 
 
 @reg.add("drf7_apply_recorded_values", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 12.5 ELSE o_totalprice END AS o_totalprice,
   CASE WHEN o_orderkey % 4 = 1 THEN NULL WHEN o_orderkey % 4 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-  CASE WHEN o_orderkey % 4 = 2 THEN 'o_totalprice: Cannot convert "much" to double' WHEN o_orderkey % 4 = 3 THEN 'unknown property colour' ELSE '' END AS warnings
+  CASE WHEN o_orderkey % 4 = 2 THEN 'o_totalprice: Cannot convert "much" to double' WHEN o_orderkey % 4 = 3 THEN 'unknown property colour' WHEN o_orderkey % 4 = 0 THEN 'unknown property ORDERSTATUS' ELSE '' END AS warnings
 FROM orders""")
 def _(t):
     case = F.col("o_orderkey") % 4
-    recorded = (F.when(case == 0, F.create_map(F.lit("o_totalprice"), F.lit("12.50"), F.lit("o_orderstatus"), F.lit("X")))
+    recorded = (F.when(case == 0, F.create_map(F.lit("O TotalPrice"), F.lit("12.50"), F.lit("ORDERSTATUS"), F.lit("?"), F.lit("o-OrderStatus"), F.lit("X")))
                  .when(case == 1, F.create_map(F.lit("o_orderstatus"), F.lit(None).cast("string"), F.lit("o_totalprice"), F.lit(None).cast("string")))
                  .when(case == 2, F.create_map(F.lit("o_totalprice"), F.lit("much"))).otherwise(F.create_map(F.lit("colour"), F.lit("red"))))
     rows = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus", recorded.alias("recorded"))

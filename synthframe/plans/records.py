@@ -19,7 +19,7 @@ RULE = "RUN"
 @reg.add("man1_record_entities", f"""
 SELECT o_orderkey AS ordinal, 'Orders' AS domain, 'Order' AS entity, 'Create' AS verb, 'bulk' AS persisted_via, id,
   'Deterministic' AS id_strategy, nk AS natural_key, 'OrderFaker+distributions' AS source, 'Id=' || id || ';OrderNumber=' || nk ||
-  ';Status=' || status || ';Total=' || CAST(CAST(total AS DECIMAL(38,6)) AS VARCHAR) AS values, '' AS overrides FROM (
+  ';Status=' || status || ';Total=' || CAST(total AS VARCHAR) AS values, '' AS overrides FROM (
   SELECT o_orderkey, {_KEY_SQL} AS nk, {_STATUS_SQL} AS status, {_TOTAL_SQL} AS total, {sql_uuid5("'Orders|Order|' || " + _KEY_SQL)} AS id FROM orders)""")
 def _(t):
     plan = order_plan()
@@ -56,7 +56,7 @@ def _(t):
 
 
 _ROW_SQL = """event_id::VARCHAR || '|' || 'e' || event_id::VARCHAR || '|' || CASE WHEN event_id % 5 = 0 THEN '' ELSE 'k' || event_id::VARCHAR END
-  || chr(31) || 'ts=' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || chr(31) || 'value=' || CAST(CAST(value AS DECIMAL(38,6)) AS VARCHAR)"""
+  || chr(31) || 'ts=' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || chr(31) || 'value=' || CAST(value AS VARCHAR)"""
 
 
 def _texts(df):
