@@ -17,10 +17,11 @@ IRREGULAR = {
 SUFFIX_RULES = (
     (r"(?i)(alias|bus|campus|status|virus)es$", "1"),
     (r"(?i)(ss|x|ch|sh|zz)es$", "1"),
-    (r"(?i)(analy|ba|cri|diagno|hypothe|the)ses$", "1sis"),
+    (r"(?i)((?:^|[ _-])(?:analy|ba|cri|diagno|hypothe|oa|parenthe|synthe|the))ses$", "1sis"),
+    (r"(?i)((?:^|[ _-])(?:cook|gen|mov|p|pix|t|zomb|calor|bro|l|d))ies$", "1ie"),
     (r"(?i)([^aeiou])ies$", "1y"),
-    (r"(?i)(hal|wol|cal|shel|scar|dwar|lea|loa|thie)ves$", "1f"),
-    (r"(?i)(kni|li|wi)ves$", "1fe"),
+    (r"(?i)((?:^|[ _-])(?:hal|wol|cal|shel|el|scar|dwar|lea|loa|thie|sel))ves$", "1f"),
+    (r"(?i)((?:^|[ _-])(?:kni|li|wi))ves$", "1fe"),
     (r"(?i)(her|potat|tomat|ech|torped|vet)oes$", "1o"),
     (r"(?i)(indi|appendi|matri|verti)ces$", "1x"),
     (r"(?i)(ss|us|is)$", "1"),

@@ -27,12 +27,14 @@ def layer_conflicts(layers: DataFrame) -> DataFrame:
 
 
 def merge_registries(own: DataFrame, packs: DataFrame) -> DataFrame:
-    """``domain, key, source``: a domain's own registry whole, else that of a pack.
+    """``domain, key, source``: a domain's own registry whole, else that of the one pack that has it.
 
-    ``own`` is ``domain, key``; ``packs`` is ``pack, domain, key``.
+    ``own`` is ``domain, key``; ``packs`` is ``pack, domain, key``. A domain that two packs define is left
+    out, for neither may win: see ``registry_conflicts``.
     """
     covered = own.select(F.lower("domain").alias("_d")).distinct()
-    added = packs.withColumn("_d", F.lower("domain")).join(covered, "_d", "left_anti")
+    open_ = packs.withColumn("_d", F.lower("domain")).join(covered, "_d", "left_anti")
+    added = open_.join(registry_conflicts(packs).select(F.col("domain").alias("_d")), "_d", "left_anti")
     return own.select("domain", "key", F.lit("own").alias("source")).unionByName(
         added.select("domain", "key", F.col("pack").alias("source")))
 

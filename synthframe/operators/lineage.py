@@ -15,7 +15,6 @@ from .skew import join_per_key
 # Kinds of node ids, and from how many rows on a scenario's entity is one node.
 SINGLE, AGGREGATE, OUTSIDE = "ent", "agg", "ext"
 AGGREGATE_FROM = 10
-MAX_DEPTH = 64
 
 
 def node_of_rows(entities: DataFrame, bulk: DataFrame, threshold: int = AGGREGATE_FROM) -> DataFrame:
@@ -85,34 +84,34 @@ def lineage_edges(entities: DataFrame, bulk: DataFrame, refs: DataFrame, thresho
             .groupBy("source_id", "target_id", F.col("resolved_from").alias("label")).agg(F.count(F.lit(1)).alias("count")))
 
 
-def lineage_depth(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``node_id, depth``: the longest path to a node that depends on nothing.
+def lineage_depth(edges: DataFrame) -> DataFrame:
+    """``node_id, depth, cyclic``: the longest path to a node that depends on nothing, however long it is.
 
-    Level k holds every node with a path of length k; a node's depth is the last level it is in.
-    Each level is written out, so the plan does not grow and a lost executor repeats one level at
-    most. Nodes on a cycle stop at ``max_depth``.
+    Nodes are peeled level by level: one goes when all it depends on has gone, and its level is its depth.
+    What is left when nothing can go lies on a cycle or depends on one: ``cyclic``, without a depth. Each
+    round writes the edges that are left, so the work shrinks, the plan does not grow, and a lost executor
+    repeats one round at most.
     """
     spark = edges.sparkSession
-    pairs = edges.select("source_id", "target_id").distinct()
-    schema = "node_id string, depth int"
     root = scratch_path(spark, "lineage")
-    held = f"{root}/edges"
-    pairs.write.parquet(held)
-    pairs = spark.read.schema("source_id string, target_id string").parquet(held)
-    leaves = pairs.select(F.col("target_id").alias("node_id")).distinct().join(
-        pairs.select(F.col("source_id").alias("node_id")).distinct(), "node_id", "left_anti")
-    leaves.withColumn("depth", F.lit(0)).write.parquet(f"{root}/level=0")
-    levels = 0
-    for depth in range(1, max_depth + 1):
-        last = spark.read.schema(schema).parquet(f"{root}/level={depth - 1}").select(F.col("node_id").alias("target_id"))
-        above = join_per_key(pairs, last, ["target_id"], "left_semi").select(F.col("source_id").alias("node_id")).distinct()
-        path = f"{root}/level={depth}"
-        above.withColumn("depth", F.lit(depth)).write.parquet(path)
-        levels = depth
-        if spark.read.schema(schema).parquet(path).isEmpty():
-            break
-    everything = spark.read.schema(schema).parquet(*[f"{root}/level={d}" for d in range(levels + 1)])
-    cyclic = pairs.select(F.col("source_id").alias("node_id")).union(pairs.select("target_id")).distinct().withColumn("depth", F.lit(-1))
-    # a node that no leaf is reachable from lies on a cycle: it keeps the guard's depth 0
-    return (everything.unionByName(cyclic).groupBy("node_id").agg(F.max("depth").alias("depth"))
-            .withColumn("depth", F.greatest("depth", F.lit(0))))
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    left = written(edges.select("source_id", "target_id").filter("source_id IS NOT NULL AND target_id IS NOT NULL").distinct(), "edges-0")
+    sources = left.select(F.col("source_id").alias("node_id")).distinct()
+    last = written(left.select(F.col("target_id").alias("node_id")).distinct().join(sources, "node_id", "left_anti").withColumn("depth", F.lit(0)), "level-0")
+    levels, depth = [last], 0
+    while not last.isEmpty():
+        depth += 1
+        gone = last.select(F.col("node_id").alias("target_id"))
+        rest = written(join_per_key(left, gone, ["target_id"], "left_anti"), f"edges-{depth}")
+        freed = join_per_key(left, gone, ["target_id"], "left_semi").select(F.col("source_id").alias("node_id")).distinct()
+        waiting = rest.select(F.col("source_id").alias("node_id")).distinct()
+        last = written(join_per_key(freed, waiting, ["node_id"], "left_anti").withColumn("depth", F.lit(depth)), f"level-{depth}")
+        levels.append(last)
+        left = rest
+    found = spark.read.schema("node_id string, depth int").parquet(*[f"{root}/level-{d}" for d in range(depth + 1)]).withColumn("cyclic", F.lit(False))
+    stuck = left.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
+    return found.unionByName(stuck.select("node_id", F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic")))

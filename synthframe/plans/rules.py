@@ -171,7 +171,8 @@ def _packs(t):
 
 @reg.add("cfg2_merge_registries", f"""
 SELECT domain, key, 'own' AS source FROM (SELECT lower(p_type) || '1' AS domain, p_brand AS key FROM part WHERE p_size = 1) UNION ALL
-SELECT domain, key, pack FROM {_PACKS_SQL} WHERE lower(domain) NOT IN (SELECT lower(p_type) || '1' FROM part WHERE p_size = 1)""")
+SELECT domain, key, pack FROM {_PACKS_SQL} WHERE lower(domain) NOT IN (SELECT lower(p_type) || '1' FROM part WHERE p_size = 1)
+  AND lower(domain) IN (SELECT lower(domain) FROM {_PACKS_SQL} GROUP BY 1 HAVING count(DISTINCT pack) = 1)""")
 def _(t):
     own = t.part.filter(F.col("p_size") == 1).select(F.concat(F.lower("p_type"), F.lit("1")).alias("domain"), F.col("p_brand").alias("key"))
     return ly.merge_registries(own, _packs(t))
@@ -238,10 +239,11 @@ def _(t):
 
 
 @reg.add("lin3_lineage_depth", """
-SELECT 'o' || o_orderkey::VARCHAR AS node_id, 3 AS depth FROM orders UNION ALL
-SELECT 'c' || c_custkey::VARCHAR, 2 FROM customer UNION ALL
-SELECT 'n' || n_nationkey::VARCHAR, 1 FROM nation UNION ALL SELECT 'r' || r_regionkey::VARCHAR, 0 FROM region
-  WHERE r_regionkey IN (SELECT n_regionkey FROM nation)""")
+SELECT 'o' || o_orderkey::VARCHAR AS node_id, 3 AS depth, false AS cyclic FROM orders UNION ALL
+SELECT 'c' || c_custkey::VARCHAR, 2, false FROM customer UNION ALL
+SELECT 'n' || n_nationkey::VARCHAR, 1, false FROM nation UNION ALL SELECT 'r' || r_regionkey::VARCHAR, 0, false FROM region
+  WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL
+SELECT 's' || s_suppkey::VARCHAR, NULL, true FROM supplier""")
 def _(t):
     def edge(df, a, pa, b, pb):
         return df.select(F.concat(F.lit(pa), F.col(a).cast("string")).alias("source_id"), F.concat(F.lit(pb), F.col(b).cast("string")).alias("target_id"))
@@ -249,7 +251,13 @@ def _(t):
     shortcut = t.orders.filter(F.col("o_orderkey") % 10 == 0).select("o_orderkey", (F.col("o_orderkey") % 25).alias("n"))
     edges = (edge(t.orders, "o_orderkey", "o", "o_custkey", "c").unionByName(edge(t.customer, "c_custkey", "c", "c_nationkey", "n"))
              .unionByName(edge(t.nation, "n_nationkey", "n", "n_regionkey", "r")).unionByName(edge(shortcut, "o_orderkey", "o", "n", "n")))
-    return ln.lineage_depth(edges)
+    # suppliers depend on each other in a ring, and one of them on a nation: they never come to an end
+    ring = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source_id"), F.col("s_suppkey").alias("_k"))
+    after = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target_id"), F.col("s_suppkey").alias("_t"))
+    count = t.supplier.agg(F.max("s_suppkey").alias("_n"))
+    ring = ring.withColumn("_t", F.col("_k") % count.scalar() + 1).join(after, "_t").select("source_id", "target_id")
+    way_out = edge(t.supplier, "s_suppkey", "s", "s_nationkey", "n")
+    return ln.lineage_depth(edges.unionByName(ring).unionByName(way_out))
 
 
 @reg.add("cat1_unknown_names", """

@@ -26,7 +26,7 @@ RUN_SCHEMA = (
     f"references: array<struct<{_REFERENCE}>>, unmatchedSteps: array<struct<text: string, line: int>>>>")
 
 JOURNAL_SCHEMA = ("kind string, scenario string, value string, seed long, ordinal long, entity string, verb string, id string, "
-                  "persisted boolean, at_utc timestamp")
+                  "persisted boolean, atUtc timestamp")
 
 
 def read_entity(spark: SparkSession, spec: EntitySpec, path: str | None = None, table: str | None = None,
@@ -100,9 +100,13 @@ def read_runs(spark: SparkSession, paths: Sequence[str] | str, pretty: bool = Tr
 
 
 def read_journal(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """Journal lines; a line cut off by a crash, a blank line, or one without a scenario is ignored."""
+    """Journal lines, times as ``at_utc``, and ``position``, which orders the lines of a file.
+
+    A line cut off by a crash, a blank line, or one without a scenario is ignored.
+    """
     lines = spark.read.schema(JOURNAL_SCHEMA).option("mode", "DROPMALFORMED").json(paths)
-    return lines.filter(F.col("scenario").isNotNull())
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return lines.withColumn("position", place).withColumnRenamed("atUtc", "at_utc").filter(F.col("scenario").isNotNull())
 
 
 def trend_index(spark: SparkSession, store: str) -> DataFrame:

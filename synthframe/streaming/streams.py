@@ -85,17 +85,15 @@ def run_to_table(metric: DataFrame, keys: Sequence[str], checkpoint: str | None
 def journal_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Journal lines as they are appended; broken lines and lines without a scenario are ignored."""
     lines = spark.readStream.schema(JOURNAL_SCHEMA).option("mode", "DROPMALFORMED").json(folder)
-    return lines.filter(F.col("scenario").isNotNull())
+    return lines.withColumnRenamed("atUtc", "at_utc").filter(F.col("scenario").isNotNull())
 
 
-def persisted_stream(lines: DataFrame, late: str = "1 day") -> DataFrame:
-    """``scenario, ordinal`` the first time they are recorded as persisted.
+def persisted_stream(lines: DataFrame) -> DataFrame:
+    """``scenario, ordinal`` of every line that records a persisted row, however late it comes.
 
-    Repeats within ``late`` are dropped in the stream, so the state is bounded by the watermark;
-    a reader of the table drops the rest.
+    The stream keeps no state and drops nothing; a reader of the table removes repeats.
     """
-    return (lines.filter((F.col("kind") == "entity") & F.col("persisted") & F.col("ordinal").isNotNull())
-            .withWatermark("at_utc", late).dropDuplicatesWithinWatermark(["scenario", "ordinal"]).select("scenario", "ordinal"))
+    return lines.filter((F.col("kind") == "entity") & F.col("persisted") & F.col("ordinal").isNotNull()).select("scenario", "ordinal")
 
 
 def append_to_table(rows: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:

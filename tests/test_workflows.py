@@ -3,10 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from synthframe.operators import benchmarks as bn, journal as jr, playback as pb, profiling as pr, records as rc, references as rf, rules as rl, verbs as vb
+from synthframe.operators import benchmarks as bn, journal as jr, lineage as ln, playback as pb, profiling as pr, records as rc, references as rf, rules as rl, verbs as vb
 from synthframe.session import scratch_path
 from synthframe.sources import readers as rd
-from synthframe.sources.versioned import VersionedTable, lifecycle_write
 from synthframe.streaming import streams as st
 from synthframe.plans import fixtures as fx
 from synthframe.plans.streams import _p95, _stream
@@ -193,16 +192,17 @@ def test_truncated_journal_line_is_ignored(spark, tmp_path):
     assert rd.read_journal(spark, str(path)).select("scenario", "ordinal").collect() == [("s", 1)]
 
 
-def test_versioned_table(spark):
-    table = VersionedTable(spark, scratch_path(spark, "table"))
-    with pytest.raises(FileNotFoundError):
-        table.read()
-    table.replace(spark.range(3))
-    table.replace(table.read().filter("id > 0"))
-    assert table.versions() == [1, 2] and table.read().count() == 2 and table.read(1).count() == 3
-    assert lifecycle_write(table, spark.range(10, 12), "id", "tracked_teardown").count() == 2
-    assert lifecycle_write(table, spark.range(10, 12), "id", "transactional").count() == 2
-    assert lifecycle_write(table, spark.range(10, 12), "id", "persistent").count() == 4
+def test_journals_as_written_keep_times_and_find_another_seed(spark, tmp_path):
+    path = tmp_path / "run.jsonl"
+    path.write_text("\n".join([
+        '{"kind":"scenario-start","scenario":"a","seed":1,"atUtc":"2024-01-01T00:00:00Z"}', '{"kind":"scenario-start","scenario":"a","seed":2,"atUtc":"2024-01-01T00:00:00Z"}',
+        '{"kind":"entity","scenario":"a","ordinal":1,"persisted":true,"atUtc":"2024-01-01T00:00:01Z"}', '{"kind":"scenario-start","scenario":"b","seed":5}',
+        '{"kind":"entity","scenario":"b","ordinal":1,"persisted":true}', '{"kind":"scenario-start","scenario":"c"}', '{"kind":"entity","scenario":"c","ordinal":1,"persisted":true}']))
+    journal = rd.read_journal(spark, str(path))
+    assert journal.filter("at_utc IS NOT NULL").count() == 3
+    assert {r.scenario: r.recorded_seed for r in jr.recorded_seeds(journal).collect()} == {"a": 2, "b": 5, "c": None}
+    plan = spark.createDataFrame([("a", 2, 1), ("a", 2, 2), ("b", 6, 1), ("c", 1, 1), ("d", 1, 1)], "scenario string, seed long, ordinal long")
+    assert sorted((r.scenario, r.ordinal) for r in jr.resume_plan(plan, journal).collect()) == [("a", 2), ("b", 1), ("c", 1), ("d", 1)]
 
 
 def test_streamed_sketch_is_close_to_the_exact_value(spark, tables):
@@ -219,4 +219,36 @@ def test_stream_restarts_from_its_checkpoint(spark):
     st.append_to_table(st.persisted_stream(st.journal_stream(spark, folder)), out, state)
     spark.createDataFrame([("entity", "s", 2, True, "2024-01-01T00:00:02"), ("entity", "s", 1, True, "2024-01-01T00:00:03")], line).write.mode("append").json(folder)
     done = st.append_to_table(st.persisted_stream(st.journal_stream(spark, folder)), out, state)
-    assert sorted(tuple(r) for r in done.collect()) == [("s", 1), ("s", 2)]
+    # a line that comes days late still counts
+    spark.createDataFrame([("entity", "s", 3, True, "2023-06-01T00:00:00")], line).write.mode("append").json(folder)
+    done = st.append_to_table(st.persisted_stream(st.journal_stream(spark, folder)), out, state)
+    assert sorted(tuple(r) for r in done.distinct().collect()) == [("s", 1), ("s", 2), ("s", 3)]
+    assert st.scenario_progress(done).first()["persisted"] == 3
+
+
+RECORD = ("scenario_seq int, ordinal long, domain string, entity string, verb string, persisted_via string, id string, natural_key string, "
+          "values map<string,string>")
+
+
+def test_records_without_an_id_are_replayed_by_natural_key(spark):
+    def record(n, verb, key, id_=None, entity="Customer", **values):
+        return (1, n, "Shop", entity, verb, "DbContext", id_, key, values)
+
+    records = spark.createDataFrame([
+        record(1, "Create", "new", Amount="5"), record(2, "Create", "known", amount="1.5"), record(3, "Update", "known", amount="2.5"),
+        record(4, "Update", "nobody", amount="9"), record(5, "Create", "k3", "3", amount="3"), record(6, "Update", "k3", amount="4"),
+        record(7, "Delete", None), record(8, "Create", "x", entity="Ghost")], RECORD)
+    runs = spark.createDataFrame([(1, "Persistent", "Succeeded")], "scenario_seq int, lifecycle string, outcome string")
+    target = spark.createDataFrame([("7", "known", 0.0), ("3", "k3", 0.0), ("8", "other", 8.0)], "id string, nk string, amount double")
+    got = {(r.nk, r.id): (r.amount, r.action) for r in pb.replay(records, runs, target, "shop", "customer", "id", "nk", ["amount"]).collect()}
+    assert got == {("known", "7"): (2.5, "updated"), ("k3", "3"): (4.0, "updated"), ("other", "8"): (8.0, "kept"), ("new", None): (5.0, "created")}
+    steps = {r.ordinal: r.step for r in pb.replay_steps(records, runs, target, "id", "nk", [("shop", "customer")]).collect()}
+    assert steps == {1: "created", 2: "updated", 3: "updated", 4: "failed", 5: "updated", 6: "updated", 7: "warning", 8: "failed"}
+
+
+def test_lineage_has_no_depth_limit_and_marks_cycles(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(70)]
+    edges = spark.createDataFrame([*chain, ("n0", "n70"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "n70"), ("d", "a")], "source_id string, target_id string")
+    got = {r.node_id: (r.depth, r.cyclic) for r in ln.lineage_depth(edges.coalesce(1)).collect()}
+    assert got == {**{f"n{i}": (70 - i, False) for i in range(71)}, **{n: (None, True) for n in "abcd"}}
+
