@@ -56,7 +56,9 @@ def test_values_equal(spark, a, b, same):
 
 @pytest.mark.parametrize("plural,singular", [
     ("Customers", "Customer"), ("Categories", "Category"), ("Boxes", "Box"), ("status", "status"), ("Statuses", "Status"), ("People", "Person"),
-    ("specimens", "specimen"), ("Addresses", "Address"), ("Customer", "Customer"), ("Invoices", "Invoice"), ("series", "series"), ("analyses", "analysis")])
+    ("specimens", "specimen"), ("Addresses", "Address"), ("Customer", "Customer"), ("Invoices", "Invoice"), ("series", "series"), ("analyses", "analysis"),
+    ("databases", "database"), ("cookies", "cookie"), ("olives", "olive"), ("movies", "movie"), ("ties", "tie"), ("lives", "life"), ("House Wives", "House Wife"),
+    ("leaves", "leaf"), ("phases", "phase"), ("theses", "thesis"), ("bases", "basis"), ("replies", "reply"), ("genies", "genie"), ("valves", "valve")])
 def test_singular(spark, plural, singular):
     assert spark.range(1).select(nm.singularize(F.lit(plural))).first()[0] == singular
 
