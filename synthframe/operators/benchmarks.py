@@ -138,6 +138,20 @@ def gates(current: DataFrame, baseline: DataFrame, rules: DataFrame, key: str =
                          (reason.isNotNull() | (change <= F.col("max_regression_pct"))).alias("passed"), reason.alias("reason"))
 
 
+def compare_from_store(stored: DataFrame, env: str, name: str, n: int = 5, stat: str = "p95Ms", rules: DataFrame | None = None) -> DataFrame:
+    """The newest published run of (env, name) against the median of the ``n`` runs before it.
+
+    ``stored`` has ``env, run_name, started_utc, key`` and the statistics, as ``sinks.publish_run`` stores them.
+    With ``rules`` the gates' results, else the comparison of ``stat``.
+    """
+    mine = stored.filter((F.lower("env") == env.lower()) & (F.lower("run_name") == name.lower()))
+    starts = mine.select("env", "run_name", "started_utc").distinct()
+    newest = starts.agg(F.max("started_utc")).scalar()
+    earlier = recent_runs(exclude_current(starts, newest), n).select("started_utc")
+    current, baseline = mine.filter(F.col("started_utc") == newest), median_baseline(mine.join(earlier, "started_utc", "left_semi"))
+    return compare(current, baseline, stat) if rules is None else gates(current, baseline, rules)
+
+
 def _array_median(values: Column) -> Column:
     known = F.array_sort(F.filter(values, lambda v: v.isNotNull()))
     n = F.size(known)

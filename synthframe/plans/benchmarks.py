@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import benchmarks as bn
+from ..session import scratch_path
+from ..sources.sinks import publish_run
 from .base import Registry, dbl
 
 reg = Registry()
@@ -115,6 +117,27 @@ def _(t):
     return bn.compare(current, _half(t, False).filter(F.col("key") != "click"))
 
 
+_NIGHTLY_SQL = f"(SELECT * FROM {_RUN_STATS_SQL} WHERE day(day) % 2 = 0)"
+_NEWEST_SQL = f"(SELECT max(day) FROM {_NIGHTLY_SQL})"
+
+
+@reg.add("ben_compare_from_store", f"""
+WITH c AS (SELECT * FROM {_NIGHTLY_SQL} WHERE day = {_NEWEST_SQL}),
+b AS (SELECT operation, round_even(quantile_cont("p95Ms", 0.5), 3) AS base FROM {_NIGHTLY_SQL} WHERE day IN (
+  SELECT DISTINCT day FROM {_NIGHTLY_SQL} WHERE day <> {_NEWEST_SQL} ORDER BY day DESC LIMIT 5) GROUP BY operation),
+r AS (SELECT 'P95Ms' AS stat, 5.0::DOUBLE AS max_regression_pct, c.operation, base AS baseline_ms, "p95Ms" AS current_ms,
+  CASE WHEN base > 0 THEN round_even(("p95Ms" - base) / base * 100, 1) END AS regression_pct,
+  CASE WHEN base IS NULL THEN 'skipped: no baseline data' END AS reason FROM c LEFT JOIN b ON c.operation = b.operation)
+SELECT *, reason IS NOT NULL OR regression_pct <= max_regression_pct AS passed FROM r""")
+def _(t):
+    runs = _run_stats(t).withColumnsRenamed({"operation": "key", "day": "started_utc"})
+    runs = runs.withColumn("env", F.when(F.dayofmonth("started_utc") % 2 == 0, "CI").otherwise("prod")).withColumn("run_name", F.lit("Nightly"))
+    store = scratch_path(t.spark, "statistics")
+    publish_run(runs, store)
+    rules = t.events.select(F.col("event_type").alias("operation")).distinct().select("operation", F.lit("P95Ms").alias("stat"), F.lit(5.0).alias("max_regression_pct"))
+    return bn.compare_from_store(t.spark.read.parquet(store), "ci", "nightly", rules=rules)
+
+
 @reg.add("ben8_gates", f"""
 WITH g AS (SELECT DISTINCT event_type AS operation, s.stat, -1.0::DOUBLE AS max_regression_pct FROM events
     CROSS JOIN (VALUES ('P95MS'), ('meanMs'), ('typo')) s(stat) UNION ALL

@@ -31,5 +31,5 @@ def publish_run(runs: DataFrame, store: str) -> None:
 
 
 def write_journal(lines: DataFrame, path: str) -> None:
-    """Append journal lines as JSON; every write adds files, none is rewritten."""
-    lines.write.mode("append").json(path)
+    """Append journal lines as JSON, with ``at_utc`` as ``atUtc``; every write adds files, none is rewritten."""
+    lines.withColumnRenamed("at_utc", "atUtc").write.mode("append").json(path)
