@@ -184,7 +184,9 @@ def near_links(keyed: DataFrame, radius: int) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key", F.ceil(F.col("_n") / TREE_CODES).cast("int").alias("_trees"))
     placed = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("_trees")).cast("int"))
     visits = placed.withColumn("tree", F.explode(F.sequence("part", F.col("_trees") - 1))).select("key", "tree", "part", "code", "node")
-    return (visits.repartition("key", "tree").sortWithinPartitions("key", "tree", "code", "node")
+    # a search costs far more than its bytes say, so these tasks must not be merged by size
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (visits.repartition(tasks, "key", "tree").sortWithinPartitions("key", "tree", "code", "node")
             .mapInArrow(_tree_links(radius), "a long, b long"))
 
 
