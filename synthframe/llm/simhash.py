@@ -294,6 +294,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     checked = pairs.filter(common >= similarity * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
     found = connected_components(checked).withColumnRenamed("node", "content")
     rooted = alone.join(found, "content", "left").select(F.coalesce("component", "content").alias("_root"), "_first", "content")
-    kept = rooted.groupBy("_root").agg(F.min(F.struct("_first", "content")).alias("_kept")).select("_kept.content", "_kept._first._id")
-    return (docs.withColumn("_content", content).join(kept, (F.col("_content") == F.col("content")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left_semi")
+    kept = rooted.groupBy("_root").agg(F.min(F.struct("_first", "content")).alias("_kept")).select(F.col("_kept.content").alias("_kept_content"), F.col("_kept._first._id").alias("_kept_id"))
+    return (docs.withColumn("_content", content).join(kept, (F.col("_content") == F.col("_kept_content")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
             .dropDuplicates([id_col, "_content"]).drop("_content"))

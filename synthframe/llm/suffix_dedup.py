@@ -341,8 +341,8 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
 
 
 def removal_report(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per input row its other columns, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``."""
-    rows, cuts = repeated_substrings(docs, text_col, length)
+    """Per input row its other columns, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``; columns of these names are replaced."""
+    rows, cuts = repeated_substrings(docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256"), text_col, length)
     return rows.join(cuts, ["text_key", "n_bytes"]).select("_row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256").drop("_null")
 
 

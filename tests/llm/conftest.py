@@ -9,8 +9,8 @@ TEXTS = [None, "", " ", "\n\t\n", "word", "Word  word", "a" * 5000, "ab " * 900,
 def docs(spark):
     """Makes a documents table of texts, with repeated rows, a null id and columns of clashing names."""
     def make(texts):
-        rows = [(i, t, "en", "src0", len(t or ""), "x", 1) for i, t in enumerate(texts)]
-        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string, shard int").repartition(3)
+        rows = [(i, t, "en", "src0", len(t or ""), "x", 1, "c", 7) for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words string, shard int, content string, n_bytes long").repartition(3)
     return make
 
 
