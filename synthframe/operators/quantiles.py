@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Blocks of a group, and the sketch's accuracy: a block is off by at most 1 / _ACCURACY of the group.
-BLOCKS = 128
+BLOCKS = 32
 _ACCURACY = 1000
 
 

@@ -18,7 +18,7 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, on: Sequence[str], how: st
     return rows.join(per_key, list(on), how)
 
 
-def last_before(df: DataFrame, keys: Sequence[str], major: str, minor: str, value: str, name: str, blocks: int = 128) -> DataFrame:
+def last_before(df: DataFrame, keys: Sequence[str], major: str, minor: str, value: str, name: str, blocks: int = 32) -> DataFrame:
     """Adds ``name``: the last non-null ``value`` of earlier rows of the key, in (major, minor) order.
 
     The table's positions are cut into ``blocks`` ranges at the quantiles of a sketch of ``major`` (numbers
