@@ -90,8 +90,8 @@ def _within_texts(first: np.ndarray, count: np.ndarray, bounds: np.ndarray, leng
 
 
 def _anchors(length: int):
-    """Task: texts to pieces. ``at`` packs the first window (32 bits), the windows less one (8 bits) 23 bits of
-    the text's length, and on top whether the anchor stands at several places of its run."""
+    """Task: texts to pieces. ``at`` packs the windows less one (8 bits), the first window, and on top whether
+    the anchor stands at several places of its run."""
     def run(batches):
         for part in text_slices(batches, "text"):
             data, bounds = joined(part.column("text"))
@@ -99,9 +99,9 @@ def _anchors(length: int):
             for first, count, anchor, several, chunk, low in windows_with_anchor(data, length):
                 which, text, start, count = _within_texts(first, count, bounds, length)
                 pieces = span_hashes(chunk, start - low, start - low + count + length - 1)
-                size = (bounds[1:] - bounds[:-1])[text] & 0x7FFFFF | (several[which].astype(np.int64) << 23)
-                at = (size.astype(np.uint64) << np.uint64(40)) | ((start - bounds[text]).astype(np.uint64) << np.uint64(8)) | (count - 1).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (anchor[which], pieces, keys[text], at)], ["anchor", "piece", "text_key", "at"])
+                at = (several[which].astype(np.uint64) << np.uint64(63)) | ((start - bounds[text]).astype(np.uint64) << np.uint64(8)) | (count - 1).astype(np.uint64)
+                size = (bounds[1:] - bounds[:-1])[text]
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (anchor[which], pieces, keys[text], size, at)], ["anchor", "piece", "text_key", "n_bytes", "at"])
 
     return run
 
@@ -116,13 +116,11 @@ def _cut_pieces(length: int):
                 flat = wanted.flatten()
                 row = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
                 at = flat.field("at").to_numpy().view(np.uint64)
-                start = bounds[row] + ((at >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                start = bounds[row] + ((at >> np.uint64(8)) & np.uint64((1 << 55) - 1)).astype(np.int64)
                 end = start + (at & np.uint64(0xFF)).astype(np.int64) + length
                 raw = data.tobytes()
-                ok = ((at >> np.uint64(40)) & np.uint64(0x7FFFFF)).astype(np.int64) == ((bounds[1:] - bounds[:-1]) & 0x7FFFFF)[row]
-                keep = np.flatnonzero(ok)
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field(n).take(pa.array(keep)) for n in ("anchor", "piece", "copies", "spread")] + [pa.array([raw[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist())], pa.binary())],
+                    [flat.field(n) for n in ("anchor", "piece", "copies", "spread")] + [pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary())],
                     ["anchor", "piece", "copies", "spread", "bytes"])
 
     return run
@@ -262,7 +260,7 @@ def _remove(length: int, whole_characters: bool):
                 out = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
                 for text, copies, spans in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), part.column("spans").to_pylist()):
                     data = text.encode()
-                    ranges = [(0, len(data))] if copies > 1 and len(data) >= length else _covered(spans or [], len(data), length)
+                    ranges = [(0, len(data))] if copies > 1 and len(data) >= length else _covered(spans or [], length)
                     kept = _without(data, ranges)
                     for name, value in zip(out, (len(data), len(data) - len(kept), len(ranges), hashlib.sha256(kept).hexdigest(),
                                                  _without(data, [_shrunk(data, a, b) for a, b in ranges]).decode() if whole_characters else None)):
@@ -273,10 +271,10 @@ def _remove(length: int, whole_characters: bool):
     return run
 
 
-def _covered(spans: list[dict], n_bytes: int, length: int) -> list[tuple[int, int]]:
-    """Maximal byte ranges covered by windows that start in ``spans``; spans of another text of that key are left out."""
+def _covered(spans: list[dict], length: int) -> list[tuple[int, int]]:
+    """Maximal byte ranges covered by windows that start in ``spans``."""
     out: list[tuple[int, int]] = []
-    for span in sorted((s["start"], s["end"]) for s in spans if s["size"] == n_bytes & 0x7FFFFF):
+    for span in sorted((s["start"], s["end"]) for s in spans):
         a, b = span[0], span[1] - 1 + length
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -317,25 +315,25 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
     # Every use below takes all columns of this table, so that its shuffle is made once and read three times.
     texts = (docs.select(F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
              .groupBy("text_key", "n_bytes").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
-    found = texts.mapInArrow(_anchors(length), "anchor long, piece long, text_key long, at long")
+    found = texts.mapInArrow(_anchors(length), "anchor long, piece long, text_key long, n_bytes long, at long")
     # Said here once, so that both uses of the join below plan the same shuffle and share it.
-    found = found.filter("anchor IS NOT NULL AND piece IS NOT NULL AND text_key IS NOT NULL")
+    found = found.filter("anchor IS NOT NULL AND piece IS NOT NULL AND text_key IS NOT NULL AND n_bytes IS NOT NULL")
     often = found.groupBy("anchor").agg(F.sum(F.when(F.col("at") < 0, 2).otherwise(1)).alias("_n")).filter("_n > 1")
     again = found.join(often, "anchor")
-    pieces = again.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.first("text_key").alias("text_key"), F.first("at").alias("at"),
+    pieces = again.groupBy("anchor", "piece").agg(F.count("*").alias("copies"), F.first("text_key").alias("text_key"), F.first("n_bytes").alias("n_bytes"), F.first("at").alias("at"),
                                                   F.ceil(F.first("_n") / SHARD_PIECES).cast("int").alias("spread"))
-    wanted = pieces.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "piece", "copies", "spread", "at")).alias("wanted"))
-    cut = texts.join(wanted, "text_key").mapInArrow(_cut_pieces(length), "anchor long, piece long, copies long, spread int, bytes binary")
+    wanted = pieces.groupBy("text_key", "n_bytes").agg(F.collect_list(F.struct("anchor", "piece", "copies", "spread", "at")).alias("wanted"))
+    cut = texts.join(wanted, ["text_key", "n_bytes"]).mapInArrow(_cut_pieces(length), "anchor long, piece long, copies long, spread int, bytes binary")
     few = (cut.filter("spread = 1").withColumn("shard", F.lit(0)).repartition("anchor").sortWithinPartitions("anchor", "piece")
            .mapInArrow(_shard(length, False), SHARD_ROWS))
     many = (cut.filter("spread > 1").withColumn("shard", F.pmod("piece", "spread").cast("int")).repartition("anchor", "shard").sortWithinPartitions("anchor", "shard", "piece")
             .mapInArrow(_shard(length, True), SHARD_ROWS).repartition("anchor", "range").sortWithinPartitions("anchor", "range").mapInArrow(_merge, SHARD_ROWS))
     repeated = few.unionByName(many).select("anchor", "piece", "runs")
-    start = F.shiftrightunsigned("at", 8).bitwiseAND(F.lit(0xFFFFFFFF))
+    start = F.shiftright("at", 8).bitwiseAND(F.lit((1 << 55) - 1))
     spans = (again.join(repeated, ["anchor", "piece"])
-             .select("text_key", F.explode("runs").alias("run"), start.alias("_from"), F.shiftrightunsigned("at", 40).bitwiseAND(F.lit(0x7FFFFF)).cast("int").alias("size"))
-             .groupBy("text_key").agg(F.collect_list(F.struct((F.col("_from") + F.col("run.start")).alias("start"), (F.col("_from") + F.col("run.end")).alias("end"), "size")).alias("spans")))
-    cuts = (texts.join(spans, "text_key", "left")
+             .select("text_key", "n_bytes", F.explode("runs").alias("run"), start.alias("_from"))
+             .groupBy("text_key", "n_bytes").agg(F.collect_list(F.struct((F.col("_from") + F.col("run.start")).alias("start"), (F.col("_from") + F.col("run.end")).alias("end"))).alias("spans")))
+    cuts = (texts.join(spans, ["text_key", "n_bytes"], "left")
             .mapInArrow(_remove(length, whole_characters), "text_key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
     return rows, cuts
 
