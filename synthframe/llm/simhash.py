@@ -163,6 +163,7 @@ def _links(held, radius: int) -> Iterator[pa.RecordBatch]:
     first = np.full(len(own), -1, np.int64)
     first[of[::-1]] = np.arange(members)[::-1]
     child = bk_tree(own)
+    kept_a, kept_b, kept_d = (np.zeros(0, np.int64) for _ in range(3))
     for low in range(0, len(code), QUERY_CODES):
         query = np.arange(low, min(low + QUERY_CODES, len(code)))
         q, at, distance = search_tree(own, child, code[query], radius)
@@ -170,9 +171,12 @@ def _links(held, radius: int) -> Iterator[pa.RecordBatch]:
         ok = a != b
         a, b, distance = a[ok], b[ok], distance[ok]
         if len(a):
+            # one forest over all searches so far: a tree never returns more links than it saw codes
+            a, b, distance = np.concatenate((kept_a, a)), np.concatenate((kept_b, b)), np.concatenate((kept_d, distance))
             points, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
             kept = spanning_forest(ends[: len(a)], ends[len(a) :], distance, len(points))
-            yield pa.RecordBatch.from_arrays([pa.array(node[a[kept]]), pa.array(node[b[kept]])], ["a", "b"])
+            kept_a, kept_b, kept_d = a[kept], b[kept], distance[kept]
+    yield pa.RecordBatch.from_arrays([pa.array(node[kept_a]), pa.array(node[kept_b])], ["a", "b"])
 
 
 def near_links(keyed: DataFrame, radius: int) -> DataFrame:
