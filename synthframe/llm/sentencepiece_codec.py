@@ -141,6 +141,10 @@ class Codec:
     def __init__(self, tokenizer: str, model: bytes, threads: int = THREADS):
         self.own, self.library, self.threads = Tokenizer.from_str(tokenizer), sentencepiece.SentencePieceProcessor(model_proto=model), threads
         self.spells = isinstance(self.own.model, models.Unigram)
+        parsed = PieceModel.parse(model)
+        self.prefix = parsed.dummy_prefix
+        self.spelling = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() if kind in (NORMAL, USER_DEFINED) else None
+                         for p, _, kind in parsed.pieces]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         ids = [e.ids for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
@@ -151,7 +155,15 @@ class Codec:
         return ids
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.own.decode_batch(ids, skip_special_tokens=False)
+        """Pieces joined by their bytes; ids of control pieces and bytes that are no UTF-8 take the tokenizer's decoder."""
+        out = []
+        for row in ids:
+            try:
+                text = b"".join([self.spelling[i] for i in row]).decode()
+                out.append(text[1:] if self.prefix and text[:1] == " " else text)
+            except (TypeError, UnicodeDecodeError):
+                out.append(self.own.decode(row, skip_special_tokens=False))
+        return out
 
     def parity(self, texts: list[str], ids: list[list[int]], decoded: list[str]) -> list[bool]:
         theirs = self.library.encode(texts, num_threads=self.threads)
