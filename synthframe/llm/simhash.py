@@ -237,66 +237,239 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 # --- one document of each group -------------------------------------------------------------------
 
-#: Words of a shingle, least Jaccard similarity of shingle sets, bits within which pairs are looked at, and
-#: minima per document: two documents of similarity s share none of them with probability (1 - s)**MINIMA.
-WORDS, SIMILARITY, WIDE_RADIUS, MINIMA = 5, 0.8, 20, 8
+#: Words of a shingle, least Jaccard similarity of shingle sets, and minima per document: two documents of
+#: similarity s share none of them with probability (1 - s)**MINIMA.
+WORDS, SIMILARITY, MINIMA = 5, 0.8, 8
+#: Shingles that a tree of a shard should hold on average, and that are sent on or checked at once.
+TREE_SHINGLES, SENT_SHINGLES = 4 << 20, 1 << 20
 
 
 def _sketches(words: int):
-    """Task: texts to (content, code, minima): the fingerprint and the smallest shingle hash in each of some orders."""
+    """Task: texts to (content, shingles, minima): the size of the shingle set, and the smallest shingle hash in each of some orders."""
     def run(batches):
         for part in text_slices(batches, "_text"):
-            codes, minima = [], []
+            sizes, minima = [], []
             for text in part.column("_text").to_pylist():
                 hashes = shingle_hashes(text, words)
-                codes.append(simhash(hashes))
+                sizes.append(len(np.unique(hashes)))
                 minima.append([int(mixed(hashes + np.uint64(i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)).min().view(np.int64)) for i in range(MINIMA)] if len(hashes) else [0])
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("content"), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(minima, pa.list_(pa.int64()))], ["_id", "content", "code", "minima"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("content"), pa.array(sizes, pa.int64()), pa.array(minima, pa.list_(pa.int64()))], ["_id", "content", "shingles", "minima"])
 
     return run
 
 
-def _shingle_sets(words: int):
-    """Task: texts to (content, shingles): the distinct shingle hashes, sorted."""
+def _visiting_sets(words: int):
+    """Task: (content, text, visits) to one row per visit with the distinct shingle hashes, sorted."""
     def run(batches):
         for part in text_slices(batches, "_text"):
             sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("content"), pa.array(sets, pa.list_(pa.int64()))], ["content", "shingles"])
+            visits = part.column("visits")
+            of = np.repeat(np.arange(part.num_rows), pa.compute.list_value_length(visits).to_numpy())
+            flat = visits.flatten()
+            upto = np.cumsum(np.array([len(x) for x in sets], np.int64)[of])
+            low = 0
+            while low < len(of):
+                high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + SENT_SHINGLES, "right")))
+                yield pa.RecordBatch.from_arrays(
+                    [flat.field(n)[low:high] for n in ("key", "tree", "part")] + [part.column("content").take(pa.array(of[low:high])), pa.array([sets[i] for i in of[low:high]], pa.list_(pa.int64()))],
+                    ["key", "tree", "part", "content", "shingles"])
+                low = high
 
     return run
 
 
+def similar_forest(values: np.ndarray, sizes: np.ndarray, similarity: float, labels: np.ndarray, old: int = 0) -> list[tuple[int, int]]:
+    """Links (a, b) that join sets as all pairs of Jaccard similarity ``similarity`` or more do; each link is such a pair.
+
+    ``values`` are the sets one after another. With ``old``, pairs of one of the first ``old`` sets and one of
+    the others are looked at, else all pairs. ``labels`` say which sets are joined already, and are updated.
+
+    No pair is lost: of two similar sets, each has one of their common values among its first
+    ``size - ceil(similarity * size) + 1`` in any order that both share (here rare values first), so pairs that
+    share such a value are checked whole, except where checked links join them already.
+    """
+    n, links = len(sizes), []
+    known, ids, found = np.unique(values, return_inverse=True, return_counts=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    marks = np.zeros(len(known), bool)
+
+    def join(a: int, b: int) -> None:
+        links.append((a, b))
+        labels[labels == max(labels[a], labels[b])] = min(labels[a], labels[b])
+
+    def check(a: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that are similar to ``a``."""
+        marks[ids[starts[a] : ends[a]]] = True
+        near = []
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes[others]) // SENT_SHINGLES)) + 1
+        for some in np.split(others, cuts):
+            upto = np.cumsum(sizes[some])
+            at = np.arange(upto[-1]) + np.repeat(starts[some] - upto + sizes[some], sizes[some])
+            common = np.add.reduceat(marks[ids[at]], upto - sizes[some], dtype=np.int64)
+            near.append(some[common >= similarity * (sizes[a] + sizes[some] - common)])
+        marks[ids[starts[a] : ends[a]]] = False
+        return np.concatenate(near)
+
+    def likely(a, b) -> np.ndarray:
+        """Not joined, and of sizes that allow the similarity."""
+        x, y = sizes[a], sizes[b]
+        return (labels[a] != labels[b]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-6) & ((a < old) & (b >= old) if old else True)
+
+    empty = np.flatnonzero(sizes == 0)
+    for a, b in zip(empty[:-1].tolist(), empty[1:].tolist()):
+        if labels[a] != labels[b]:
+            join(a, b)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(found, kind="stable")] = np.arange(len(known))
+    of = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((rank[ids], of))
+    first = sizes - np.ceil(similarity * sizes - 1e-6).astype(np.int64) + 1
+    kept = order[(np.arange(len(of)) - starts[of] < first[of]) & (found[ids[order]] > 1)]
+    token, doc = ids[kept], of[kept]
+    order = np.argsort(token, kind="stable")
+    token, doc = token[order], doc[order]  # by value, then by set
+
+    # neighbours in each value's list, those with most values in common first: copies are joined here
+    pairs, shared = np.unique((doc[:-1] * n + doc[1:])[token[:-1] == token[1:]], return_counts=True)
+    for low in range(0, len(pairs), 256):
+        if low == 0:
+            pairs = pairs[np.argsort(-shared, kind="stable")]
+        a, b = np.divmod(pairs[low : low + 256], n)
+        ok = likely(a, b)
+        for x, y in zip(a[ok].tolist(), b[ok].tolist()):
+            if labels[x] != labels[y] and len(check(x, np.array([y]))):
+                join(x, y)
+
+    # all that is left: values in whose lists not everything is joined
+    if len(token):
+        heads = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        mixed_lists = np.minimum.reduceat(labels[doc], heads) != np.maximum.reduceat(labels[doc], heads)
+        spans = np.diff(np.concatenate((heads, [len(token)])))
+        left = np.flatnonzero(np.repeat(mixed_lists, spans))
+        head = np.repeat(heads, spans)[left]
+        order = np.argsort(doc[left], kind="stable")
+        left, head = left[order], head[order]
+        bounds = np.flatnonzero(np.diff(doc[left])) + 1
+        for low, high in zip([0, *bounds.tolist()], [*bounds.tolist(), len(left)] if len(left) else []):
+            b = int(doc[left[low]])
+            if b < old:
+                continue
+            seen = np.zeros(n, bool)
+            for x, y in zip(head[low:high].tolist(), left[low:high].tolist()):
+                seen[doc[x:y]] = True
+            others = np.flatnonzero(seen)
+            others = others[likely(others, np.full(len(others), b))]
+            if len(others):
+                for a in check(b, others).tolist():
+                    if labels[a] != labels[b]:
+                        join(a, b)
+    return links
+
+
+class _Tree:
+    """The sets of one tree: members are held, visitors are looked at in groups, so that memory is bounded."""
+
+    def __init__(self, similarity: float):
+        self.similarity, self.members, self.visitors, self.labels, self.links = similarity, [], [], None, []
+
+    def add(self, visits: bool, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        (self.visitors if visits else self.members).append(rows)
+        if visits and (sum(len(x[0]) for x in self.visitors) >= TREE_CODES or sum(len(x[2]) for x in self.visitors) >= TREE_SHINGLES):
+            self.look()
+
+    def look(self) -> None:
+        if not self.members:
+            return
+        if self.labels is None:
+            self.members = [tuple(np.concatenate(x) for x in zip(*self.members))]
+            self.labels = np.arange(len(self.members[0][0]))
+            self._link(self.members, self.labels, 0)
+        if self.visitors:
+            old = len(self.labels)
+            more = sum(len(x[0]) for x in self.visitors)
+            labels = np.concatenate((self.labels, np.arange(old, old + more)))
+            self._link(self.members + self.visitors, labels, old)
+            self.labels, self.visitors = labels[:old], []
+
+    def _link(self, rows, labels: np.ndarray, old: int) -> None:
+        node, sizes, values = (np.concatenate(x) for x in zip(*rows))
+        if len(node) > 1:
+            self.links += [(node[a], node[b]) for a, b in similar_forest(values, sizes, self.similarity, labels, old)]
+
+
+def _checked_links(similarity: float):
+    """Task: sets sorted by (key, tree), members (``part`` = tree) before visitors, to checked links (a, b)."""
+    def run(batches):
+        tree, last, links = None, None, []
+        for batch in batches:
+            key, number, part, node = (batch.column(n).to_numpy() for n in ("key", "tree", "part", "content"))
+            offsets, values = batch.column("shingles").offsets.to_numpy().astype(np.int64), batch.column("shingles").values.to_numpy()
+            visits = part != number
+            bounds = np.flatnonzero((key[1:] != key[:-1]) | (number[1:] != number[:-1]) | (visits[1:] != visits[:-1])) + 1
+            for low, high in zip([0, *bounds.tolist()], [*bounds.tolist(), batch.num_rows]):
+                here = (key[low], number[low])
+                if here != last:
+                    if tree:
+                        tree.look()
+                        links += tree.links
+                    tree, last = _Tree(similarity), here
+                tree.add(bool(visits[low]), (node[low:high], np.diff(offsets[low : high + 1]), values[offsets[low] : offsets[high]]))
+            if len(links) >= 1 << 12:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+                links = []
+        if tree:
+            tree.look()
+            links += tree.links
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of texts that share a ``key``, which join them as all pairs of the similarity do.
+
+    ``docs``: content (long), _text; ``keyed``: key (long), content (long), shingles (size of the set). Keys
+    with one text are dropped, and of keys with the same texts one stays. A key with more than ``TREE_CODES``
+    texts or ``TREE_SHINGLES`` shingles is cut into trees by the content; a text visits its own tree and the later ones.
+    """
+    node = F.col("content")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("_n"), F.sum("shingles").alias("_shingles"), F.bit_xor(F.xxhash64(node)).alias("_x"), F.bit_xor(F.xxhash64(node, F.lit(1))).alias("_y"))
+    trees = F.ceil(F.greatest(F.col("_n") / TREE_CODES, F.least("_n", F.col("_shingles") / TREE_SHINGLES))).cast("int")
+    sizes = sizes.filter("_n > 1").groupBy("_n", "_shingles", "_x", "_y").agg(F.min("key").alias("key")).select("key", trees.alias("_trees"))
+    placed = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("content"), F.col("_trees")).cast("int"))
+    visits = placed.withColumn("tree", F.explode(F.sequence("part", F.col("_trees") - 1)))
+    visits = visits.groupBy("content").agg(F.collect_list(F.struct("key", "tree", "part")).alias("visits"))
+    texts = docs.groupBy("content").agg(F.first("_text").alias("_text"))
+    sets = texts.join(visits, "content").select("content", "_text", "visits").mapInArrow(_visiting_sets(words), "key long, tree int, part int, content long, shingles array<long>")
+    # a check costs more than its bytes say, so these tasks must not be merged by size
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (sets.repartition(tasks, "key", "tree").sortWithinPartitions("key", "tree", F.col("part") != F.col("tree"), "content")
+            .mapInArrow(_checked_links(similarity), "a long, b long"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
 
     Groups are components of links between equal texts and between texts whose sets of ``words``-word shingles
     (A-Z folded) have a Jaccard similarity of ``similarity`` or more. Candidates share one of ``MINIMA``
-    smallest shingle hashes and lie within ``WIDE_RADIUS`` bits in that shard's BK-tree; every link is then
-    checked on the whole sets. A null text is empty; texts without words are equal to each other. A null id
-    counts as larger than any other, and of rows equal in id and text one stays.
+    smallest shingle hashes; all of a shard's candidates are decided on the whole sets before any link is left
+    out. A null text is empty; texts without words are equal to each other. A null id counts as larger than any
+    other, and of rows equal in id and text one stays.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     content = F.xxhash64(text)
     path = scratch_path(spark, "sketches")
     (docs.select(F.col(f"`{id_col}`").alias("_id"), content.alias("content"), text.alias("_text"))
-     .mapInArrow(_sketches(words), f"_id {kind}, content long, code long, minima array<long>").write.parquet(path))
+     .mapInArrow(_sketches(words), f"_id {kind}, content long, shingles long, minima array<long>").write.parquet(path))
     first = F.struct(F.col("_id").isNull().alias("_null"), "_id")
-    alone = spark.read.parquet(path).groupBy("content").agg(F.min(first).alias("_first"), F.first("code").alias("code"), F.first("minima").alias("minima"))
-    keyed = alone.select("content", "code", F.posexplode("minima")).select(F.xxhash64("pos", "col").alias("key"), "code", F.col("content").alias("node"))
+    alone = spark.read.parquet(path).groupBy("content").agg(F.min(first).alias("_first"), F.first("shingles").alias("shingles"), F.first("minima").alias("minima"))
+    keyed = alone.select("content", "shingles", F.posexplode("minima")).select(F.xxhash64("pos", "col").alias("key"), "content", "shingles")
     path = scratch_path(spark, "near-links")
-    near_links(keyed, WIDE_RADIUS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().write.parquet(path)
-    links = spark.read.parquet(path)
-    ends = links.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    texts = docs.select(content.alias("content"), text.alias("_text")).groupBy("content").agg(F.first("_text").alias("_text"))
-    path = scratch_path(spark, "shingle-sets")
-    texts.join(ends, "content", "left_semi").mapInArrow(_shingle_sets(words), "content long, shingles array<long>").write.parquet(path)
-    sets = spark.read.parquet(path)
-    pairs = (links.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("_sa")), "a")
-             .join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("_sb")), "b"))
-    common = F.size(F.array_intersect("_sa", "_sb"))
-    checked = pairs.filter(common >= similarity * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
-    found = connected_components(checked).withColumnRenamed("node", "content")
+    similar_links(docs.select(content.alias("content"), text.alias("_text")), keyed, words, similarity).write.parquet(path)
+    found = connected_components(spark.read.parquet(path)).withColumnRenamed("node", "content")
     rooted = alone.join(found, "content", "left").select(F.coalesce("component", "content").alias("_root"), "_first", "content")
     kept = rooted.groupBy("_root").agg(F.min(F.struct("_first", "content")).alias("_kept")).select(F.col("_kept.content").alias("_kept_content"), F.col("_kept._first._id").alias("_kept_id"))
     return (docs.withColumn("_content", content).join(kept, (F.col("_content") == F.col("_kept_content")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")

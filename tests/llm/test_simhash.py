@@ -109,3 +109,38 @@ def test_null_ids_and_repeated_rows(spark, prose):
     frame = spark.createDataFrame([(None, one), (4, one), (4, one), (9, one), (None, two), (4, two + " end")], "doc_id long, text string")
     kept = sorted(((r.doc_id, r.text) for r in simhash.drop_near_duplicates(frame).collect()), key=str)
     assert kept == sorted([(4, one), (4, two + " end")], key=str)
+
+
+def stays(texts, similarity=0.8):
+    """Positions that stay by brute force over all pairs."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return sorted(set(groups(len(texts), links)))
+
+
+def test_families_around_the_similarity_lose_no_link(docs, prose, monkeypatch):
+    monkeypatch.setattr(simhash, "TREE_CODES", 16)  # sent with the plan, so tasks see it too
+    texts = []
+    for family, (base, span) in enumerate(zip(prose(8, seed=11, words=200), (10, 14, 16, 17, 18, 19, 20, 24))):
+        r = random.Random(family)
+        for number in range(40):
+            w, at = base.split(), r.randrange(200 - span)
+            w[at:at + span] = [f"f{family}n{number}w{i}" for i in range(span)]
+            texts.append(" ".join(w))
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(docs(texts)).collect()) == stays(texts)
+
+
+def test_similar_forest_joins_what_all_pairs_join():
+    r = random.Random(12)
+    for trial in range(60):
+        sets = [[] for _ in range(trial % 3)]
+        for _ in range(r.randint(1, 4)):
+            base = [r.getrandbits(63) for _ in range(r.choice([5, 40, 100]))]
+            for _ in range(r.randint(1, 12)):
+                changed, at = int(len(base) * r.uniform(0, 0.15)), r.randrange(len(base))
+                sets.append(sorted({r.getrandbits(63) if (i - at) % len(base) < changed else v for i, v in enumerate(base)}))
+        r.shuffle(sets)
+        links = simhash.similar_forest(np.array([v for s in sets for v in s], np.int64), np.array([len(s) for s in sets]), 0.8, np.arange(len(sets)))
+        true = {(a, b) for a in range(len(sets)) for b in range(a) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len({*sets[a], *sets[b]})}
+        assert {(max(x), min(x)) for x in links} <= true and len(links) < len(sets)
+        assert groups(len(sets), links) == groups(len(sets), true)
