@@ -144,3 +144,9 @@ def test_similar_forest_joins_what_all_pairs_join():
         true = {(a, b) for a in range(len(sets)) for b in range(a) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len({*sets[a], *sets[b]})}
         assert {(max(x), min(x)) for x in links} <= true and len(links) < len(sets)
         assert groups(len(sets), links) == groups(len(sets), true)
+
+
+def test_repeated_phrases_do_not_part_equal_sets(docs, prose):
+    texts = [x for t in prose(20, seed=13, words=805) for x in (t, " ".join(t.split() + t.split()[-5:] * 37))]
+    assert stays(texts) == list(range(0, 40, 2))
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(docs(texts)).collect()) == stays(texts)
