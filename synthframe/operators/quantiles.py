@@ -39,12 +39,15 @@ def upper_median(name: str) -> Rank:
     return Rank(name, 0.5, lambda n: (F.floor(n / F.lit(2)) + 1).cast("bigint"))
 
 
-def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[Rank], blocks: int = BLOCKS) -> DataFrame:
-    """``by..., <rank name>...``: one row per group with at least one non-null value, in the value's own type."""
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Sequence[Rank], blocks: int = BLOCKS, count: str | None = None) -> DataFrame:
+    """``by..., <rank name>...``: one row per group with at least one non-null value, in the value's own type.
+
+    A row stands for as many rows as its ``count`` says, if that column is named.
+    """
     keys = [f"_g{i}" for i in range(len(by))] or ["_g0"]
     held = [F.col(c).alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("_g0")]
-    rows = df.select(*held, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    values = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    rows = df.select(*held, F.col(value).alias("_v"), (F.col(count) if count else F.lit(1)).cast("bigint").alias("_c")).filter(F.col("_v").isNotNull())
+    values = rows.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
     cuts = values.groupBy(*keys).agg(F.percentile_approx("_v", [i / blocks for i in range(1, blocks)], _ACCURACY).alias("_cuts"))
     placed = _with_keys(values, cuts, keys).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
 

@@ -94,7 +94,7 @@ def _(t):
 
 @reg.add("str4_p95_by_stream", _P95_SQL)
 def _(t):
-    """A sketch over the stream; it is exact while a group has fewer rows than its accuracy."""
+    """Counts of each value over the stream, and the rank from their table."""
     return _stamped(st.stream_metric(_stream(t), "ts", "2 days", _p95, ["window_start", "window_end", "event_type"]))
 
 

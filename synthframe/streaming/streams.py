@@ -7,8 +7,9 @@ rows is what a finished stream must show.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +20,18 @@ from ..sources.readers import JOURNAL_SCHEMA
 # Alert windows and budget.
 FAILURE_WINDOW = "5 minutes"
 LATENCY_WINDOW, LATENCY_SLIDE, LATENCY_BUDGET_MS = "10 minutes", "1 minute", 250.0
-APPROX_ACCURACY = 10_000
+
+
+@dataclass(frozen=True)
+class Counted:
+    """A metric over a stream in two steps: counts by ``keys`` that the stream keeps, and a batch step over their table."""
+
+    counts: DataFrame
+    keys: Sequence[str]
+    finish: Callable[[DataFrame], DataFrame]
+
+    def filter(self, condition: Column) -> Counted:
+        return Counted(self.counts, self.keys, lambda table: self.finish(table).filter(condition))
 
 
 def _bounds(df: DataFrame, dims: Sequence[str], *values) -> DataFrame:
@@ -40,14 +52,15 @@ def failure_ratio(events: DataFrame, time: str, failed, window: str, dims: Seque
     return _bounds(counted, dims, "failed", "total").withColumn("ratio", F.bround(F.col("failed") / F.col("total"), 6))
 
 
-def p95_by(events: DataFrame, time: str, value: str, window: str, dims: Sequence[str] = (), slide: str | None = None) -> DataFrame:
-    """``..., p95``: exact over a batch; over a stream, where rows are seen once, a sketch."""
+def p95_by(events: DataFrame, time: str, value: str, window: str, dims: Sequence[str] = (), slide: str | None = None) -> DataFrame | Counted:
+    """``..., p95``, exact; over a stream from the counts of each value, which ``stream_metric`` brings to a table."""
     placed = F.window(time, window, slide) if slide else F.window(time, window)
+    group, rank = ["window_start", "window_end", *dims], [nearest_rank("p95", 95)]
     if events.isStreaming:
-        found = events.groupBy(placed.alias("w"), *dims).agg(F.percentile_approx(value, F.lit(0.95), F.lit(APPROX_ACCURACY)).alias("p95"))
-        return _bounds(found, dims, "p95")
+        found = events.filter(F.col(value).isNotNull()).groupBy(placed.alias("w"), *dims, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+        return Counted(_bounds(found, dims, "_value", "_rows"), [*group, "_value"], lambda table: order_statistics(table, group, "_value", rank, count="_rows"))
     framed = events.withColumn("w", placed).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *dims, value)
-    return order_statistics(framed, ["window_start", "window_end", *dims], value, [nearest_rank("p95", 95)])
+    return order_statistics(framed, group, value, rank)
 
 
 def failure_alerts(events: DataFrame, time: str, failed) -> DataFrame:
@@ -55,7 +68,7 @@ def failure_alerts(events: DataFrame, time: str, failed) -> DataFrame:
     return failure_ratio(events, time, failed, FAILURE_WINDOW).filter(F.col("failed") > 0).select("window_start", "window_end", "failed")
 
 
-def latency_alerts(events: DataFrame, time: str, value: str, budget_ms: float = LATENCY_BUDGET_MS) -> DataFrame:
+def latency_alerts(events: DataFrame, time: str, value: str, budget_ms: float = LATENCY_BUDGET_MS) -> DataFrame | Counted:
     """Ten-minute windows, one starting every minute, whose p95 is over the budget."""
     return p95_by(events, time, value, LATENCY_WINDOW, slide=LATENCY_SLIDE).filter(F.col("p95") > budget_ms)
 
@@ -112,6 +125,7 @@ def scenario_progress(persisted: DataFrame) -> DataFrame:
     return persisted.distinct().groupBy("scenario").agg(F.count(F.lit(1)).alias("persisted"))
 
 
-def stream_metric(events: DataFrame, time: str, late: str, metric: Callable[[DataFrame], DataFrame], keys: Sequence[str]) -> DataFrame:
+def stream_metric(events: DataFrame, time: str, late: str, metric: Callable[[DataFrame], DataFrame | Counted], keys: Sequence[str]) -> DataFrame:
     """A metric over a stream with a watermark, run to its current values."""
-    return run_to_table(metric(events.withWatermark(time, late)), keys)
+    found = metric(events.withWatermark(time, late))
+    return found.finish(run_to_table(found.counts, found.keys)) if isinstance(found, Counted) else run_to_table(found, keys)

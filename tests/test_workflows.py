@@ -212,6 +212,19 @@ def test_streamed_sketch_is_close_to_the_exact_value(spark, tables):
     assert streamed == exact  # below the sketch's accuracy every row is kept
 
 
+def test_streamed_p95_is_exact_in_large_groups(spark, tmp_path):
+    """Groups of 60,000 rows, far beyond any sketch, over several micro-batches; alerts over the stream follow."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 500)
+    made = spark.range(0, 120_000, 1, 4).select(at.alias("ts"), (F.col("id") % 2).cast("string").alias("kind"), F.when(F.col("id") % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7.0).alias("value"))
+    made.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/rows")
+    keys = ["window_start", "window_end"]
+    for metric, by in ((lambda e: st.p95_by(e, "ts", "value", "1 day", ["kind"]), [*keys, "kind"]), (lambda e: st.latency_alerts(e, "ts", "value", 1.35e8), keys)):
+        want = sorted(map(tuple, metric(rows).collect()))
+        assert want and sorted(map(tuple, st.stream_metric(stream, "ts", "2 days", metric, by).collect())) == want
+
+
 def test_stream_restarts_from_its_checkpoint(spark):
     folder, out, state = (scratch_path(spark, x) for x in ("lines", "out", "state"))
     line = "kind string, scenario string, ordinal long, persisted boolean, at_utc string"
