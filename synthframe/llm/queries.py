@@ -6,7 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.base import Registry, Tables
-from . import chat, decontaminate, language, licenses, main_text, packing, quality, sentencepiece_codec, simhash, suffix_dedup
+from . import chat, decontaminate, language, licenses, main_text, packing, quality, sentencepiece_codec, simhash, suffix_dedup, token_alignment
 
 registry = Registry()
 
@@ -101,6 +101,11 @@ def _shards(t: Tables) -> DataFrame:
             .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")))
 
 
+@registry.add("op11_token_alignment")
+def _alignment(t: Tables) -> DataFrame:
+    return token_alignment.align_tokenizers(t.documents, ["doc_id"])[0]
+
+
 def all_queries():
     return dict(registry.queries)
 
