@@ -37,6 +37,16 @@ def word_bounds(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
     return np.flatnonzero(inside & (~before | cut[:-1])), np.flatnonzero(inside & (~after | cut[1:])) + 1
 
 
+def runs_of(own: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each run of true values; runs end at document starts."""
+    if not len(own):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cut = np.zeros(len(own) + 1, bool)
+    cut[doc_starts] = True
+    begin = np.flatnonzero(own & (cut[:-1] | ~np.concatenate(([False], own[:-1]))))
+    return begin, np.flatnonzero(own & (cut[1:] | ~np.concatenate((own[1:], [False])))) + 1
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers over all bits."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(MIX[0])
