@@ -1,6 +1,7 @@
 """Seeded row generation: auto-fake -> rules -> statistics -> overrides -> references -> identity.
 
-Every stage is a projection over the ordinal column; generating rows never shuffles.
+Every stage but the references is a projection over the ordinal column; a reference is one join with one partner
+per row, so rows without references are generated without a shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from ..functions import autofake, draws as dr
 from ..functions.convert import typed_convert
 from ..functions.identity import natural_name, ordinal_name, uuid5_name
 from ..spec import EntitySpec
+from .linking import Reference, link
 
 # A dataset is a small reference table; above this row count it is joined, not broadcast.
 DATASET_BROADCAST_ROWS = 100_000
@@ -61,6 +63,7 @@ class GenerationPlan:
     statistics: Mapping[str, Mapping] = field(default_factory=dict)
     datasets: Mapping[str, Dataset] = field(default_factory=dict)
     overrides: Mapping[str, str] = field(default_factory=dict)
+    references: Sequence[Reference] = ()
 
 
 def _draws(plan: GenerationPlan, ordinal: str, seed: Column | None = None) -> dr.Draws:
@@ -73,15 +76,17 @@ def ordinals(spark: SparkSession, n: int, first: int = 1) -> DataFrame:
 
 
 def generate(df: DataFrame, plan: GenerationPlan, ordinal: str = "ordinal",
-             seed: Column | None = None, scenario: Column | None = None) -> DataFrame:
+             seed: Column | None = None, scenario: Column | None = None, context: DataFrame | None = None) -> DataFrame:
     """One generated row per ordinal row; input columns are kept in front.
 
-    ``seed`` and ``scenario`` may be columns, so that many scenarios are one DataFrame.
+    ``seed`` and ``scenario`` may be columns, so that many scenarios are one DataFrame. References of the plan take their
+    keys from columns of ``df`` and look in ``context`` (``entity, key, id, seq``) first, see ``linking.link``.
     """
     source = _draws(plan, ordinal, seed)
     out = rule_set(df, plan.rules, source) if plan.rules else autofake_columns(df, plan, source)
     out = apply_statistics(out, plan, source, ordinal)
     out = apply_overrides(out, plan.spec, plan.overrides)
+    out = link(out, plan.references, context)
     return assign_identity(
         out, plan.spec, scenario=F.lit(plan.scenario) if scenario is None else scenario,
         seed=F.lit(plan.seed) if seed is None else seed, ordinal=F.col(ordinal))

@@ -9,13 +9,9 @@ from ..functions.identity import natural_name, uuid5_name, uuid5_natural
 from ..functions.names import normalize_name, singularize
 from ..spec import EntitySpec
 from . import generate as gen
+from .linking import FROM_CONTEXT, FROM_TABLE
 from .skew import join_per_key
 
-# Where a reference was resolved.
-FROM_CONTEXT = "contextBag"
-FROM_TABLE = "database"
-FROM_IDENTITY = "identityContract"
-
 
 def parents_by_key(parent: DataFrame, natural_key: str, row_id: str) -> DataFrame:
     """One row per natural key: ``_nk, _rows, _id``; the id only where the key is unique."""

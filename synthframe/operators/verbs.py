@@ -7,6 +7,7 @@ join, so a key that is repeated many times is reduced on the map side.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.canonical import canonical_text, snapshot_long
 from ..functions.convert import typed_convert
 from ..spec import normalize
+from .linking import Reference, link, reference_findings
 from .skew import join_per_key
 
 
@@ -174,20 +176,42 @@ def concurrent_winner(rows: DataFrame, natural_key: str, order: Sequence[str], r
         "outcome", F.when(place == F.col("_first"), "created").otherwise("already-existed")).drop("_first")
 
 
-def update_by_key(df: DataFrame, changes: DataFrame, natural_key: str, columns: Sequence[str],
-                  order: Sequence[str] = ()) -> DataFrame:
-    """The table with the non-null cells of ``changes`` applied to the row of each key.
-
-    Several changes of one key apply in ``order``. A key shared by several rows changes none.
-    """
+def _usable_changes(df: DataFrame, changes: DataFrame, natural_key: str, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per key that exactly one row of ``df`` has: the last non-null cell of each column as ``_set_<column>``."""
     position = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
     folded = changes.groupBy(natural_key).agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(f"_set_{c}") for c in columns])
     asked = df.select(natural_key).join(folded.select(natural_key), natural_key, "left_semi")
     single = asked.groupBy(natural_key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") == 1)
-    usable = folded.join(single, natural_key, "left_semi")
-    return join_per_key(df, usable, [natural_key]).select(*[
-        F.coalesce(F.col(f"_set_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return folded.join(single, natural_key, "left_semi")
+
+
+def update_by_key(df: DataFrame, changes: DataFrame, natural_key: str, columns: Sequence[str],
+                  order: Sequence[str] = (), references: Sequence[Reference] = (), context: DataFrame | None = None) -> DataFrame:
+    """The table with the non-null cells of ``changes`` applied to the row of each key.
+
+    Several changes of one key apply in ``order``. A key shared by several rows changes none. ``references`` take their
+    keys from columns of ``changes`` and set foreign keys after the values; one that is not resolved leaves the foreign
+    key as it was (see ``update_findings``).
+    """
+    usable = _linked_changes(df, changes, natural_key, columns, order, references, context)
+    written = [*columns, *(r.fk for r in references)]
+    return join_per_key(df, usable.select(natural_key, *[f"_set_{c}" for c in written]), [natural_key]).select(*[
+        F.coalesce(F.col(f"_set_{c}").cast(df.schema[c].dataType), F.col(c)).alias(c) if c in written else F.col(c) for c in df.columns])
+
+
+def _linked_changes(df: DataFrame, changes: DataFrame, natural_key: str, columns: Sequence[str], order: Sequence[str],
+                    references: Sequence[Reference], context: DataFrame | None) -> DataFrame:
+    keys = [r.key_column for r in references if r.key_column not in columns]
+    usable = _usable_changes(df, changes, natural_key, [*columns, *keys], order)
+    return link(usable, [replace(r, fk=f"_set_{r.fk}", key_column=f"_set_{r.key_column}") for r in references], context)
+
+
+def update_findings(df: DataFrame, changes: DataFrame, natural_key: str, references: Sequence[Reference],
+                    order: Sequence[str] = (), context: DataFrame | None = None) -> DataFrame:
+    """``row`` (the changed key), ``entity``, ``key``, ``problem``: references of an update that could not be resolved."""
+    usable = _linked_changes(df, changes, natural_key, [], order, references, context)
+    return reference_findings(usable, [replace(r, fk=f"_set_{r.fk}") for r in references], natural_key)
 
 
 def missing_keys(df: DataFrame, keys: DataFrame, natural_key: str) -> DataFrame:

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import autofake, draws as dr
 from ..functions.canonical import canonical_text
 from ..operators import generate as gen
+from ..operators.linking import reference_findings, reference_for
 from ..operators.profiling import generate_like
 from ..operators.references import external_reference
+from ..session import scratch_path
+from ..sources import readers
 from ..spec import EntitySpec, ForeignKey
 from .base import Registry, dbl, sql_draw, sql_normal, sql_pick, sql_uuid5, sql_weighted
+from .references import CONTEXT_SQL, ORDER_KEYS_SQL, context, customers, order_keys
 
 reg = Registry()
 
 SCOPE = "Orders|Order"
 SEED = 42
-STATUS = {"Pending": 0.6, "Shipped": 0.3, "Delivered": 0.1}
+STATUS = {"New": 0.45, "Packed": 0.35, "Sent": 0.2}
+TYPICAL_TOTAL, TOTAL_SPREAD = 85, 0.9
 ANCHOR = "2024-06-30 12:00:00"
 
 ORDER = EntitySpec(
@@ -62,7 +69,7 @@ def _event_draws(seed=7):
 
 # --- flagship --------------------------------------------------------------------------------
 
-_TOTAL_SQL = (f"round_even(exp({sql_normal(SEED, SCOPE, 'Total', 'o_orderkey', 4.787491742782046, 1.2)}), 2)")
+_TOTAL_SQL = (f"round_even(exp({sql_normal(SEED, SCOPE, 'Total', 'o_orderkey', math.log(TYPICAL_TOTAL), TOTAL_SPREAD)}), 2)")
 _STATUS_SQL = sql_weighted(_u("Status"), STATUS)
 _KEY_SQL = ("'ORD-' || CASE WHEN length(o_orderkey::VARCHAR) < 8 THEN lpad(o_orderkey::VARCHAR, 8, '0') "
             "ELSE o_orderkey::VARCHAR END")
@@ -79,7 +86,7 @@ def order_plan(**changes) -> gen.GenerationPlan:
             ("OrderNumber", lambda d: dr.index_key("ORD-", d.ordinal, 8)),
             ("OrderDate", lambda d: autofake.recent(d.u("OrderDate"), F.lit(ANCHOR).cast("timestamp"), 30)),
         ),
-        statistics={"Status": {"weights": STATUS}, "Total": {"distribution": "lognormal", "mean": 120, "sigma": 1.2}})
+        statistics={"Status": {"weights": STATUS}, "Total": {"distribution": "lognormal", "mean": TYPICAL_TOTAL, "sigma": TOTAL_SPREAD}})
     base.update(changes)
     return gen.GenerationPlan(**base)
 
@@ -103,13 +110,34 @@ def flagship(t):
         _digits("Id").alias("order_id_sum"), _digits("CustomerId").alias("customer_id_sum"))
 
 
+_LINKED_SQL = f"""(SELECT k.o_orderkey, customer_name, coalesce(ctx, CASE WHEN c_name IS NOT NULL THEN {sql_uuid5("'Orders|Customer|' || c_name")} END) AS customer_id,
+  CASE WHEN ctx IS NOT NULL THEN 'contextBag' WHEN c_name IS NOT NULL THEN 'database' END AS resolved_from
+FROM {ORDER_KEYS_SQL} k LEFT JOIN (SELECT key, max_by(id, event_id) AS ctx FROM {CONTEXT_SQL} WHERE entity = 'customer' GROUP BY key) ON customer_name = key
+LEFT JOIN customer ON customer_name = c_name)"""
+
+
+def _linked_orders(t):
+    """Orders generated with the customer that each names: of the scenario so far, else stored."""
+    reference = reference_for(ORDER, "Customer", "customer_name", table=customers(t), natural_key="c_name", row_id="id")
+    asked = order_keys(t).withColumnRenamed("o_orderkey", "ordinal")
+    return gen.generate(asked, order_plan(references=(reference,)), context=context(t)), (reference,)
+
+
 @reg.add("gen1_generate", f"""
 SELECT o_orderkey AS ordinal, {_KEY_SQL} AS order_number, {_STATUS_SQL} AS status, {_TOTAL_SQL} AS total,
-  {sql_uuid5("'Orders|Order|' || " + _KEY_SQL)} AS id FROM orders""")
+  {sql_uuid5("'Orders|Order|' || " + _KEY_SQL)} AS id, customer_id, resolved_from FROM {_LINKED_SQL}""")
 def _(t):
-    rows = gen.generate(t.orders.select(F.col("o_orderkey").alias("ordinal")), order_plan())
+    rows, _ = _linked_orders(t)
     return rows.select("ordinal", F.col("OrderNumber").alias("order_number"), F.col("Status").alias("status"),
-                       F.col("Total").alias("total"), F.col("Id").alias("id"))
+                       F.col("Total").alias("total"), F.col("Id").alias("id"), F.col("CustomerId").alias("customer_id"),
+                       F.col("CustomerId_reference.resolved_from").alias("resolved_from"))
+
+
+@reg.add("gen1_reference_findings", f"""
+SELECT o_orderkey AS "row", 'Customer' AS entity, customer_name AS key, 'not found' AS problem FROM {_LINKED_SQL} WHERE resolved_from IS NULL""")
+def _(t):
+    rows, references = _linked_orders(t)
+    return reference_findings(rows, references, "ordinal")
 
 
 @reg.add("gen2_draw", f"SELECT o_orderkey, {_u('Total')} AS u0, {_u('Total', 1)} AS u1 FROM orders")
@@ -130,7 +158,7 @@ def _(t):
 def _(t):
     d = _order_draws()
     return t.orders.select("o_orderkey", dr.round_to_type(
-        dr.lognormal(d.u("Total"), d.u("Total", 1), 120, 1.2), "double").alias("total"))
+        dr.lognormal(d.u("Total"), d.u("Total", 1), TYPICAL_TOTAL, TOTAL_SPREAD), "double").alias("total"))
 
 
 @reg.add("gen5_uniform", f"""
@@ -184,8 +212,11 @@ _PLACES_SQL = ("(SELECT row_number() OVER (ORDER BY n_name, r_name) - 1 AS row_i
 
 
 def _places(t):
+    """The places as files of a dataset: two CSV files, read back in their order."""
     table = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
-    return gen.make_dataset("places", table, ["n_name", "r_name"])
+    folder = scratch_path(t.spark, "places")
+    table.repartitionByRange(2, "n_name").sortWithinPartitions("n_name", "r_name").write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder)
+    return readers.load_dataset(t.spark, "places", folder)
 
 
 @reg.add("gen10_correlated", f"""

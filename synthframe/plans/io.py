@@ -34,7 +34,7 @@ SELECT row_number() OVER (ORDER BY p_brand, p_type) - 1 AS row_id, p_brand || ',
 FROM (SELECT p_brand, p_type, count(*)::VARCHAR AS parts FROM part GROUP BY 1, 2)""")
 def _(t):
     folder = scratch_path(t.spark, "dataset")
-    table = t.part.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).cast("string").alias("parts")).orderBy("p_brand", "p_type").coalesce(1)
+    table = t.part.groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).cast("string").alias("parts")).repartitionByRange(3, "p_brand", "p_type").sortWithinPartitions("p_brand", "p_type")
     (table.select(F.concat("p_brand", F.lit(', "'), "p_type", F.lit('"')).alias("Label"), F.concat("p_type", F.lit("\nline")).alias("note"), "parts")
      .write.option("header", True).option("quoteAll", True).option("escape", '"').csv(folder))
     out = rd.read_dataset(t.spark, folder)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import generate as gen, records as rc
-from ..spec import EntitySpec
+from ..operators import cleanup, generate as gen, records as rc
+from ..spec import EntitySpec, ForeignKey
 from . import fixtures as fx
 from .base import Registry, sql_uuid5
 from .generation import _KEY_SQL, _STATUS_SQL, _TOTAL_SQL, order_plan
@@ -145,6 +145,53 @@ def _(t):
     return rc.teardown(_target(t), "id", _ids(t))[1]
 
 
+# The whole run: orders before the customers that they refer to. Recorded ids are r0 to r996.
+_CUSTOMER = EntitySpec("Orders", "Customer", T.StructType([T.StructField("id", T.StringType()), T.StructField("c_name", T.StringType())]), key="id")
+_ORDER = EntitySpec("Orders", "Order", T.StructType([T.StructField("id", T.StringType()), T.StructField("customer_id", T.StringType())]),
+                    key="id", foreign_keys=(ForeignKey("customer_id", "Customer"),))
+_TEARDOWN_SQL = f"""wanted AS (SELECT DISTINCT entity, id FROM {fx.ENTITIES_SQL} WHERE verb IN ('Create', 'Projection') AND id IS NOT NULL),
+c AS (SELECT 'r' || c_custkey::VARCHAR AS id FROM customer), o AS (SELECT 'r' || o_orderkey::VARCHAR AS id, 'r' || o_custkey::VARCHAR AS customer_id FROM orders),
+rest_o AS (SELECT * FROM o WHERE id NOT IN (SELECT id FROM wanted WHERE entity = 'Order')),
+used AS (SELECT customer_id AS id, count(*) AS children FROM rest_o GROUP BY 1),
+kept_c AS (SELECT c.id, children FROM c JOIN wanted w ON w.entity = 'Customer' AND w.id = c.id JOIN used ON used.id = c.id),
+rest_c AS (SELECT id FROM c WHERE id NOT IN (SELECT id FROM wanted WHERE entity = 'Customer') OR id IN (SELECT id FROM kept_c))"""
+
+
+def _run_teardown(t):
+    tables = {"Orders.Customer": t.customer.select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("id"), "c_name"),
+              "Orders.Order": t.orders.select(*(F.concat(F.lit("r"), F.col(c).cast("string")).alias(n) for c, n in (("o_orderkey", "id"), ("o_custkey", "customer_id"))))}
+    return cleanup.teardown_run(fx.entities(t), fx.bulk(t), [_CUSTOMER, _ORDER], tables)
+
+
+@reg.add("man10_teardown_run_counts", f"""
+WITH {_TEARDOWN_SQL} SELECT 'Orders' AS domain, 'Order' AS entity, count(*) AS wanted, count(o.id) AS deleted, count(*) - count(o.id) AS gone, 0::BIGINT AS orphaned
+FROM wanted w LEFT JOIN o ON o.id = w.id WHERE w.entity = 'Order' UNION ALL
+SELECT 'Orders', 'Customer', count(*), count(c.id) - count(k.id), count(*) - count(c.id), count(k.id)
+FROM wanted w LEFT JOIN c ON c.id = w.id LEFT JOIN kept_c k ON k.id = w.id WHERE w.entity = 'Customer'""")
+def _(t):
+    return _run_teardown(t).counts
+
+
+@reg.add("man10_teardown_run_rest", f"""
+WITH {_TEARDOWN_SQL} SELECT 'Order' AS entity, id FROM rest_o UNION ALL SELECT 'Customer', id FROM rest_c""")
+def _(t):
+    rest = _run_teardown(t).rest
+    return rest["Orders.Order"].select(F.lit("Order").alias("entity"), "id").unionByName(rest["Orders.Customer"].select(F.lit("Customer").alias("entity"), "id"))
+
+
+@reg.add("man10_teardown_run_orphans", f"""
+WITH {_TEARDOWN_SQL} SELECT 'Customer' AS entity, id, children, children::VARCHAR || ' row(s) of Order refer to it' AS reason FROM kept_c""")
+def _(t):
+    return _run_teardown(t).orphans.select("entity", "id", "children", "reason")
+
+
+@reg.add("man10_teardown_run_warnings", f"""
+SELECT scenario_seq, entity, hashed_rows, 'only ' || sampled_rows::VARCHAR || ' of ' || count::VARCHAR || ' ' || entity ||
+  ' rows were recorded one by one and can be removed' AS warning FROM {fx.BULK_SQL} WHERE hashed_rows > 0""")
+def _(t):
+    return _run_teardown(t).warnings.select("scenario_seq", "entity", "hashed_rows", "warning")
+
+
 @reg.add("man11_orphans", """
 SELECT c_custkey AS id, count(*) AS children FROM customer JOIN orders ON o_custkey = c_custkey
 WHERE c_mktsegment = 'MACHINERY' AND o_orderstatus <> 'F' GROUP BY c_custkey""")

@@ -16,32 +16,32 @@ reg = Registry()
 _CUSTOMER_ID_SQL = sql_uuid5("'Orders|Customer|' || c_name")
 
 
-def _customers(t):
+def customers(t):
     return t.customer.select("c_custkey", "c_name", uuid5_natural("Orders", "Customer", F.col("c_name")).alias("id"))
 
 
-def _order_keys(t, extra=2000):
+def order_keys(t, extra=2000):
     """Orders with the name of their customer; every ninth points past the stored customers."""
     key = F.when(F.col("o_orderkey") % 9 == 0, F.col("o_custkey") + 10_000_000).otherwise(F.col("o_custkey"))
     return t.orders.select("o_orderkey", F.concat(F.lit("Customer#"), F.lpad(key.cast("string"), 9, "0")).alias("customer_name"))
 
 
-_ORDER_KEYS_SQL = """(SELECT o_orderkey, 'Customer#' || lpad(CASE WHEN o_orderkey % 9 = 0 THEN o_custkey + 10000000 ELSE o_custkey END::VARCHAR,
+ORDER_KEYS_SQL = """(SELECT o_orderkey, 'Customer#' || lpad(CASE WHEN o_orderkey % 9 = 0 THEN o_custkey + 10000000 ELSE o_custkey END::VARCHAR,
   9, '0') AS customer_name FROM orders)"""
 
 
 @reg.add("jn1_resolve_fk", f"""
 SELECT o_orderkey, customer_name, CASE WHEN c_name IS NOT NULL THEN {_CUSTOMER_ID_SQL} END AS customer_id
-FROM {_ORDER_KEYS_SQL} LEFT JOIN customer ON customer_name = c_name""")
+FROM {ORDER_KEYS_SQL} LEFT JOIN customer ON customer_name = c_name""")
 def _(t):
-    return rf.resolve_fk(_order_keys(t), _customers(t), "customer_name", "c_name", "id", "customer_id")
+    return rf.resolve_fk(order_keys(t), customers(t), "customer_name", "c_name", "id", "customer_id")
 
 
-_CONTEXT_SQL = """(SELECT lower(CASE WHEN event_id % 2 = 0 THEN 'Customer' ELSE 'Order' END) AS entity,
+CONTEXT_SQL = """(SELECT lower(CASE WHEN event_id % 2 = 0 THEN 'Customer' ELSE 'Order' END) AS entity,
   'Customer#' || lpad((user_id * 5)::VARCHAR, 9, '0') AS key, event_id, 'ctx-' || event_id::VARCHAR AS id FROM events)"""
 
 
-def _context(t):
+def context(t):
     return t.events.select(
         F.when(F.col("event_id") % 2 == 0, "Customer").otherwise("ORDER").alias("entity"),
         F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") * 5).cast("string"), 9, "0")).alias("key"),
@@ -51,27 +51,27 @@ def _context(t):
 @reg.add("jn2_resolve_precedence", f"""
 SELECT o_orderkey, coalesce(ctx, CASE WHEN c_name IS NOT NULL THEN {_CUSTOMER_ID_SQL} END) AS id,
   CASE WHEN ctx IS NOT NULL THEN 'contextBag' WHEN c_name IS NOT NULL THEN 'database' END AS resolved_from
-FROM {_ORDER_KEYS_SQL} LEFT JOIN (SELECT key, max_by(id, event_id) AS ctx FROM {_CONTEXT_SQL} WHERE entity = 'customer' GROUP BY key)
+FROM {ORDER_KEYS_SQL} LEFT JOIN (SELECT key, max_by(id, event_id) AS ctx FROM {CONTEXT_SQL} WHERE entity = 'customer' GROUP BY key)
   ON customer_name = key LEFT JOIN customer ON customer_name = c_name""")
 def _(t):
-    refs = _order_keys(t).select("o_orderkey", F.lit("customers").alias("entity"), F.col("customer_name").alias("key"))
-    return rf.resolve_precedence(refs, _context(t), _customers(t), "c_name", "id").select("o_orderkey", "id", "resolved_from")
+    refs = order_keys(t).select("o_orderkey", F.lit("customers").alias("entity"), F.col("customer_name").alias("key"))
+    return rf.resolve_precedence(refs, context(t), customers(t), "c_name", "id").select("o_orderkey", "id", "resolved_from")
 
 
 @reg.add("jn3_context_lookup", f"""
 SELECT c_custkey, id FROM (SELECT c_custkey, c_name, CASE c_custkey % 3 WHEN 0 THEN 'customer' WHEN 1 THEN 'order' ELSE 'part' END AS e
-  FROM customer) LEFT JOIN (SELECT entity, key, max_by(id, event_id) AS id FROM {_CONTEXT_SQL} GROUP BY entity, key)
+  FROM customer) LEFT JOIN (SELECT entity, key, max_by(id, event_id) AS id FROM {CONTEXT_SQL} GROUP BY entity, key)
   ON e = entity AND c_name = key""")
 def _(t):
     refs = t.customer.select("c_custkey", F.col("c_name").alias("key"), F.when(F.col("c_custkey") % 3 == 0, "Customers")
                              .when(F.col("c_custkey") % 3 == 1, "or_der").otherwise("Part").alias("entity"))
-    return rf.lookup_in_context(refs, rf.context_lookup(_context(t))).select("c_custkey", F.col("_context_id").alias("id"))
+    return rf.lookup_in_context(refs, rf.context_lookup(context(t))).select("c_custkey", F.col("_context_id").alias("id"))
 
 
 @reg.add("jn4_unresolved_refs", f"""
-SELECT o_orderkey, customer_name FROM {_ORDER_KEYS_SQL} WHERE customer_name NOT IN (SELECT c_name FROM customer)""")
+SELECT o_orderkey, customer_name FROM {ORDER_KEYS_SQL} WHERE customer_name NOT IN (SELECT c_name FROM customer)""")
 def _(t):
-    return rf.unresolved_refs(_order_keys(t), t.customer, "customer_name", "c_name")
+    return rf.unresolved_refs(order_keys(t), t.customer, "customer_name", "c_name")
 
 
 @reg.add("jn5_ambiguous_refs", """
@@ -92,10 +92,10 @@ def _(t):
 
 
 @reg.add("jn7_external_reference", f"""
-SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN {sql_uuid5("'Orders|Customer|' || customer_name")} END AS customer_id FROM {_ORDER_KEYS_SQL}""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN {sql_uuid5("'Orders|Customer|' || customer_name")} END AS customer_id FROM {ORDER_KEYS_SQL}""")
 def _(t):
     key = F.when(F.col("o_orderkey") % 9 != 0, F.col("customer_name"))
-    return _order_keys(t).select("o_orderkey", rf.external_reference("Orders", "Customer", key).alias("customer_id"))
+    return order_keys(t).select("o_orderkey", rf.external_reference("Orders", "Customer", key).alias("customer_id"))
 
 
 SUMMARY = EntitySpec("Billing", "CustomerSummary", T.StructType([
@@ -107,10 +107,10 @@ SUMMARY = EntitySpec("Billing", "CustomerSummary", T.StructType([
 SELECT id, name, currency FROM (
   SELECT {sql_uuid5("'Orders|Customer|' || key")} AS id, key AS name,
     {sql_pick(sql_draw(9, 'Billing|CustomerSummary', 'Currency', 'ordinal'), CURRENCIES)} AS currency
-  FROM (SELECT customer_name AS key, min(o_orderkey) AS ordinal FROM {_ORDER_KEYS_SQL} GROUP BY 1)
+  FROM (SELECT customer_name AS key, min(o_orderkey) AS ordinal FROM {ORDER_KEYS_SQL} GROUP BY 1)
   WHERE key NOT IN (SELECT c_name FROM customer WHERE c_custkey % 4 = 0))""")
 def _(t):
-    keys = _order_keys(t).select(F.col("customer_name").alias("key"), F.col("o_orderkey").alias("ordinal"))
+    keys = order_keys(t).select(F.col("customer_name").alias("key"), F.col("o_orderkey").alias("ordinal"))
     existing = t.customer.filter(F.col("c_custkey") % 4 == 0).select(F.col("c_name").alias("Name"))
     plan = gen.GenerationPlan(spec=SUMMARY, seed=9)
     return rf.seed_projection(keys, existing, plan, "Orders", "Customer").select(
@@ -119,10 +119,10 @@ def _(t):
 
 @reg.add("jn9_verify_external", f"""
 SELECT o_orderkey, CASE WHEN customer_name IN (SELECT c_name FROM customer) THEN 'Verified' ELSE 'Failed' END AS verify_outcome
-FROM {_ORDER_KEYS_SQL}""")
+FROM {ORDER_KEYS_SQL}""")
 def _(t):
-    refs = _order_keys(t).withColumn("ref_id", rf.external_reference("Orders", "Customer", F.col("customer_name")))
-    return rf.verify_external(refs, _customers(t), "ref_id", "id").select("o_orderkey", "verify_outcome")
+    refs = order_keys(t).withColumn("ref_id", rf.external_reference("Orders", "Customer", F.col("customer_name")))
+    return rf.verify_external(refs, customers(t), "ref_id", "id").select("o_orderkey", "verify_outcome")
 
 
 @reg.add("jn10_coerce_key", """

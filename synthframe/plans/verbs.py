@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import uuid5_natural
 from ..operators import generate as gen, verbs as vb
+from ..operators.linking import Reference
 from ..session import scratch_path
 from .base import Registry, sql_uuid5
 from .generation import _STATUS_SQL, _TOTAL_SQL, order_plan
@@ -150,12 +151,33 @@ def _changes(t):
         F.when(F.col("event_type") == "purchase", "BUYER").when(F.col("event_type") == "signup", "NEW").alias("c_mktsegment"))
 
 
+# Views move a customer to a nation by its name; every 31st name is unknown.
+_MOVED_SQL = """(SELECT c_name, max_by(nation, event_id) FILTER (nation IS NOT NULL) AS nation FROM (
+  SELECT 'Customer#' || lpad((user_id * 3)::VARCHAR, 9, '0') AS c_name, event_id,
+    CASE WHEN event_type = 'view' THEN 'NATION_' || (event_id % 31)::VARCHAR END AS nation FROM events) GROUP BY c_name)"""
+
+
+def _moves(t):
+    nation = F.when(F.col("event_type") == "view", F.concat(F.lit("NATION_"), (F.col("event_id") % 31).cast("string")))
+    changes = t.events.select("event_id", nation.alias("nation"))
+    return _changes(t).join(changes, "event_id"), (Reference("c_nationkey", "Nation", "nation", table=t.nation, natural_key="n_name", row_id="n_nationkey"),)
+
+
 @reg.add("vrb9_update_by_key", f"""
-SELECT c_custkey, c.c_name, coalesce(value, c_acctbal) AS c_acctbal, coalesce(seg, c_mktsegment) AS c_mktsegment
-FROM customer c LEFT JOIN {_CHANGES_SQL} u ON c.c_name = u.c_name""")
+SELECT c_custkey, c.c_name, coalesce(value, c_acctbal) AS c_acctbal, coalesce(seg, c_mktsegment) AS c_mktsegment, coalesce(n_nationkey, c_nationkey) AS c_nationkey
+FROM customer c LEFT JOIN {_CHANGES_SQL} u ON c.c_name = u.c_name LEFT JOIN {_MOVED_SQL} m ON c.c_name = m.c_name LEFT JOIN nation ON nation = n_name""")
+def _(t):
+    customers = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment", "c_nationkey")
+    changes, references = _moves(t)
+    return vb.update_by_key(customers, changes, "c_name", ["c_acctbal", "c_mktsegment"], order=["event_id"], references=references)
+
+
+@reg.add("vrb9_update_findings", f"""
+SELECT c_name AS "row", 'Nation' AS entity, nation AS key, 'not found' AS problem FROM {_MOVED_SQL}
+WHERE c_name IN (SELECT c_name FROM customer) AND nation IS NOT NULL AND nation NOT IN (SELECT n_name FROM nation)""")
 def _(t):
-    customers = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    return vb.update_by_key(customers, _changes(t), "c_name", ["c_acctbal", "c_mktsegment"], order=["event_id"])
+    changes, references = _moves(t)
+    return vb.update_findings(t.customer, changes, "c_name", references, order=["event_id"])
 
 
 @reg.add("vrb9_missing_keys", f"""

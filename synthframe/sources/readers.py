@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.generate import Dataset
+from ..operators.sequence import dense_sequence
 from ..spec import EntitySpec
 
 # Shape of a run document.
@@ -43,23 +45,34 @@ def read_entity_sample(df: DataFrame, n: int, order: Sequence[str] = ()) -> Data
     return df.orderBy(*order).limit(n) if order else df.limit(n)
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """Correlated tuples from one CSV file: header, quoted line breaks, doubled quotes, text columns.
-
-    Blank lines are skipped. ``row_id`` is the position in the file: a file with quoted line breaks
-    is read by one task, which a small reference table can afford.
-    """
-    df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+def _dataset_rows(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """Text cells of the files with ``_file`` and ``_line``, which order the rows of a file."""
+    df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("enforceSchema", False)
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("inferSchema", False)
-          .csv(path))
+          .csv(paths))
     if not df.columns:
-        raise ValueError(f"{path}: a dataset needs a header")
-    names = [c.strip() for c in df.columns]
-    clean = df.toDF(*names).select(*[
-        F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), r"\r$", "").alias(c) for c in names])
-    if clean.isEmpty():
-        raise ValueError(f"{path}: a dataset needs at least one row")
-    return clean.withColumn("row_id", F.monotonically_increasing_id())
+        raise ValueError(f"{paths}: a dataset needs a header")
+    cells = [F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.lit("")), r"\r$", "").alias(c.strip()) for c in df.columns]
+    # a file with quoted line breaks is never split, so the numbers of one task grow along it
+    return df.select(*cells, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"))
+
+
+def read_dataset(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """Correlated tuples from CSV files: header, quoted line breaks, doubled quotes, text columns.
+
+    Blank lines are skipped. All files have the same header; another one stops the job. ``row_id`` is dense from 0, by
+    the files' paths and the rows' order inside each: every file is read by one task and numbered behind those before it.
+    """
+    rows = _dataset_rows(spark, paths)
+    if rows.isEmpty():
+        raise ValueError(f"{paths}: a dataset needs at least one row")
+    return dense_sequence(rows, ["_file", "_line"], "row_id", start=0).drop("_file", "_line")
+
+
+def load_dataset(spark: SparkSession, name: str, paths: Sequence[str] | str) -> Dataset:
+    """Files to a dataset for correlated draws. Its row count is that of the numbered table, not the caller's."""
+    table = read_dataset(spark, paths)
+    return Dataset(name, table, table.count())
 
 
 def dataset_column(df: DataFrame, name: str) -> str:
