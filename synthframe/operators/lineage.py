@@ -87,31 +87,74 @@ def lineage_edges(entities: DataFrame, bulk: DataFrame, refs: DataFrame, thresho
 def lineage_depth(edges: DataFrame) -> DataFrame:
     """``node_id, depth, cyclic``: the longest path to a node that depends on nothing, however long it is.
 
-    Nodes are peeled level by level: one goes when all it depends on has gone, and its level is its depth.
-    What is left when nothing can go lies on a cycle or depends on one: ``cyclic``, without a depth. Each
-    round writes the edges that are left, so the work shrinks, the plan does not grow, and a lost executor
-    repeats one round at most.
+    Chains are contracted first: a node that depends on one other node only points past it, and past the next, twice as
+    far each round (pointer jumping), so a chain of n nodes takes log2(n) rounds. What is left are nodes that depend on
+    several others; they are peeled: one goes when all it depends on has gone, and its depth is then known. What
+    cannot go lies on a cycle or depends on one: ``cyclic``, without a depth. Each round writes what is left, so the plan does
+    not grow, and a lost executor repeats one round at most. Null ends and repeated edges are ignored.
     """
     spark = edges.sparkSession
     root = scratch_path(spark, "lineage")
 
-    def written(df: DataFrame, name: str) -> DataFrame:
+    def written(df: DataFrame, name: str, *before: str) -> DataFrame:
+        """``df`` as a table, read back together with the tables ``before``."""
         df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    left = written(edges.select("source_id", "target_id").filter("source_id IS NOT NULL AND target_id IS NOT NULL").distinct(), "edges-0")
-    sources = left.select(F.col("source_id").alias("node_id")).distinct()
-    last = written(left.select(F.col("target_id").alias("node_id")).distinct().join(sources, "node_id", "left_anti").withColumn("depth", F.lit(0)), "level-0")
-    levels, depth = [last], 0
+        return spark.read.schema(df.schema).parquet(*[f"{root}/{n}" for n in (*before, name)])
+
+    whole = written(edges.select("source_id", "target_id").filter("source_id IS NOT NULL AND target_id IS NOT NULL").distinct(), "edges")
+    degrees = written(whole.groupBy(F.col("source_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("target_id")), "degrees")
+    done, stuck = _contracted(degrees.filter("n = 1").select("node_id", "target_id", F.lit(1).cast("bigint").alias("steps")), written)
+
+    # edges of the others, past the chains; an edge into a chain that never ends stays as it is and is never freed
+    several = whole.join(degrees.filter("n > 1").select(F.col("node_id").alias("source_id")), "source_id", "left_semi")
+    jumps = done.select(F.col("node_id").alias("target_id"), F.col("target_id").alias("_end"), "steps")
+    left = written(join_per_key(several, jumps, ["target_id"]).select("source_id", F.coalesce("_end", "target_id").alias("target_id"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"))
+                   .groupBy("source_id", "target_id").agg(F.max("steps").alias("steps")), "left-0")
+    sinks = whole.select(F.col("target_id").alias("node_id")).distinct().join(degrees.select("node_id"), "node_id", "left_anti")
+    last = written(sinks.withColumn("depth", F.lit(0).cast("bigint")), "level-0")
+    reached = left.select("source_id", F.lit(0).cast("bigint").alias("depth")).limit(0)
+    rounds = 0
     while not last.isEmpty():
-        depth += 1
-        gone = last.select(F.col("node_id").alias("target_id"))
-        rest = written(join_per_key(left, gone, ["target_id"], "left_anti"), f"edges-{depth}")
-        freed = join_per_key(left, gone, ["target_id"], "left_semi").select(F.col("source_id").alias("node_id")).distinct()
-        waiting = rest.select(F.col("source_id").alias("node_id")).distinct()
-        last = written(join_per_key(freed, waiting, ["node_id"], "left_anti").withColumn("depth", F.lit(depth)), f"level-{depth}")
-        levels.append(last)
+        rounds += 1
+        gone = last.select(F.col("node_id").alias("target_id"), F.col("depth").alias("_below"))
+        hit = join_per_key(left, gone, ["target_id"], "inner").select("source_id", (F.col("_below") + F.col("steps")).alias("depth"))
+        rest = written(join_per_key(left, gone, ["target_id"], "left_anti"), f"left-{rounds}")
+        best = written(hit.unionByName(reached).groupBy("source_id").agg(F.max("depth").alias("depth")), f"reached-{rounds}")
+        waiting = rest.select("source_id").distinct()
+        freed = join_per_key(hit.select("source_id").distinct(), waiting, ["source_id"], "left_anti")
+        last = written(best.join(freed, "source_id").select(F.col("source_id").alias("node_id"), "depth"), f"level-{rounds}")
+        reached = best.join(waiting, "source_id", "left_semi")
         left = rest
-    found = spark.read.schema("node_id string, depth int").parquet(*[f"{root}/level-{d}" for d in range(depth + 1)]).withColumn("cyclic", F.lit(False))
-    stuck = left.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).distinct()
-    return found.unionByName(stuck.select("node_id", F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic")))
+    found = spark.read.schema(last.schema).parquet(*[f"{root}/level-{d}" for d in range(rounds + 1)])
+    ends = done.select(F.col("target_id").alias("_end"), "node_id", "steps").join(found.select(F.col("node_id").alias("_end"), F.col("depth").alias("_below")), "_end", "left")
+    chains = ends.select("node_id", (F.col("_below") + F.col("steps")).alias("depth"))
+    never = stuck.select("node_id").unionByName(left.select(F.col("source_id").alias("node_id")).distinct()).withColumn("depth", F.lit(None).cast("bigint"))
+    every = found.unionByName(chains).unionByName(never)
+    return every.select("node_id", F.col("depth").cast("int").alias("depth"), F.col("depth").isNull().alias("cyclic"))
+
+
+def _contracted(chain: DataFrame, written) -> tuple[DataFrame, DataFrame]:
+    """(done, stuck) of ``node_id, target_id, steps``: nodes that point to the end of their chain, and nodes that run into a circle.
+
+    Only nodes that do not yet point past their chain are carried on; after as many doublings as their number has
+    bits, what still points into a chain goes round.
+    """
+    chain = written(chain, "chain")
+    within = chain.select(F.col("node_id").alias("target_id"))
+    parts = ["ended-0"]
+    done = written(join_per_key(chain, within, ["target_id"], "left_anti").select(chain.columns), parts[0])
+    open_ = written(join_per_key(chain, within, ["target_id"], "left_semi").select(chain.columns), "open-0")
+    limit = open_.count().bit_length() + 1
+    rounds = 0
+    while rounds < limit and not open_.isEmpty():
+        rounds += 1
+        ahead = open_.withColumn("_ended", F.lit(False)).unionByName(done.withColumn("_ended", F.lit(True)))
+        ahead = ahead.select(F.col("node_id").alias("target_id"), F.col("target_id").alias("_to"), F.col("steps").alias("_more"), "_ended")
+        jumped = written(join_per_key(open_, ahead, ["target_id"], "inner").select(
+            "node_id", F.col("_to").alias("target_id"), (F.col("steps") + F.col("_more")).alias("steps"), "_ended"), f"jumped-{rounds}")
+        done = written(jumped.filter("_ended").drop("_ended"), f"ended-{rounds}", *parts)
+        parts.append(f"ended-{rounds}")
+        open_ = jumped.filter("NOT _ended").drop("_ended")
+    return done, open_
+
+

@@ -9,14 +9,14 @@ natural_key, source, values map, overrides array, warnings array, duration_ms;
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_row, canonical_text, snapshot
 from ..spec import EntitySpec
-from .quantiles import Rank, order_statistics
 from .skew import join_per_key
 
 # Labels in run records.
@@ -54,11 +54,19 @@ def record_entities(df: DataFrame, spec: EntitySpec, *, verb: str, ordinal: str,
 
 
 def sample_cuts(rows: DataFrame, by: Sequence[str], ordinal: str, k: int) -> DataFrame:
-    """``by..., head_cut, tail_cut``: ordinal of the k-th first and k-th last row of each operation."""
-    whole = F.lit(k).cast("bigint")
-    one = F.lit(1).cast("bigint")
-    return order_statistics(rows, by, ordinal, [
-        Rank("head_cut", 0.0, lambda n: F.least(n, whole)), Rank("tail_cut", 1.0, lambda n: F.greatest(n - whole + 1, one))])
+    """``by..., head_cut, tail_cut``: ordinal of the k-th first and k-th last row of each operation.
+
+    Either end is a bounded top-k: a task sends ``k`` rows of an operation at most, whatever the operation's size.
+    """
+    keys = list(by)
+
+    def end(order: Column, cut: Column, name: str) -> DataFrame:
+        near = rows.select(*keys, ordinal).filter(F.col(ordinal).isNotNull()).withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+        return near.filter(F.col("_place") <= k).groupBy(*keys).agg(cut.alias(name))
+
+    head = end(F.asc(ordinal), F.max(ordinal), "head_cut").withColumn("tail_cut", F.lit(None).cast("bigint"))
+    tail = end(F.desc(ordinal), F.min(ordinal), "tail_cut").withColumn("head_cut", F.lit(None).cast("bigint"))
+    return head.unionByName(tail).groupBy(*keys).agg(F.max("head_cut").alias("head_cut"), F.max("tail_cut").alias("tail_cut"))
 
 
 def head_tail_sample(rows: DataFrame, by: Sequence[str], ordinal: str, failed: str, mode: str = "Sample", k: int = 5) -> DataFrame:
@@ -80,35 +88,45 @@ def row_text(df: DataFrame, ordinal: str, row_id: str, key: str, columns: Sequen
     return canonical_row(F.col(ordinal), F.col(row_id), F.col(key), {c: canonical_text(F.col(c), types[c]) for c in columns})
 
 
-def values_hash(rows: DataFrame, by: Sequence[str], ordinal: str, text: str, block: int = HASH_BLOCK) -> DataFrame:
-    """``by..., values_sha256``: an order-fixed hash tree over rows with unique ordinals.
+def _hash_tree(rows: DataFrame, keys: Sequence[str], ordinal: str, text: Column, block: int, counted: Mapping[str, Column], merged: Mapping[str, Callable]) -> DataFrame:
+    """``keys..., values_sha256`` and the aggregates ``counted``, which ``merged`` combines from level to level.
 
-    Rows are hashed in blocks of consecutive ordinals, block hashes in blocks of blocks, and those
-    once more per operation; no step collects more than ``block`` items, up to ``block`` cubed rows.
+    Every row is hashed first, so blocks hold hashes only. Levels of blocks follow until any 64-bit ordinal has come
+    down to one block; the upper ones are a row or two per key. Rows whose text is null are counted, not hashed.
     """
-    keys = list(by)
+    level = rows.withColumn("_hash", F.sha2(text, 256)).withColumn("_pos", F.col(ordinal).cast("bigint"))
+    first, levels = True, math.ceil(63 / math.log2(block))
+    for depth in range(levels):
+        last = depth == levels - 1
+        level = level if last else level.withColumn("_pos", F.struct(F.floor(F.col("_pos") / F.lit(block)).alias("to"), F.col("_pos").alias("at")))
+        at = F.col("_pos") if last else F.col("_pos.at")
+        ordered = F.array_sort(F.collect_list(F.when(F.col("_hash").isNotNull(), F.struct(at.alias("p"), F.col("_hash").alias("t")))))
+        folded = F.when(F.size(ordered) > 0, F.sha2(F.array_join(F.transform(ordered, lambda s: s["t"]), "\n"), 256))
+        group = list(keys) if last else [*keys, F.col("_pos.to").alias("_pos")]
+        level = level.groupBy(*group).agg(folded.alias("_hash"), *[(c if first else merged[n](n)).alias(n) for n, c in counted.items()])
+        first = False
+    return level.withColumnRenamed("_hash", "values_sha256")
+
 
-    def folded(df: DataFrame, group: list[str], position: str, item: str) -> DataFrame:
-        ordered = F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(item).alias("t"))))
-        return df.groupBy(*group).agg(F.sha2(F.array_join(F.transform(ordered, lambda s: s["t"]), "\n"), 256).alias("_hash"))
+def values_hash(rows: DataFrame, by: Sequence[str], ordinal: str, text: str, block: int = HASH_BLOCK) -> DataFrame:
+    """``by..., values_sha256``: an order-fixed hash tree over rows with unique ordinals.
 
-    level = rows.select(*keys, F.col(ordinal).alias("_pos"), F.col(text).alias("_hash"))
-    for depth in (1, 2):
-        level = level.withColumn("_block", F.floor(F.col("_pos") / F.lit(block)))
-        level = folded(level, [*keys, "_block"], "_pos", "_hash").withColumnRenamed("_block", "_pos")
-    return folded(level, keys, "_pos", "_hash").withColumnRenamed("_hash", "values_sha256")
+    Row hashes are hashed in blocks of consecutive ordinals, block hashes in blocks of blocks, and so on, for any
+    number of rows; no step collects more than ``block`` hashes.
+    """
+    return _hash_tree(rows, list(by), ordinal, F.coalesce(F.col(text), F.lit("")), block, {}, {})
 
 
-def bulk_summary(sampled: DataFrame, by: Sequence[str], ordinal: str, failed: str, text: str) -> DataFrame:
-    """One row per bulk operation from rows with ``kept`` (see head_tail_sample)."""
+def bulk_summary(sampled: DataFrame, by: Sequence[str], ordinal: str, failed: str, text: str, block: int = HASH_BLOCK) -> DataFrame:
+    """One row per bulk operation from rows with ``kept`` (see head_tail_sample). Counts ride along with the hash tree: one pass."""
     hashed = ~F.col("kept") & ~F.col(failed)
-    counts = sampled.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("requested"), F.count(F.when(~F.col(failed), 1)).alias("count"),
-        F.count(F.when(F.col(failed), 1)).alias("failed"),
-        F.count(F.when(F.col("kept") & ~F.col(failed), 1)).alias("sampled_rows"),
-        F.count(F.when(hashed, 1)).alias("hashed_rows"),
-        F.min(ordinal).alias("first_ordinal"), F.max(ordinal).alias("last_ordinal"))
-    return counts.join(values_hash(sampled.filter(hashed), by, ordinal, text), list(by), "left")
+    good = ~F.col(failed)
+    counted = {
+        "requested": F.count(F.lit(1)), "count": F.count(F.when(good, 1)), "failed": F.count(F.when(F.col(failed), 1)),
+        "sampled_rows": F.count(F.when(F.col("kept") & good, 1)), "hashed_rows": F.count(F.when(hashed, 1)),
+        "first_ordinal": F.min(ordinal), "last_ordinal": F.max(ordinal)}
+    merged = {n: {"first_ordinal": F.min, "last_ordinal": F.max}.get(n, F.sum) for n in counted}
+    return _hash_tree(sampled, list(by), ordinal, F.when(hashed, F.coalesce(F.col(text), F.lit(""))), block, counted, merged)
 
 
 def attestation(entities: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import join_per_key
+
 LATEST = 100
 
 
@@ -18,16 +20,27 @@ def active_leases(leases: DataFrame, now: Column) -> DataFrame:
     return leases.filter(F.col("expires_utc") > now).orderBy("acquired_utc")
 
 
-def lease_conflicts(leases: DataFrame, block_seconds: int = 86_400) -> DataFrame:
+def lease_blocks(leases: DataFrame, blocks: int = 32) -> DataFrame:
+    """``leases`` with ``_env`` and ``_block``: the time blocks of each (environment, domain, database).
+
+    Blocks are cut at the quantiles of a sketch of the key's own leases, so a database that took most of its leases in one
+    day, or one hour, still fills all its blocks. Leases of one instant stay together.
+    """
+    keys = ["_env", "domain", "database_id"]
+    rows = leases.withColumn("_env", F.coalesce("environment", F.lit(""))).withColumn("_at", F.unix_micros(F.col("acquired_utc").cast("timestamp")))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_at", [i / blocks for i in range(1, blocks)], 1000).alias("_cuts"))
+    return join_per_key(rows, cuts, keys, "inner").withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col("_at")))).drop("_cuts", "_at")
+
+
+def lease_conflicts(leases: DataFrame, blocks: int = 32) -> DataFrame:
     """Leases taken while an earlier one of the same (environment, domain, database) was alive.
 
     ``lease_id, held_until``: one row per offending lease, however many leases it overlaps. A
     running maximum of the expiry replaces a join of all pairs; it is taken inside time blocks
-    and then over the blocks, so one busy database is spread over many tasks.
+    (see ``lease_blocks``) and then over the blocks, so one busy database is spread over many tasks.
     """
     keys = ["_env", "domain", "database_id"]
-    rows = leases.withColumn("_env", F.coalesce("environment", F.lit(""))).withColumn(
-        "_block", F.floor(F.unix_seconds(F.col("acquired_utc").cast("timestamp")) / F.lit(block_seconds)))
+    rows = lease_blocks(leases, blocks)
     tops = rows.groupBy(*keys, "_block").agg(F.max("expires_utc").alias("_top"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select(*keys, "_block", F.max("_top").over(earlier).alias("_carried"))

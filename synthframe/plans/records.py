@@ -71,10 +71,11 @@ def _(t):
 
 
 def _hash_sql(source, block=4096):
-    return f"""(SELECT entity, sha256(string_agg(h, chr(10) ORDER BY b)) AS values_sha256 FROM (
-  SELECT entity, b // {block} AS b, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM (
-    SELECT entity, event_id // {block} AS b, sha256(string_agg(text, chr(10) ORDER BY event_id)) AS h FROM ({source}) GROUP BY 1, 2)
-  GROUP BY 1, 2) GROUP BY entity)"""
+    """Row hashes, five levels of blocks, and one hash per entity: six levels take any 64-bit ordinal."""
+    level = f"SELECT entity, event_id AS b, sha256(text) AS h FROM ({source})"
+    for _ in range(5):
+        level = f"SELECT entity, b // {block} AS b, sha256(string_agg(h, chr(10) ORDER BY b)) AS h FROM ({level}) GROUP BY entity, b // {block}"
+    return f"(SELECT entity, sha256(string_agg(h, chr(10) ORDER BY b)) AS values_sha256 FROM ({level}) GROUP BY entity)"
 
 
 @reg.add("man5_values_hash", f"SELECT * FROM {_hash_sql(f'SELECT event_type AS entity, event_id, {_ROW_SQL} AS text FROM events')}")

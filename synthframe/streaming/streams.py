@@ -69,8 +69,33 @@ def failure_alerts(events: DataFrame, time: str, failed) -> DataFrame:
 
 
 def latency_alerts(events: DataFrame, time: str, value: str, budget_ms: float = LATENCY_BUDGET_MS) -> DataFrame | Counted:
-    """Ten-minute windows, one starting every minute, whose p95 is over the budget."""
-    return p95_by(events, time, value, LATENCY_WINDOW, slide=LATENCY_SLIDE).filter(F.col("p95") > budget_ms)
+    """Ten-minute windows, one starting every minute, whose p95 is over the budget.
+
+    Values are counted once, per minute; all values within the budget count as one, since they cannot be an alert's
+    p95. Sums over ten minutes then say which windows are alerts, and only their counts are laid into windows and ranked.
+    """
+    pane = F.window(time, LATENCY_SLIDE)
+    over = F.greatest(F.col(value).cast("double"), F.lit(float(budget_ms)))
+    counts = (events.filter(F.col(value).isNotNull()).groupBy(pane.alias("w"), over.alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+              .select(F.col("w.start").alias("_pane"), "_value", "_rows"))
+    finish = lambda table: _over_budget(table, float(budget_ms))
+    return Counted(counts, ["_pane", "_value"], finish) if events.isStreaming else finish(counts)
+
+
+def _over_budget(counts: DataFrame, budget: float) -> DataFrame:
+    """Alerts from ``_pane, _value, _rows``, values raised to the budget."""
+    minutes = int(LATENCY_WINDOW.split()[0])
+    starts = F.transform(F.sequence(F.lit(0), F.lit(minutes - 1)), lambda k: F.col("_pane") - F.make_dt_interval(F.lit(0), F.lit(0), k))
+
+    def windows(panes: DataFrame) -> DataFrame:
+        return panes.withColumn("window_start", F.explode(starts))
+
+    rank = nearest_rank("p95", 95)
+    totals = counts.groupBy("_pane").agg(F.sum("_rows").alias("_n"), F.sum(F.when(F.col("_value") <= budget, F.col("_rows")).otherwise(0)).alias("_low"))
+    sums = windows(totals).groupBy("window_start").agg(F.sum("_n").alias("_n"), F.sum("_low").alias("_low"))
+    alerts = sums.filter(F.col("_low") < rank.rank(F.col("_n"))).select("window_start")
+    ranked = order_statistics(windows(counts).join(alerts, "window_start", "left_semi"), ["window_start"], "_value", [rank], count="_rows")
+    return ranked.select("window_start", (F.col("window_start") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))).alias("window_end"), "p95")
 
 
 def run_to_table(metric: DataFrame, keys: Sequence[str], checkpoint: str | None = None, trigger: dict | None = None,
