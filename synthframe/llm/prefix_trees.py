@@ -284,6 +284,12 @@ def _remove(window: int):
     return run
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, tree_bytes: int = TREE_BYTES) -> DataFrame:
     """Per input row its id, ``n_words``, ``n_removed``, ``spans`` (word ranges removed) and ``kept`` (words left, joined by one space).
 
@@ -292,7 +298,6 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read; an empty table gives an empty result. Texts are told apart by a 64-bit hash and their length, pieces by two
     64-bit hashes; inside a tree, words are compared by value.
     """
-    spark = docs.sparkSession
     text, id_ = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID))
     key, size = F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes")
     rows = docs.select(F.struct(F.col(f"`{id_col}`")).alias("_row"), id_.alias("_id"), key, size)
@@ -300,30 +305,26 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(key, size, id_.alias("id"), text.alias("text")).groupBy("text_key", "n_bytes").agg(F.first("text").alias("text"), F.min("id").alias("id"))
     found = texts.mapInArrow(_sample(window, gram), "anchor long, piece long, text_key long, n_bytes long, id long, at long")
     found = found.filter("anchor IS NOT NULL AND piece IS NOT NULL AND text_key IS NOT NULL AND n_bytes IS NOT NULL")
-    often = found.groupBy("anchor").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).filter("_low < _high").select("anchor")
-    again = found.join(often, "anchor")
-    pieces = again.groupBy("anchor", "piece").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), F.first("text_key").alias("text_key"), F.first("n_bytes").alias("n_bytes"), F.first("at").alias("at"))
-    path = scratch_path(spark, "window-pieces")
-    pieces.write.parquet(path)
-    pieces = spark.read.schema(pieces.schema).parquet(path)
-    several = pieces.groupBy("anchor").agg(F.count("*").alias("members")).filter("members > 1")
+    # each table written here is what one side of a join reads as it is, so that a hot key on the other side can be split
+    often = _written(found.groupBy("anchor").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).filter("_low < _high").select("anchor"), "window-anchors")
+    again = _written(found.join(often, "anchor"), "window-places")
+    pieces = _written(again.groupBy("anchor", "piece").agg(F.min("id").alias("id"), F.max("id").alias("last_id"), F.first("text_key").alias("text_key"), F.first("n_bytes").alias("n_bytes"), F.first("at").alias("at")), "window-pieces")
+    several = _written(pieces.groupBy("anchor").agg(F.count("*").alias("members")).filter("members > 1"), "window-groups")
     wanted = (pieces.join(several, "anchor").groupBy("text_key", "n_bytes").agg(F.collect_list(F.struct("anchor", "piece", "id", "members", "at")).alias("wanted")))
     cut = texts.join(wanted, ["text_key", "n_bytes"]).mapInArrow(_cut(window), "anchor long, piece long, id long, members long, before int, count int, words binary")
-    path = scratch_path(spark, "window-members")
-    cut.write.parquet(path)
-    members = spark.read.schema(cut.schema).parquet(path).withColumn("skipped", F.lit(0)).withColumn("key", F.col("anchor"))
+    members = _written(cut, "window-members").withColumn("skipped", F.lit(0)).withColumn("key", F.col("anchor"))
     columns = [c.split()[0] for c in MEMBER.split(", ")]
     few = members.filter(F.col("members") <= group).select(columns)
     longer = members.filter(F.col("members") > group).select(columns).mapInArrow(_lengthened(window, gram, CLASS), MEMBER)
-    sizes = longer.groupBy("key").agg(F.count("*").alias("members"))
+    sizes = _written(longer.groupBy("key").agg(F.count("*").alias("members")), "window-prefixes")
     longer = longer.join(sizes, "key")
     trees = (few.unionByName(longer.filter(F.col("members") <= group).select(columns)).repartition("key").sortWithinPartitions("key")
              .mapInArrow(_trees(window, gram, tree_bytes), "anchor long, piece long, start int, end int"))
     whole = longer.filter(F.col("members") > group).select(columns).mapInArrow(_windows(window), "digest binary, anchor long, piece long, id long, skipped int")
-    smallest = whole.groupBy("digest").agg(F.min("id").alias("_low"))
+    smallest = _written(whole.groupBy("digest").agg(F.min("id").alias("_low")), "window-digests")
     alone = whole.join(smallest, "digest").filter("_low < id").select("anchor", "piece", F.col("skipped").alias("start"), (F.col("skipped") + 1).alias("end"))
     beaten = trees.unionByName(alone).groupBy("anchor", "piece").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    judged = pieces.select("anchor", "piece", F.col("id").alias("_first"), "last_id").join(beaten, ["anchor", "piece"], "left").filter("runs IS NOT NULL OR _first < last_id").select("anchor", "piece", "_first", "runs")
+    judged = _written(pieces.select("anchor", "piece", F.col("id").alias("_first"), "last_id").join(beaten, ["anchor", "piece"], "left").filter("runs IS NOT NULL OR _first < last_id").select("anchor", "piece", "_first", "runs"), "window-judged")
     first = F.shiftright("at", 16)
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), (F.col("at").bitwiseAND(F.lit(0xFF)) + 1).cast("int").alias("end")))
     runs = (again.join(judged, ["anchor", "piece"]).select("text_key", "n_bytes", first.alias("_from"), F.explode(F.when(F.col("id") > F.col("_first"), all_of_it).otherwise(F.col("runs"))).alias("run"))
