@@ -7,25 +7,35 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words without a plural, and irregular plurals.
-UNCOUNTABLE = ("equipment", "fish", "information", "money", "news", "rice", "series", "sheep", "species")
+# English: words that are their own singular, and plurals that no ending explains.
+UNCHANGED = (
+    "alias", "atlas", "bias", "canvas", "chaos", "cosmos", "data", "diabetes", "equipment", "fish", "gas", "headquarters", "information", "lens", "media",
+    "money", "news", "rice", "series", "sheep", "species",
+)
 IRREGULAR = {
-    "children": "child", "feet": "foot", "geese": "goose", "men": "man", "mice": "mouse",
-    "movies": "movie", "people": "person", "quizzes": "quiz", "teeth": "tooth", "women": "woman",
+    "bacteria": "bacterium", "children": "child", "criteria": "criterion", "dice": "die", "feet": "foot", "geese": "goose", "lice": "louse", "men": "man", "mice": "mouse",
+    "movies": "movie", "oxen": "ox", "people": "person", "phenomena": "phenomenon", "quizzes": "quiz", "teeth": "tooth", "women": "woman",
 }
-# Ordered suffix rules (pattern, replacement with one capture); the first match decides.
+# Where a word of a name begins: after a separator, or at an inner capital.
+_START = r"(?:^|[ _-]|(?-i:(?<=[a-z0-9])(?=[A-Z])))"
+# Ordered endings (pattern, what replaces them behind the captured part); the first match decides.
 SUFFIX_RULES = (
-    (r"(?i)(alias|bus|campus|status|virus)es$", "1"),
-    (r"(?i)(ss|x|ch|sh|zz)es$", "1"),
-    (r"(?i)((?:^|[ _-])(?:analy|ba|cri|diagno|hypothe|oa|parenthe|synthe|the))ses$", "1sis"),
-    (r"(?i)((?:^|[ _-])(?:cook|gen|mov|p|pix|t|zomb|calor|bro|l|d))ies$", "1ie"),
-    (r"(?i)([^aeiou])ies$", "1y"),
-    (r"(?i)((?:^|[ _-])(?:hal|wol|cal|shel|el|scar|dwar|lea|loa|thie|sel))ves$", "1f"),
-    (r"(?i)((?:^|[ _-])(?:kni|li|wi))ves$", "1fe"),
-    (r"(?i)(her|potat|tomat|ech|torped|vet)oes$", "1o"),
-    (r"(?i)(indi|appendi|matri|verti)ces$", "1x"),
-    (r"(?i)(ss|us|is)$", "1"),
-    (r"(?i)([^s])s$", "1"),
+    (r"(?i)(alias|atlas|bias|bonus|bus|campus|canvas|census|chorus|corpus|focus|gas|genius|iris|lens|minus|plus|radius|status|surplus|virus)es$", ""),
+    (rf"(?i)({_START}(?:emu|gnu|guru|haiku|menu|tofu|tutu))s$", ""),
+    (rf"(?i)((?:avalan|ca|cli|cre|heada|mousta|musta|ni|psy|qui|tootha|{_START}a)che)s$", ""),
+    (r"(?i)(append|direct|matr)ices$", "ix"),
+    (rf"(?i)(ind|vert|vort|cort|{_START}ap|{_START}cod)ices$", "ex"),
+    (rf"(?i)({_START}ax)es$", "is"),
+    (rf"(?i)({_START}(?:analy|ba|cri|diagno|ellip|empha|hypothe|metamorpho|neuro|oa|paraly|parenthe|progno|synop|synthe|the))ses$", "sis"),
+    (r"(?i)(ss|x|ch|sh|tz|zz)es$", ""),
+    (rf"(?i)({_START}(?:birdi|browni|calori|cooki|geni|hoodi|movi|pixi|prairi|rooki|selfi|zombi|bro|[dlpt]i))es$", "e"),
+    (r"(?i)([^aeiou]|qu)ies$", "y"),
+    (rf"(?i)(shel|hal|wol|thie|scar|dwar|loa|hoo|shea|{_START}cal|{_START}el|{_START}lea|sel)ves$", "f"),
+    (rf"(?i)(kni|wi|{_START}li)ves$", "fe"),
+    (r"(?i)(her|potat|tomat|ech|torped|vet|embarg|mosquit|volcan|carg)oes$", "o"),
+    (r"(?i)(chair|crafts|fire|fresh|gentle|police|post|sales|spokes|trades|work)men$", "man"),
+    (r"(?i)(ss|us|is)$", ""),
+    (r"(?i)([^s])s$", ""),
 )
 
 
@@ -35,14 +45,14 @@ def normalize_name(name: Column) -> Column:
 
 def singularize(name: Column) -> Column:
     """English singular of the last word, first letter's case kept; singular input is unchanged."""
-    chain = F.when(name.rlike(rf"(?i)(^|[ _-])({'|'.join(UNCOUNTABLE)})$"), name)
+    chain = F.when(name.rlike(rf"(?i){_START}({'|'.join(UNCHANGED)})$"), name)
     for plural, singular in IRREGULAR.items():
         # A word boundary keeps "specimen" and "customers" out of the "men" rule.
-        pattern = rf"(?i)(^|[ _-])({plural[0]}){plural[1:]}$"
+        pattern = rf"(?i)({_START})({plural[0]}){plural[1:]}$"
         if plural[0] == singular[0]:
             chain = chain.when(name.rlike(pattern), F.regexp_replace(name, pattern, f"$1$2{singular[1:]}"))
-    for pattern, replacement in SUFFIX_RULES:
-        chain = chain.when(name.rlike(pattern), F.regexp_replace(name, pattern, "$" + replacement))
+    for pattern, ending in SUFFIX_RULES:
+        chain = chain.when(name.rlike(pattern), F.regexp_replace(name, pattern, "$1" + ending))
     return chain.otherwise(name)
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import nearest_rank, order_statistics
+from .quantiles import Rank, nearest_rank, order_statistics, upper_median
 
 # Names of the statistics and the band in which a trend counts as unchanged.
 STATS = ("meanMs", "p50Ms", "p95Ms", "maxMs", "totalMs")
@@ -60,12 +60,17 @@ def merge_samples(parts: Sequence[DataFrame]) -> DataFrame:
 def median_baseline(stats: DataFrame, key: str = "key") -> DataFrame:
     """Per key and statistic, the midpoint median over the runs that have the key (any case).
 
-    A key has one row per run, so a group is as large as the stored history.
+    The two middle values are ranked in blocks (see ``order_statistics``), so a long history fills no task.
     """
+    names = ["count", *STATS]
     keyed = stats.withColumn("_k", F.lower(key))
-    return keyed.groupBy("_k").agg(
-        F.min(key).alias(key), F.bround(F.percentile("count", F.lit(0.5)), 0).cast("bigint").alias("count"),
-        *[F.bround(F.percentile(s, F.lit(0.5)), DIGITS).alias(s) for s in STATS]).drop("_k")
+    long = keyed.select("_k", F.col(key).alias("_key"), *[F.col(n).cast("double").alias(n) for n in names]).unpivot(["_k", "_key"], names, "_stat", "_value")
+    middle = order_statistics(long, ["_k", "_stat"], "_value", [
+        Rank("_low", 0.5, lambda n: F.floor((n + 1) / F.lit(2)).cast("bigint")), upper_median("_high")])
+    value = lambda n: F.max(F.when(F.col("_stat") == n, (F.col("_low") + F.col("_high")) / 2))
+    medians = middle.groupBy("_k").agg(F.bround(value("count"), 0).cast("bigint").alias("count"), *[F.bround(value(s), DIGITS).alias(s) for s in STATS])
+    spelled = keyed.groupBy("_k").agg(F.min(key).alias(key))
+    return spelled.join(medians, "_k", "left").drop("_k")
 
 
 def recent_runs(runs: DataFrame, n: int, env: str | None = None, name: str | None = None) -> DataFrame:

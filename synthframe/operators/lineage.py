@@ -56,13 +56,21 @@ def resolve_targets(refs: DataFrame, rows: DataFrame) -> DataFrame:
             .drop("_id", "_key", "_by_id", "_by_key", "_outside"))
 
 
+def _node_table(entities: DataFrame, bulk: DataFrame, threshold: int) -> DataFrame:
+    """``node_of_rows`` as a written table: it is read by id, by key and by position."""
+    rows = node_of_rows(entities, bulk, threshold)
+    path = scratch_path(rows.sparkSession, "lineage-rows")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def position_of_refs():
     return F.struct("scenario_seq", "source_ordinal")
 
 
 def lineage_nodes(entities: DataFrame, bulk: DataFrame, refs: DataFrame, threshold: int = AGGREGATE_FROM) -> DataFrame:
     """``node_id, title, subtitle, domain, external``: created nodes and the outside targets."""
-    rows = node_of_rows(entities, bulk, threshold)
+    rows = _node_table(entities, bulk, threshold)
     made = rows.select("node_id", "title", "subtitle", "domain").distinct()  # the node decides its texts
     texts = F.split("target_id", ":", 3)
     beyond = resolve_targets(refs, rows).filter("external").select("target_id").distinct().select(
@@ -77,7 +85,7 @@ def lineage_nodes(entities: DataFrame, bulk: DataFrame, refs: DataFrame, thresho
 
 def lineage_edges(entities: DataFrame, bulk: DataFrame, refs: DataFrame, threshold: int = AGGREGATE_FROM) -> DataFrame:
     """``source_id, target_id, label, count``; references without a created source add no edge."""
-    rows = node_of_rows(entities, bulk, threshold)
+    rows = _node_table(entities, bulk, threshold)
     sources = rows.select("scenario_seq", F.col("ordinal").alias("source_ordinal"), F.col("node_id").alias("source_id"))
     placed = join_per_key(resolve_targets(refs, rows), sources, ["scenario_seq", "source_ordinal"], "inner")
     return (placed.filter(F.col("source_id") != F.col("target_id"))

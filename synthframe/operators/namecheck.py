@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_name, singularize
+from ..session import scratch_path
 from .references import resolve_entity
 
 
@@ -13,6 +14,12 @@ def _spellings(name):
     return F.array_distinct(F.array(normalize_name(name), normalize_name(singularize(name))))
 
 
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unknown_names(steps: DataFrame, catalog: DataFrame) -> DataFrame:
     """``kind, name, within, level`` findings, each distinct name once.
 
@@ -24,8 +31,9 @@ def unknown_names(steps: DataFrame, catalog: DataFrame) -> DataFrame:
         return df.select(F.lit(kind).alias("kind"), name.alias("name"), within.alias("within"), F.lit(level).alias("level")).distinct()
 
     nothing = F.lit(None).cast("string")
-    catalog = catalog.distinct()
-    steps = steps.select("domain_pin", "entity", "property", "ref_target").distinct()
+    # distinct names are few next to the steps; both tables are read once and their names written
+    catalog = _written(catalog.distinct(), "names-known")
+    steps = _written(steps.select("domain_pin", "entity", "property", "ref_target").distinct(), "names-used")
     domains = catalog.select(F.lower("domain").alias("_d")).distinct()
     pins = steps.filter(F.col("domain_pin").isNotNull()).select("domain_pin").distinct()
     bad_pins = pins.withColumn("_d", F.lower("domain_pin")).join(domains, "_d", "left_anti").select("domain_pin")
@@ -33,7 +41,7 @@ def unknown_names(steps: DataFrame, catalog: DataFrame) -> DataFrame:
 
     named = steps.filter(F.col("entity").isNotNull()).join(bad_pins, "domain_pin", "left_anti")
     asked = named.select(F.col("entity").alias("name"), "domain_pin").distinct()
-    resolved = resolve_entity(asked, catalog.select("domain", "entity"))
+    resolved = _written(resolve_entity(asked, catalog.select("domain", "entity")), "names-resolved")
     out = out.unionByName(rows(resolved.filter(F.col("status") == "unknown"), "entity", F.col("name"), F.col("domain_pin"), "error"))
     out = out.unionByName(rows(resolved.filter(F.col("status") == "ambiguous"), "ambiguous entity", F.col("name"), F.col("domain_pin"), "warning"))
 

@@ -150,6 +150,24 @@ def apply_recorded_values(df: DataFrame, values: str, columns: Sequence[str], nu
     return df.withColumns({**updates, "warnings": warnings})
 
 
+def key_counts(target: DataFrame, records: DataFrame, row_id: str, natural_key: str) -> DataFrame:
+    """``_nk, _rows, _first, _last``: how many stored rows have a natural key that a record without an id names."""
+    asked = records.filter(F.col("id").isNull() & F.col("natural_key").isNotNull()).select(F.col("natural_key").alias("_nk")).distinct()
+    held = target.select(F.col(natural_key).cast("string").alias("_nk"), F.col(row_id).cast("string").alias("_id"))
+    return held.join(asked, "_nk", "left_semi").groupBy("_nk").agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"), F.max("_id").alias("_last"))
+
+
+def ambiguous_records(entities: DataFrame, scenarios: DataFrame, target: DataFrame, domain: str, entity: str, row_id: str, natural_key: str) -> DataFrame:
+    """``natural_key, records, rows, first_id, last_id``: keys of records without an id that several stored rows share.
+
+    Such records are not replayed; they are failures of ``replay_steps``.
+    """
+    mine = playable(entities, scenarios).filter((F.lower("domain") == domain.lower()) & (F.lower("entity") == entity.lower()) & F.col("id").isNull() & F.col("verb").isin(*WRITING_VERBS))
+    per_key = mine.filter(F.col("natural_key").isNotNull()).groupBy(F.col("natural_key").alias("_nk")).agg(F.count(F.lit(1)).alias("records"))
+    return per_key.join(key_counts(target, mine, row_id, natural_key).filter("_rows > 1"), "_nk").select(
+        F.col("_nk").alias("natural_key"), "records", F.col("_rows").alias("rows"), F.col("_first").alias("first_id"), F.col("_last").alias("last_id"))
+
+
 def replay(entities: DataFrame, scenarios: DataFrame, target: DataFrame, domain: str, entity: str, row_id: str,
            natural_key: str, columns: Sequence[str]) -> DataFrame:
     """The table after replaying the records of one entity: recorded values, not generators.
@@ -157,7 +175,8 @@ def replay(entities: DataFrame, scenarios: DataFrame, target: DataFrame, domain:
     Adds ``action`` kept, updated or created. Created and projected rows are inserted or get their
     values again, updates need the row, deletes by id tolerate its absence, delete-alls do nothing.
     A record without an id finds its row by natural key, and inserts it if it creates and no row has
-    the key; of two writes that find one row, by id and by key, the later one decides.
+    the key; of two writes that find one row, by id and by key, the later one decides. A key that several
+    stored rows share names none of them: its records change and insert nothing (see ``ambiguous_records``).
     """
     mine = playable(entities, scenarios).filter((F.lower("domain") == domain.lower()) & (F.lower("entity") == entity.lower()))
     writes = mine.filter((F.col("verb").isin(*WRITING_VERBS) & F.col("natural_key").isNotNull()) | F.col("id").isNotNull())
@@ -169,6 +188,7 @@ def replay(entities: DataFrame, scenarios: DataFrame, target: DataFrame, domain:
         F.col("values").alias("_values"), "_at")
     by_key = last.filter(F.col("id").isNull()).select(
         F.col("natural_key").alias("_nk"), F.col("_creates").alias("_key_creates"), F.col("values").alias("_key_values"), F.col("_at").alias("_key_at"))
+    by_key = by_key.join(key_counts(target, writes, row_id, natural_key).filter("_rows > 1").select("_nk"), "_nk", "left_anti")
     base = target.withColumn("_id", F.col(row_id).cast("string")).withColumn("_nk", F.col(natural_key).cast("string"))
     joined = join_per_key(join_per_key(base, by_id, ["_id"]), by_key, ["_nk"])
     there = joined.filter(~F.coalesce("deleted", F.lit(False)) & ~(F.coalesce("_was_deleted", F.lit(False)) & ~F.coalesce("_creates", F.lit(False))))
@@ -195,7 +215,7 @@ def replay_steps(entities: DataFrame, scenarios: DataFrame, target: DataFrame, r
 
     Whether the row exists when a record is replayed follows from the last creation or deletion before
     it, else from the table: by id, and only without an id by natural key. A record whose (domain,
-    entity) is not ``configured`` fails.
+    entity) is not ``configured`` fails, as does one without an id whose key several rows of the table share.
     """
     played = scenarios.withColumn("_play", (F.col("lifecycle") == "Persistent") & (F.col("outcome") != "Skipped")).select("scenario_seq", "_play")
     marked = join_per_key(entities, played, ["scenario_seq"])
@@ -216,11 +236,12 @@ def replay_steps(entities: DataFrame, scenarios: DataFrame, target: DataFrame, r
     stored = target.select(F.concat(F.lit("i"), F.col(row_id).cast("string")).alias("_handle"))
     if natural_key is not None:
         stored = stored.unionByName(target.select(F.concat(F.lit("k"), F.col(natural_key).cast("string")).alias("_handle")))
-    stored = stored.filter(F.col("_handle").isNotNull()).distinct().withColumn("_stored", F.lit(True))
+    stored = stored.filter(F.col("_handle").isNotNull()).groupBy("_handle").agg(F.lit(True).alias("_stored"), (F.count(F.lit(1)) > 1).alias("_several"))
     handle = F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("k"), "natural_key"))
     known = join_per_key(traced.withColumn("_handle", handle), stored, ["_handle"])
     exists = F.coalesce("_before", "_stored", F.lit(False))
-    step = (F.when(F.col("verb").isin("Create", "Projection"), F.when(exists, "updated").otherwise("created"))
+    step = (F.when(F.col("id").isNull() & F.col("_several"), "failed")
+            .when(F.col("verb").isin("Create", "Projection"), F.when(exists, "updated").otherwise("created"))
             .when(F.col("verb") == "Update", F.when(exists, "updated").otherwise("failed"))
             .when(F.col("verb") == "Delete", F.when(exists, "deleted").otherwise("absent")).otherwise("skipped"))
     return known.select("scenario_seq", "ordinal", step.alias("step")).unionByName(wiped).unionByName(strange).unionByName(rest)

@@ -29,7 +29,7 @@ def lease_blocks(leases: DataFrame, blocks: int = 32) -> DataFrame:
     keys = ["_env", "domain", "database_id"]
     rows = leases.withColumn("_env", F.coalesce("environment", F.lit(""))).withColumn("_at", F.unix_micros(F.col("acquired_utc").cast("timestamp")))
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("_at", [i / blocks for i in range(1, blocks)], 1000).alias("_cuts"))
-    return join_per_key(rows, cuts, keys, "inner").withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col("_at")))).drop("_cuts", "_at")
+    return join_per_key(rows, cuts, keys, "inner").withColumn("_block", F.size(F.coalesce(F.filter("_cuts", lambda c: c < F.col("_at")), F.array().cast("array<bigint>")))).drop("_cuts", "_at")
 
 
 def lease_conflicts(leases: DataFrame, blocks: int = 32) -> DataFrame:

@@ -60,12 +60,11 @@ def _(t):
 
 @reg.add("cnv2_null_literal", f"""
 SELECT event_id, CASE WHEN lower(raw) = 'null' THEN NULL ELSE raw END AS nullable_value,
-  CASE WHEN lower(raw) = 'null' THEN 'Cannot convert "' || raw || '" to bigint' END AS required_error
-FROM {_RAW_SQL} WHERE raw IS NULL OR regexp_matches(lower(raw), '^(null|[0-9]+)$')""")
+  CASE WHEN NOT regexp_matches(trim(raw), {_INT}) THEN 'Cannot convert "' || raw || '" to bigint' END AS required_error
+FROM {_RAW_SQL}""")
 def _(t):
-    rows = _raw(t).filter(F.col("raw").isNull() | F.lower("raw").rlike("^(null|[0-9]+)$"))
-    return rows.select("event_id", cv.null_literal(F.col("raw")).alias("nullable_value"),
-                       cv.typed_convert(F.col("raw"), "bigint", nullable=False)["error"].alias("required_error"))
+    return _raw(t).select("event_id", cv.null_literal(F.col("raw")).alias("nullable_value"),
+                          cv.typed_convert(F.col("raw"), "bigint", nullable=False)["error"].alias("required_error"))
 
 
 _TOKEN_SQL = """(SELECT event_id, [ 'today', 'now', 'Today+' || n || 'd', 'now - ' || n || ' w', ' today -' || n || 'M ',

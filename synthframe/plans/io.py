@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,7 +44,7 @@ def _(t):
     return out.select("row_id", F.col(rd.dataset_column(out, "LABEL")).alias("label"), "note", "parts")
 
 
-# One run document per fifty events, one scenario in it.
+# One run document per fifty events, one scenario in it; every part of the document is filled.
 def _documents(t):
     e = fx.entities(t)
     entity = F.struct("ordinal", "domain", "entity", "verb", F.col("persisted_via").alias("persistedVia"), "id", F.col("natural_key").alias("naturalKey"),
@@ -51,26 +54,61 @@ def _documents(t):
         F.array_sort(F.collect_list(entity), lambda a, b: F.when(a["ordinal"] < b["ordinal"], -1).otherwise(1)).alias("entities"),
         F.sum(F.size("warnings")).alias("w"))  # fifty rows per document at most
     outcome = F.when(F.col("w") > 0, "CompletedWithWarnings").otherwise("Succeeded")
-    name = F.concat(F.lit("run-"), F.col("run").cast("string"))
+    number, rows = F.col("run").cast("string"), F.size("entities").cast("bigint")
+    made = F.filter("entities", lambda x: x["verb"] == "Create")
+    references = F.transform(made, lambda x: F.struct(
+        F.lit(3).alias("step"), x["ordinal"].alias("sourceOrdinal"), F.concat(F.lit("Customer:"), x["naturalKey"]).alias("target"), F.lit("database").alias("resolvedFrom"), x["id"].alias("id")))
+    bulk = F.array(F.struct(F.lit("Orders").alias("domain"), F.lit("Order").alias("entity"), rows.alias("requested"), (rows - 4).alias("hashedRows")))
+    unmatched = F.when(F.col("run") % 4 == 0, F.array(F.struct(F.concat(F.lit("wait "), number).alias("text"), F.lit(9).alias("line")))).otherwise(F.array())
+    broken = F.when(F.col("run") % 3 == 0, F.array(F.struct(F.lit("maxRows").alias("rule"), F.concat(F.lit("step "), number).alias("message")))).otherwise(F.array())
+    slow = F.create_map(F.lit("persist"), F.struct(rows.alias("count"), F.lit(12.5).alias("p95Ms")))
     return grouped.select(
-        F.struct(name.alias("runId"), F.lit("load").alias("name"), F.lit("2024-01-01T00:00:00Z").alias("startedUtc"), outcome.alias("outcome")).alias("run"),
-        F.array(F.struct(F.lit("F").alias("feature"), F.concat(F.lit("S"), F.col("run").cast("string")).alias("scenario"), F.lit(3).alias("line"),
-                         outcome.alias("outcome"), "entities")).alias("scenarios"))
+        F.struct(F.concat(F.lit("run-"), number).alias("runId"), F.lit("load").alias("name"), F.lit("2024-01-01T00:00:00Z").alias("startedUtc"), outcome.alias("outcome"),
+                 slow.alias("benchmark"), broken.alias("policyViolations")).alias("run"),
+        F.array(F.struct(F.lit("F").alias("feature"), F.concat(F.lit("S"), number).alias("scenario"), F.lit(3).alias("line"), outcome.alias("outcome"), "entities",
+                         bulk.alias("bulkOperations"), references.alias("references"), unmatched.alias("unmatchedSteps"))).alias("scenarios"))
+
+
+def _read_back(t):
+    folder = scratch_path(t.spark, "runs")
+    _documents(t).write.json(folder)
+    return rd.read_runs(t.spark, folder, pretty=False)
 
 
 @reg.add("src4_read_runs", f"""
 SELECT 'run-' || (ordinal // 50)::VARCHAR AS run_id, 'S' || (ordinal // 50)::VARCHAR AS scenario, ordinal, verb, id, natural_key, amount, source,
   CASE WHEN warning IS NULL THEN 0 ELSE 1 END::INT AS warnings FROM {fx.ENTITIES_SQL}""")
 def _(t):
-    folder = scratch_path(t.spark, "runs")
-    _documents(t).write.json(folder)
-    tables = rd.read_runs(t.spark, folder, pretty=False)
+    tables = _read_back(t)
     scenarios = tables["scenarios"].select("run_id", "scenario_seq", "scenario")
     return tables["entities"].join(scenarios, ["run_id", "scenario_seq"]).select(
         "run_id", "scenario", "ordinal", "verb", "id", "natural_key", F.col("values")["amount"].alias("amount"), "source",
         F.size("warnings").alias("warnings"))
 
 
+@reg.add("src4_read_runs_tables", f"""
+WITH e AS (SELECT *, ordinal // 50 AS run FROM {fx.ENTITIES_SQL}),
+r AS (SELECT run, count(*) AS n, CASE WHEN count(warning) > 0 THEN 'CompletedWithWarnings' ELSE 'Succeeded' END AS outcome FROM e GROUP BY run)
+SELECT part, 'run-' || run::VARCHAR AS run_id, line FROM (
+  SELECT 'runs' AS part, run, 'load 2024-01-01 ' || outcome AS line FROM r UNION ALL
+  SELECT 'scenarios', run, 'F S' || run::VARCHAR || ' 3 ' || outcome FROM r UNION ALL
+  SELECT 'entities', run, ordinal::VARCHAR || ' ' || verb || ' ' || persisted_via || ' ' || coalesce(id, '-') FROM e UNION ALL
+  SELECT 'bulk_operations', run, 'Order ' || n::VARCHAR || ' ' || (n - 4)::VARCHAR FROM r UNION ALL
+  SELECT 'references', run, ordinal::VARCHAR || ' Customer:' || natural_key || ' database ' || coalesce(id, '-') FROM e WHERE verb = 'Create' UNION ALL
+  SELECT 'unmatched_steps', run, 'wait ' || run::VARCHAR || ' 9' FROM r WHERE run % 4 = 0 UNION ALL
+  SELECT 'benchmark', run, 'persist ' || n::VARCHAR || ' 12.5' FROM r UNION ALL
+  SELECT 'policy_violations', run, 'maxRows step ' || run::VARCHAR FROM r WHERE run % 3 = 0)""")
+def _(t):
+    """Every table of the documents, a line of text per row."""
+    tables = _read_back(t)
+    shown = {"runs": ("name", F.date_format("started_utc", "yyyy-MM-dd"), "outcome"), "scenarios": ("feature", "scenario", "line", "outcome"),
+             "entities": ("ordinal", "verb", "persisted_via", "id"), "bulk_operations": ("entity", "requested", "hashed_rows"),
+             "references": ("source_ordinal", "target", "resolved_from", "id"), "unmatched_steps": ("text", "line"),
+             "benchmark": ("operation", "count", "p95Ms"), "policy_violations": ("rule", "message")}
+    texts = {part: [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-")) for c in columns] for part, columns in shown.items()}
+    return reduce(DataFrame.unionByName, [tables[p].select(F.lit(p).alias("part"), "run_id", F.concat_ws(" ", *cells).alias("line")) for p, cells in texts.items()])
+
+
 @reg.add("src5_read_journal", f"""
 SELECT kind, scenario, value, seed, ordinal, persisted FROM {fx.JOURNAL_SQL.replace('FROM events', 'FROM events WHERE event_id % 100 NOT IN (17, 18, 19)')}""")
 def _(t):

@@ -76,19 +76,24 @@ def _(t):
     return pb.drift_report(_found(t), fx.scenarios(t), warnings=2)
 
 
+# Every fifth customer has the natural key of the one before it: such keys name no row.
 def _target(t):
+    key = F.when(F.col("c_custkey") % 10 == 0, F.col("c_custkey") - 2).otherwise(F.col("c_custkey"))
     return t.customer.filter(F.col("c_custkey") % 2 == 0).select(
-        F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("K"), F.col("c_custkey").cast("string")).alias("nk"),
+        F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("id"), F.concat(F.lit("K"), key.cast("string")).alias("nk"),
         F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("kind"))
 
 
-_TARGET_SQL = "(SELECT 'r' || c_custkey::VARCHAR AS id, 'K' || c_custkey::VARCHAR AS nk, c_acctbal AS amount, c_mktsegment AS kind FROM customer WHERE c_custkey % 2 = 0)"
+_TARGET_SQL = """(SELECT 'r' || c_custkey::VARCHAR AS id, 'K' || (CASE WHEN c_custkey % 10 = 0 THEN c_custkey - 2 ELSE c_custkey END)::VARCHAR AS nk,
+  c_acctbal AS amount, c_mktsegment AS kind FROM customer WHERE c_custkey % 2 = 0)"""
+_SHARED_SQL = f"(SELECT nk FROM {_TARGET_SQL} GROUP BY nk HAVING count(*) > 1)"
 
 
 @reg.add("drf5_replay", f"""
 WITH q AS (SELECT * FROM {_PLAYED_SQL} WHERE entity = 'Customer'), p AS (SELECT * FROM q WHERE id IS NOT NULL),
 k AS (SELECT natural_key AS nk, arg_max(amount, pos) AS amount, arg_max(kind, pos) AS kind, max(pos) AS pos,
-  max(pos) FILTER (verb IN ('Create', 'Projection')) AS made FROM q WHERE id IS NULL AND verb <> 'Delete' GROUP BY natural_key),
+  max(pos) FILTER (verb IN ('Create', 'Projection')) AS made FROM q WHERE id IS NULL AND verb <> 'Delete'
+  AND natural_key NOT IN {_SHARED_SQL} GROUP BY natural_key),
 l AS (SELECT id, max(pos) AS pos, arg_max(natural_key, pos) AS nk, arg_max(verb, pos) AS verb, arg_max(amount, pos) AS amount, arg_max(kind, pos) AS kind,
   max(pos) FILTER (verb = 'Delete') AS gone, max(pos) FILTER (verb IN ('Create', 'Projection')) AS made FROM p GROUP BY id),
 s AS (SELECT t.id, t.nk, coalesce(CAST(CASE WHEN k.pos > coalesce(l.pos, 0) THEN k.amount ELSE l.amount END AS DOUBLE), t.amount) AS amount,
@@ -103,7 +108,15 @@ def _(t):
     return pb.replay(fx.entities(t), fx.scenarios(t), _target(t), "orders", "customer", "id", "nk", ["amount", "kind"])
 
 
-_STEPS_SQL = f"""(SELECT scenario_seq, ordinal, CASE WHEN verb IN ('Create', 'Projection') THEN CASE WHEN there THEN 'updated' ELSE 'created' END
+@reg.add("drf5_ambiguous_records", f"""
+SELECT natural_key, count(*) AS records, any_value(rows) AS rows, any_value(first_id) AS first_id, any_value(last_id) AS last_id FROM {_PLAYED_SQL}
+JOIN (SELECT nk, count(*) AS rows, min(id) AS first_id, max(id) AS last_id FROM {_TARGET_SQL} GROUP BY nk HAVING count(*) > 1) ON nk = natural_key
+WHERE entity = 'Customer' AND id IS NULL AND verb <> 'Delete' GROUP BY natural_key""")
+def _(t):
+    return pb.ambiguous_records(fx.entities(t), fx.scenarios(t), _target(t), "orders", "customer", "id", "nk")
+
+
+_STEPS_SQL = f"""(SELECT scenario_seq, ordinal, CASE WHEN id IS NULL AND natural_key IN {_SHARED_SQL} THEN 'failed' WHEN verb IN ('Create', 'Projection') THEN CASE WHEN there THEN 'updated' ELSE 'created' END
     WHEN verb = 'Update' THEN CASE WHEN there THEN 'updated' ELSE 'failed' END ELSE CASE WHEN there THEN 'deleted' ELSE 'absent' END END AS step FROM (
   SELECT p.*, coalesce(last_value(CASE WHEN verb IN ('Create', 'Projection') THEN true WHEN verb = 'Delete' THEN false END IGNORE NULLS) OVER (
       PARTITION BY row_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), CASE WHEN p.id IS NULL THEN p.natural_key IN (SELECT nk FROM {_TARGET_SQL}) ELSE p.id IN (SELECT id FROM {_TARGET_SQL}) END, false) AS there

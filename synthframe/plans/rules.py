@@ -198,9 +198,12 @@ def _(t):
 # Lineage: customers created a few per scenario, orders many per scenario; orders refer to customers.
 _ROWS_SQL = """(SELECT (c_custkey % 400)::INT AS seq, c_custkey AS ordinal, 'Customer' AS entity, 'c' || c_custkey::VARCHAR AS id, c_name AS nk FROM customer WHERE c_custkey % 6 <> 0
   UNION ALL SELECT (1000 + o_orderkey % 300)::INT, o_orderkey, 'Order', 'o' || o_orderkey::VARCHAR, 'ORD-' || o_orderkey::VARCHAR FROM orders)"""
+# Clicks stand for bulk operations on customers, spelled otherwise; their scenarios also made customers one by one.
+_BULK_SQL = f"(SELECT scenario_seq AS seq, 'Customer' AS entity, max(count) AS bulk FROM {fx.BULK_SQL} WHERE entity = 'click' GROUP BY 1)"
 _NODES_SQL = f"""(SELECT *, CASE WHEN many THEN 'agg:' || seq::VARCHAR || ':Orders:' || entity ELSE 'ent:Orders:' || entity || ':' || nk END AS node_id,
-  CASE WHEN many THEN n::VARCHAR || ' × ' || entity ELSE entity END AS title, CASE WHEN many THEN 'Orders' ELSE nk || ' · Orders' END AS subtitle
-  FROM (SELECT *, count(*) OVER (PARTITION BY seq, entity) AS n, count(*) OVER (PARTITION BY seq, entity) >= 10 AS many FROM {_ROWS_SQL}))"""
+  CASE WHEN many THEN coalesce(bulk, n)::VARCHAR || ' × ' || entity ELSE entity END AS title, CASE WHEN many THEN 'Orders' ELSE nk || ' · Orders' END AS subtitle
+  FROM (SELECT *, count(*) OVER (PARTITION BY seq, entity) AS n, count(*) OVER (PARTITION BY seq, entity) >= 10 OR bulk IS NOT NULL AS many
+  FROM {_ROWS_SQL} LEFT JOIN {_BULK_SQL} USING (seq, entity)))"""
 _REFS_SQL = """(SELECT (1000 + o_orderkey % 300)::INT AS seq, o_orderkey AS ordinal, 'Customer:' || c_name AS target,
   CASE WHEN o_orderkey % 2 = 0 THEN 'c' || c_custkey::VARCHAR END AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'contextBag' ELSE 'database' END AS label
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -220,7 +223,7 @@ def _lineage_inputs(t):
         (o % 300 + 1000).cast("int").alias("scenario_seq"), o.alias("source_ordinal"), F.concat(F.lit("Customer:"), "c_name").alias("target"),
         F.when(o % 2 == 0, F.concat(F.lit("c"), c.cast("string"))).alias("id"), F.lit("Crm").alias("owning_domain"),
         F.when(o % 3 == 0, "contextBag").otherwise("database").alias("resolved_from"))
-    bulk = fx.bulk(t).filter(F.lit(False))
+    bulk = fx.bulk(t).withColumn("entity", F.when(F.col("entity") == "click", "CUSTOMER").otherwise(F.col("entity")))
     return entities, bulk, refs
 
 

@@ -63,6 +63,31 @@ def test_singular(spark, plural, singular):
     assert spark.range(1).select(nm.singularize(F.lit(plural))).first()[0] == singular
 
 
+# A hundred plurals of names that tables have.
+PLURALS = """
+index:indices index:indexes appendix:appendices matrix:matrices vertex:vertices vortex:vortices cortex:cortices codex:codices apex:apices cache:caches niche:niches
+headache:headaches avalanche:avalanches axis:axes gas:gases bus:buses virus:viruses status:statuses alias:aliases bonus:bonuses canvas:canvases lens:lenses bias:biases campus:campuses
+focus:focuses house:houses cause:causes clause:clauses expense:expenses purchase:purchases lease:leases license:licenses response:responses warehouse:warehouses course:courses
+address:addresses class:classes process:processes box:boxes tax:taxes fax:faxes branch:branches match:matches batch:batches patch:patches search:searches dish:dishes brush:brushes
+waltz:waltzes quiz:quizzes size:sizes prize:prizes crisis:crises analysis:analyses diagnosis:diagnoses hypothesis:hypotheses thesis:theses parenthesis:parentheses category:categories company:companies
+city:cities country:countries policy:policies entry:entries inquiry:inquiries soliloquy:soliloquies cookie:cookies movie:movies tie:ties day:days key:keys survey:surveys shelf:shelves
+bookshelf:bookshelves half:halves wolf:wolves thief:thieves knife:knives wife:wives life:lives leaf:leaves loaf:loaves olive:olives sleeve:sleeves hero:heroes potato:potatoes
+photo:photos shoe:shoes toe:toes menu:menus guru:gurus salesman:salesmen woman:women child:children person:people mouse:mice foot:feet tooth:teeth criterion:criteria phenomenon:phenomena
+price:prices service:services device:devices invoice:invoices office:offices slice:slices user:users order:orders item:items specimen:specimen series:series news:news lens:lens gas:gas
+SalesPerson:SalesPeople OrderStatus:OrderStatuses PriceIndex:PriceIndices order_item:order_items HouseWife:HouseWives UserChild:UserChildren data:data iris:iris
+"""
+
+
+def test_a_hundred_plurals(spark):
+    pairs = [tuple(p.split(":")) for p in PLURALS.split()]
+    assert len(pairs) > 100
+    made = spark.createDataFrame(pairs, "singular string, plural string").withColumn("got", nm.singularize(F.col("plural"))).collect()
+    assert [(r["plural"], r["got"]) for r in made if r["got"] != r["singular"]] == []
+    # what is singular already stays
+    again = spark.createDataFrame([(a,) for a, _ in pairs], "singular string").withColumn("got", nm.singularize(F.col("singular"))).collect()
+    assert [(r["singular"], r["got"]) for r in again if r["got"] != r["singular"]] == []
+
+
 def test_strip_and_expand(spark):
     row = spark.range(1).select(
         nm.strip_pattern(F.lit("CustomerENTITY"), "{Name}Entity"), nm.strip_pattern(F.lit("Entity"), "{Name}Entity"),

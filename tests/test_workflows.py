@@ -265,3 +265,20 @@ def test_lineage_has_no_depth_limit_and_marks_cycles(spark):
     got = {r.node_id: (r.depth, r.cyclic) for r in ln.lineage_depth(edges.coalesce(1)).collect()}
     assert got == {**{f"n{i}": (70 - i, False) for i in range(71)}, **{n: (None, True) for n in "abcd"}}
 
+
+def test_a_key_that_two_rows_share_is_not_replayed(spark):
+    records = spark.createDataFrame([
+        (1, 1, "shop", "customer", "Update", "api", None, "k", {"amount": "5"}), (1, 2, "shop", "customer", "Create", "api", None, "k", {"amount": "6"}),
+        (1, 3, "shop", "customer", "Update", "api", None, "one", {"amount": "7"}), (1, 4, "shop", "customer", "Update", "api", "i2", "k", {"amount": "8"})],
+        "scenario_seq int, ordinal int, domain string, entity string, verb string, persisted_via string, id string, natural_key string, values map<string,string>")
+    runs = spark.createDataFrame([(1, "Persistent", "Succeeded")], "scenario_seq int, lifecycle string, outcome string")
+    target = spark.createDataFrame([("i1", "k", 1.0), ("i2", "k", 2.0), ("i3", "one", 3.0)], "id string, nk string, amount double")
+    args = (records, runs, target)
+    assert sorted(map(tuple, pb.replay(*args, "shop", "customer", "id", "nk", ["amount"]).collect())) == [
+        ("i1", "k", 1.0, "kept"), ("i2", "k", 8.0, "updated"), ("i3", "one", 7.0, "updated")]
+    steps = pb.replay_steps(*args, "id", "nk", [("shop", "customer")])
+    assert {r.ordinal: r.step for r in steps.collect()} == {1: "failed", 2: "failed", 3: "updated", 4: "updated"}
+    assert tuple(pb.replay_report(steps).first())[5:] == (2, 2)
+    assert [tuple(r) for r in pb.ambiguous_records(*args, "shop", "customer", "id", "nk").collect()] == [("k", 2, 2, "i1", "i2")]
+    found = pb.find_recorded(pb.fold_expected(records, runs), target, "id", "nk", ["amount"]).filter("natural_key = 'k' AND id IS NULL").first()
+    assert found["found"] is False
