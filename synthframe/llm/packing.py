@@ -1,23 +1,24 @@
 """Sharding by best-fit-decreasing bin packing.
 
-Indivisible groups are sorted by size and enter the bin with the least room that still holds them; bins
-are kept in a tree ordered by remaining capacity. Packing is sequential, so what it sees is bounded: a
-group above a fixed fraction of the total is an item of its own (at most ``1 / fraction`` of these exist),
-all smaller groups are dealt by their key's hash into a fixed number of crumbs, and each crumb is an item.
-A group never splits: all its rows share its key and so its crumb.
+Indivisible groups are sorted by size and enter the bin with the least room that still holds them; bins are kept in a
+tree ordered by remaining capacity. Groups of one size follow each other, so what is packed are size classes with exact
+counts from Spark: the tightest bin takes as many of a class as it has room for, which is what it would take one by one.
+The plan is a list of runs (size, ranks from and to, bin), and each group looks its bin up by its rank among the groups
+of its size, which blocks and their offsets give without sorting a class in one task.
 """
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 
-#: Crumbs per shard. The items on the driver number at most ``2 * CRUMBS * shards``, whatever the input.
-CRUMBS = 64
+from ..session import scratch_path
+
+#: Ranks of a class that a run is looked up by; a rank has so many runs to compare at most.
+RANKS = 64
 #: Rows that one numbering task sorts, as a target; more rows make more blocks.
 BLOCK_ROWS = 200_000
 
@@ -92,69 +93,94 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
     return bins
 
 
-def pack_evenly(sizes: Sequence[int], shards: int) -> list[int]:
-    """Bins 0..shards-1 of near equal sums: the least capacity that needs no more than ``shards`` bins.
+def pack_classes(classes: Sequence[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int]]:
+    """Runs (size, first rank, end rank, bin) of best-fit-decreasing over (size, count) classes.
+
+    The same bins as ``best_fit_decreasing`` over the single items: of equal items, each enters the bin that the one before
+    it left, until that is too small. An item above the capacity has a bin of its own.
+    """
+    tree, runs, opened = CapacityTree(), [], 0
+    for size, count in sorted(classes, reverse=True):
+        first = 0
+        while first < count:
+            found = tree.take_tightest(size)
+            if found is None:
+                found, opened = (max(capacity, size), opened), opened + 1
+            fits = count - first if size == 0 else min(count - first, found[0] // size)
+            runs.append((size, first, first + fits, found[1]))
+            tree.insert((found[0] - fits * size, found[1]))
+            first += fits
+    return runs
+
+
+def pack_classes_evenly(classes: Sequence[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
+    """Runs over bins 0..shards-1 of near equal sums: the least capacity that needs no more than ``shards`` bins.
 
     Items above the mean of what is left take a bin alone first, for they would set everyone's capacity.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    bins, left, free, alone = [0] * len(sizes), sum(sizes), shards, 0
-    while alone < len(order) and free > 1 and sizes[order[alone]] * free > left:
-        bins[order[alone]] = alone
-        left -= sizes[order[alone]]
-        alone, free = alone + 1, free - 1
-    rest = order[alone:]
+    left = {size: count for size, count in sorted(classes, reverse=True) if count}
+    total, free, alone, runs = sum(s * c for s, c in left.items()), shards, 0, []
+    for size, count in list(left.items()):
+        taken = 0
+        while taken < count and free > 1 and size * free > total:
+            runs.append((size, taken, taken + 1, alone))
+            total, free, alone, taken = total - size, free - 1, alone + 1, taken + 1
+        left[size] = count - taken
+        if left[size]:
+            break
+    rest = [(s, c) for s, c in left.items() if c]
     if not rest:
-        return bins
-    held = [sizes[i] for i in rest]
-    low, high = max(max(held), -(-left // free)), left
+        return runs
+    # with room for the mean and one more item, a bin is opened only while all others hold more than the mean
+    low = max(rest[0][0], -(-total // free))
+    high = max(low, -(-total // free) + rest[0][0])
     while low < high:
         middle = (low + high) // 2
-        if max(best_fit_decreasing(held, middle), default=0) < free:
+        if max(r[3] for r in pack_classes(rest, middle)) < free:
             high = middle
         else:
             low = middle + 1
-    for item, found in zip(rest, best_fit_decreasing(held, low)):
-        bins[item] = alone + found
-    return bins
+    ahead = {size: sum(1 for r in runs if r[0] == size) for size, _ in rest}
+    return runs + [(size, first + ahead[size], end + ahead[size], alone + found) for size, first, end, found in pack_classes(rest, low)]
+
+
+def _packed(rows: DataFrame, key: str, size: str, plan) -> DataFrame:
+    """``rows`` with the ``shard`` that ``plan`` (classes to runs) gives their group."""
+    spark = rows.sparkSession
+    sized = F.coalesce(F.col(f"`{size}`"), F.lit(0)).cast("long")
+    groups = _written(rows.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.sum(sized).alias("_size")), "pack-groups")
+    # sizes that differ: their number is at most the root of twice the total, so 14 million for 100 TB
+    classes = [(r["_size"], r["n"]) for r in groups.groupBy("_size").agg(F.count("*").alias("n")).collect()]
+    runs = spark.createDataFrame(plan(classes), "_size long, _from long, _to long, shard int")
+    step = F.explode(F.sequence(F.floor(F.col("_from") / RANKS), F.floor((F.col("_to") - 1) / RANKS))).alias("_step")
+    ranked = number_slots(groups, "_size", ["_key"], "_rank").withColumn("_step", F.floor(F.col("_rank") / RANKS))
+    placed = ranked.join(runs.select("*", step), ["_size", "_step"]).filter("_rank >= _from AND _rank < _to").select("_key", "shard")
+    placed = _written(placed, "pack-bins")
+    return rows.drop("shard").join(placed, F.col(f"`{key}`").eqNullSafe(F.col("_key"))).drop("_key")
+
+
+def pack_groups(rows: DataFrame, key: str, size: str, shards: int) -> DataFrame:
+    """``rows`` with ``shard`` (int, 0 to shards-1): rows of equal ``key`` stay together, sums of ``size`` near equal.
 
+    Every group is placed by best-fit-decreasing. Null keys are one group; null sizes count as zero; sizes are not negative.
+    An empty table gives an empty result. A column ``shard`` of the input is replaced. What returns to the driver is one
+    row per different group size.
+    """
+    return _packed(rows, key, size, lambda classes: pack_classes_evenly(classes, shards))
 
-def pack_groups(rows: DataFrame, key: str, size: str, shards: int, crumbs: int = CRUMBS) -> DataFrame:
-    """``rows`` with ``shard`` (int, 0 to shards-1): rows of equal ``key`` stay together, sums of ``size`` near equal.
 
-    Null keys are one group; null sizes count as zero. An empty table gives an empty result. A column
-    ``shard`` of the input is replaced. Two aggregations with map-side combine are all that is shuffled;
-    what returns to the driver is at most ``2 * crumbs * shards`` items.
+def pack_to_capacity(rows: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
+    """``rows`` with ``shard``: as few shards of at most ``capacity`` as best-fit-decreasing needs (11/9 of the optimum and one, at most).
+
+    A group above the capacity has a shard of its own. Otherwise as ``pack_groups``.
     """
-    n_crumbs = crumbs * shards
-    sized = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    groups = rows.groupBy(F.col(key).alias("_key")).agg(F.sum(sized).alias("_size"))
-    total = groups.agg(F.sum("_size")).first()[0] or 0
-    limit = total // n_crumbs
-    crumb = F.pmod(F.xxhash64(F.col("_key")), F.lit(n_crumbs)).cast("int")
-    items = (groups.groupBy(F.when(F.col("_size") > limit, F.col("_key")).alias("_key"),
-                            F.when(F.col("_size") <= limit, crumb).alias("_crumb"))
-             .agg(F.sum("_size").alias("_size")).orderBy(F.desc("_size"), "_crumb", "_key").collect())
-    bins = pack_evenly([r["_size"] for r in items], shards)
-    of_crumb = [0] * n_crumbs
-    alone = []
-    for item, found in zip(items, bins):
-        if item["_crumb"] is None:
-            alone.append((item["_key"], found))
-        else:
-            of_crumb[item["_crumb"]] = found
-    kind = rows.schema[key].dataType.simpleString()
-    # At most one group per crumb-sized share of the total can stand here, so the broadcast is bounded.
-    lone = rows.sparkSession.createDataFrame(alone, f"_lone_key {kind}, _lone int")
-    placed = F.element_at(F.array(*[F.lit(b) for b in of_crumb]) if n_crumbs <= 64 else _lookup(of_crumb),
-                          F.pmod(F.xxhash64(F.col(key)), F.lit(n_crumbs)).cast("int") + 1)
-    return (rows.drop("shard").join(F.broadcast(lone), F.col(key).eqNullSafe(F.col("_lone_key")), "left")
-            .withColumn("shard", F.coalesce("_lone", placed)).drop("_lone_key", "_lone"))
+    return _packed(rows, key, size, lambda classes: pack_classes(classes, capacity))
 
 
-def _lookup(values: Sequence[int]) -> Column:
-    """A constant array, written as text so that the plan holds one literal."""
-    return F.from_json(F.lit(str(list(values))), "array<int>")
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_slots(rows: DataFrame, group: str, order: Sequence[str], name: str = "slot",
@@ -163,14 +189,16 @@ def number_slots(rows: DataFrame, group: str, order: Sequence[str], name: str =
 
     A group is cut into blocks by the hash of ``order``, each block is numbered by its own task, and the
     blocks' row counts give the offsets, so that no task sorts a whole group. Rows equal in ``order``
-    may swap numbers. There are as many blocks as rows / ``block_rows``, and a broadcast row for each.
+    may swap numbers. There are as many blocks as rows / ``block_rows``. The rows are written once with their block, so
+    that counting and numbering see the same.
     """
-    blocks = max(1, rows.count() // block_rows)
-    cut = rows.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    held = _written(rows.withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in order])), "slots")
+    blocks = max(1, held.count() // block_rows)
+    cut = held.withColumn("_block", F.pmod(F.col("_hash"), F.lit(blocks)).cast("int")).drop("_hash")
     counts = cut.groupBy(group, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = counts.select(F.col(group).alias("_group"), F.col("_block").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(group, "_block").orderBy(*order)
     numbered = cut.withColumn("_at", F.row_number().over(inside) - 1)
-    return (numbered.join(F.broadcast(offsets), [group, "_block"])
-            .withColumn(name, F.col("_at") + F.col("_offset")).drop("_at", "_offset", "_block"))
+    return (numbered.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_block") == F.col("_of")))
+            .withColumn(name, F.col("_at") + F.col("_offset")).drop("_at", "_offset", "_block", "_group", "_of"))

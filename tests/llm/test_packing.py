@@ -1,7 +1,8 @@
 import random
 import zlib
+from collections import Counter
 
-from synthframe.llm.packing import CapacityTree, best_fit_decreasing, number_slots, pack_evenly, pack_groups
+from synthframe.llm.packing import CapacityTree, best_fit_decreasing, number_slots, pack_classes, pack_classes_evenly, pack_groups, pack_to_capacity
 from synthframe.llm.queries import all_queries
 
 from ..conftest import SMALL
@@ -31,16 +32,61 @@ def test_tree_packs_like_a_linear_search():
     assert [tree.take_tightest(6), tree.take_tightest(6), tree.take_tightest(6), tree.take_tightest(1)] == [(7, 2), (9, 1), None, (5, 0)]
 
 
+def classes(sizes):
+    return sorted(Counter(sizes).items())
+
+
+def bins_of(runs, sizes):
+    """Bin of each item, by its rank among the items of its size."""
+    at = {(size, rank): found for size, first, end, found in runs for rank in range(first, end)}
+    seen = Counter()
+    out = []
+    for s in sizes:
+        out.append(at[s, seen[s]])
+        seen[s] += 1
+    assert len(at) == len(sizes)
+    return out
+
+
+def test_classes_are_packed_like_single_items():
+    r = random.Random(8)
+    for _ in range(200):
+        sizes = [r.choice([0, 1, 5, 60, r.randint(1, 40)]) for _ in range(r.randint(0, 120))]
+        assert bins_of(pack_classes(classes(sizes), 40), sizes) == best_fit_decreasing(sizes, 40)
+
+
 def test_even_bins_are_near_equal_and_large_items_stand_alone():
     r = random.Random(5)
     sizes = [r.randint(1, 100) for _ in range(2000)]
     sums = [0] * 24
-    for s, b in zip(sizes, pack_evenly(sizes, 24)):
+    for s, b in zip(sizes, bins_of(pack_classes_evenly(classes(sizes), 24), sizes)):
         sums[b] += s
     assert max(sums) - min(sums) <= 100
-    bins = pack_evenly([10_000, *sizes], 4)
-    assert [b for b in bins[1:]].count(bins[0]) == 0 or sum(sizes) / 3 > 10_000
-    assert pack_evenly([], 3) == [] and pack_evenly([7], 3) == [0]
+    with_giant = [10_000, 10_000, *sizes]
+    bins = bins_of(pack_classes_evenly(classes(with_giant), 24), with_giant)
+    assert bins.count(bins[0]) == bins.count(bins[1]) == 1 and max(bins) == 23
+    assert pack_classes_evenly([], 3) == [] and pack_classes_evenly([(7, 1)], 3) == [(7, 0, 1, 0)] and pack_classes_evenly([(0, 5)], 3) == [(0, 0, 5, 0)]
+
+
+def test_every_group_is_placed_by_the_packing(spark):
+    r = random.Random(6)
+    sizes = [r.choice([3, 7, 7, r.randint(0, 30), r.randint(100, 180)]) for _ in range(900)]
+    rows = [(f"g{i}", s) for i, s in enumerate(sizes)] + [(None, None), ("big", 500), ("big", 50)]
+    frame = spark.createDataFrame(rows, "k string, size long").repartition(3)
+    groups = Counter()
+    for k, s in rows:
+        groups[k] += s or 0
+    for got, plan in ((pack_groups(frame, "k", "size", 5), pack_classes_evenly(classes(groups.values()), 5)), (pack_to_capacity(frame, "k", "size", 200), pack_classes(classes(groups.values()), 200))):
+        shard = {}
+        for row in got.collect():
+            assert shard.setdefault(row.k, row.shard) == row.shard
+        assert shard.keys() == groups.keys()
+        # as many groups of each size in each shard as the packing says
+        assert Counter((groups[k], s) for k, s in shard.items()) == Counter({(size, found): n for (size, found), n in Counter((s, f) for s, a, b, f in plan for _ in range(b - a)).items()})
+    loads = Counter()
+    for k, s in shard.items():
+        loads[s] += groups[k]
+    assert all(v <= 200 or v == 550 for v in loads.values()) and len(loads) <= -(-sum(groups.values()) // 200) * 11 // 9 + 1
 
 
 def test_groups_stay_together_also_a_hot_one(spark):
@@ -74,3 +120,7 @@ def test_query_over_documents(spark):
     for s in range(24):
         mine = sorted(r.slot for r in got.values() if r.shard == s)
         assert mine == list(range(len(mine)))
+    groups = Counter()
+    for i, text in texts.items():
+        groups[text] += got[i].size
+    assert Counter((groups[t], s) for t, s in shard_of.items()) == Counter((s, f) for s, a, b, f in pack_classes_evenly(classes(groups.values()), 24) for _ in range(b - a))
