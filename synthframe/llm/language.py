@@ -11,6 +11,8 @@ Training takes a bounded sample of labelled rows on the driver; prediction cover
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,12 +24,28 @@ from pyspark.sql import DataFrame, Window
 from .texts import text_slices
 from .words import mixed
 
-#: Runs of letters, with marks inside words; digits and signs say nothing about a language.
-WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+
+def _ranges(kinds: str) -> str:
+    """All characters whose Unicode category begins with one of ``kinds``, as the inside of a character class."""
+    out, start = [], None
+    for code in range(sys.maxunicode + 2):
+        inside = code <= sys.maxunicode and unicodedata.category(chr(code))[0] in kinds
+        if inside and start is None:
+            start = code
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{code - 1:08x}" if code - 1 > start else f"\\U{start:08x}")
+            start = None
+    return "".join(out)
+
+
+#: A letter, then letters and the marks that belong to them, also past an apostrophe; digits, other numerals and signs
+#: say nothing about a language.
+WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*(?:['’][{_ranges('L')}][{_ranges('LM')}]*)*")
 #: Hash buckets of features. Bytes of prefixes and suffixes, and of n-grams.
 BUCKETS, AFFIXES, GRAMS = 1 << 17, (2, 3, 4), (2, 3, 4)
-#: Rows per language in the training sample, words of each that are taken, and words of one training chain.
-SAMPLE_ROWS, SAMPLE_WORDS, CHAIN = 200, 400, 40
+#: Distinct texts per language in the training sample, pieces per language that are cut from them, and words of one
+#: training chain, which two pieces make.
+SAMPLE_TEXTS, SAMPLE_PIECES, CHAIN = 200, 4000, 40
 #: Words that walk forward and backward in step before blocks of a document are joined; words held at once.
 BLOCK, SLICE_BYTES = 64, 4 << 20
 
@@ -109,9 +127,15 @@ def _chain_gradient(e: np.ndarray, transitions: np.ndarray, gold: np.ndarray) ->
     return truth - marginal, seen - pair.sum(axis=(0, 1))
 
 
+def piece_bounds(n: int) -> list[tuple[int, int]]:
+    """Pieces of half a chain that cover ``n`` words: the last one ends with the text, a shorter text is one piece."""
+    half = CHAIN // 2
+    return [(low, low + half) for low in range(0, n - half + 1, half)] + ([(max(0, n - half), n)] if n % half else [])
+
+
 def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, decay: float = 1e-4, seed: int = 7) -> Model:
-    """A model from (text, label) rows. Chains are cut from texts, and half of them joined from two texts, so that
-    transitions between languages are learned. AdaGrad on the conditional likelihood; deterministic for given rows."""
+    """A model from (text, label) rows. Pieces are cut from all of each text, and half of the chains join pieces of two texts, so
+    that transitions between languages are learned. AdaGrad on the conditional likelihood; deterministic for given rows."""
     labels = sorted({label for _, label in rows})
     if not labels:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
@@ -119,9 +143,10 @@ def train(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 0.3, decay
     vocabulary: dict[bytes, int] = {}
     halves, gold = [], []
     for text, label in sorted(rows):
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in text_words(text)[:SAMPLE_WORDS]]
-        for low in range(0, len(ids) - CHAIN // 2 + 1, CHAIN // 2):
-            halves.append(ids[low : low + CHAIN // 2])
+        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in text_words(text)]
+        for low, high in piece_bounds(len(ids)):
+            # a text shorter than a piece goes round
+            halves.append((ids[low:high] * (CHAIN // 2))[: CHAIN // 2])
             gold.append(labels.index(label))
     if not halves:
         return Model(labels, np.zeros((BUCKETS, len(labels))), np.zeros((len(labels), len(labels))))
@@ -239,16 +264,29 @@ def label_texts(texts: list[str | None], model: Model) -> list[tuple[str, float,
     return [(model.labels[int(s.argmax())], float(min(1.0, s.max() / n)), (s / n).tolist()) if n > 0 else ("und", 0.0, [0.0] * k) for s, n in zip(shares, total)]
 
 
-def training_rows(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` rows of each label, those with the smallest hash of the text; null texts and labels are left out.
+def training_rows(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", texts: int = SAMPLE_TEXTS, pieces: int = SAMPLE_PIECES) -> list[tuple[str, str]]:
+    """A bounded sample to train on: (piece, label), at most ``pieces`` of each label.
 
-    The start of a text is enough to learn from: ``SAMPLE_WORDS`` words of at most 16 characters on average.
+    The ``texts`` distinct texts of a label with the smallest hashes are cut into pieces over their whole length, and the pieces
+    with the smallest hashes are taken, repeated ones once. Texts are ranked by their hashes alone; null texts and
+    labels, and texts without letters, are left out.
     """
     text, label = F.col(f"`{text_col}`"), F.col(f"`{label_col}`")
-    spelled = labelled.filter(text.isNotNull() & label.isNotNull()).select(F.substring(text, 1, SAMPLE_WORDS * 16).alias("text"), label.alias("label"), F.xxhash64(text).alias("_hash"))
-    first = Window.partitionBy("label").orderBy("_hash", "text")
-    kept = spelled.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= rows)
-    return [(r["text"], r["label"]) for r in kept.select("text", "label").collect()]
+    spelled = labelled.filter(text.isNotNull() & label.isNotNull()).select(text.alias("text"), label.alias("label"), F.xxhash64(text).alias("_hash"))
+    first = Window.partitionBy("label").orderBy("_hash")
+    chosen = spelled.filter(spelled["text"] != "").select("label", "_hash").distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= texts)
+    # a few hundred hashes per label
+    kept = spelled.join(F.broadcast(chosen.select("label", "_hash")), ["label", "_hash"], "left_semi").groupBy("label", "_hash").agg(F.first("text").alias("text"))
+
+    def cut(batches):
+        for batch in batches:
+            for part in text_slices([batch], "text", SLICE_BYTES):
+                found = [(k, " ".join(words[a:b])) for k, words in zip(part.column("label").to_pylist(), ([w.decode() for w in text_words(t)] for t in part.column("text").to_pylist())) for a, b in piece_bounds(len(words))]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([p for _, p in found], pa.string())], ["label", "piece"])
+
+    made = kept.select("label", "text").mapInArrow(cut, "label string, piece string").distinct()
+    some = made.withColumn("_n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("piece"), "piece"))).filter(F.col("_n") <= pieces)
+    return [(r["piece"], r["label"]) for r in some.select("piece", "label").collect()]
 
 
 def predict_language(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -2,15 +2,17 @@
 
 Text that repeats itself compresses too well, noise hardly at all. The zstandard ratio (compressed bytes
 over bytes) of the whole document and of fixed chunks must lie inside a band that depends on the length,
-because short texts always compress worse.
+because short texts always compress worse. The bands of whole documents are fitted to the corpus: for each half
+octave of lengths the median ratio and its spread, from exact counts over all texts that pass the base rule.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyspark.sql.functions as F
@@ -50,6 +52,72 @@ class CompressionRules:
     max_bad_chunks: float = 0.25
 
 
+#: Length classes per doubling of the length; texts that a class must hold to have limits of its own; steps of a ratio
+#: that are counted apart; robust deviations from the median that are allowed below and above.
+CLASSES, LEAST_TEXTS, RATIO_STEPS, BELOW, ABOVE = 2, 20, 1000, 3.5, 6.0
+
+
+def length_class(n_bytes: int) -> int:
+    """Half octave of a length: the largest c with 2 ** (c / CLASSES) <= n_bytes."""
+    c = int(math.log2(n_bytes) * CLASSES)
+    while 2 ** ((c + 1) / CLASSES) <= n_bytes:
+        c += 1
+    while 2 ** (c / CLASSES) > n_bytes:
+        c -= 1
+    return c
+
+
+def robust_limits(counts: dict[int, int], below: float = BELOW, above: float = ABOVE) -> tuple[float, float]:
+    """Limits around the median of some counted ratios (in steps), in robust deviations (1.4826 times the median distance from it)."""
+    def median(of: dict[int, int]) -> int:
+        left = (sum(of.values()) - 1) // 2
+        for value in sorted(of):
+            left -= of[value]
+            if left < 0:
+                return value
+        raise ValueError("nothing to rank")
+
+    middle = median(counts)
+    distance: Counter = Counter()
+    for value, n in counts.items():
+        distance[abs(value - middle)] += n
+    spread = 1.4826 * max(median(distance), 1)
+    return (middle - below * spread) / RATIO_STEPS, (middle + above * spread) / RATIO_STEPS
+
+
+def fit_bands(docs: DataFrame, rules: CompressionRules = CompressionRules(), text_col: str = "text") -> CompressionRules:
+    """``rules`` with bands of whole documents fitted to ``docs``.
+
+    One pass counts the ratios of all texts that pass the base rule, in thousandths, per half octave of their length; the
+    counts (a few thousand numbers, whatever the table's size) give medians and spreads. A class of fewer than
+    ``LEAST_TEXTS`` texts, and every length of an empty table, keeps the limits of ``rules``.
+    """
+    def run(batches):
+        compress = zstandard.ZstdCompressor(level=rules.level).compress
+        for part in text_slices(batches, "_text"):
+            found: Counter = Counter()
+            for text in part.column("_text").to_pylist():
+                if text and not base_failed(*text_statistics(text)):
+                    data = text.encode()
+                    found[length_class(len(data)), round(RATIO_STEPS * len(compress(data)) / len(data))] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["length", "ratio", "n"])
+
+    counted = docs.select(F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, "length int, ratio int, n long").groupBy("length", "ratio").agg(F.sum("n").alias("n")).collect()
+    classes: dict[int, dict[int, int]] = {}
+    for row in counted:
+        classes.setdefault(row["length"], {})[row["ratio"]] = row["n"]
+    own = {c: robust_limits(counts) for c, counts in classes.items() if sum(counts.values()) >= LEAST_TEXTS}
+    bands, last = [], -1
+    for edge in sorted({math.ceil(2 ** ((c + e) / CLASSES)) - 1 for c in own for e in (0, 1)} | {b.max_bytes for b in rules.document}):
+        if edge <= last or edge < 1:
+            continue
+        band = next(b for b in rules.document if edge <= b.max_bytes)
+        fitted = own.get(length_class(edge))
+        bands.append(Band(edge, *fitted) if fitted else Band(edge, band.low, band.high))
+        last = edge
+    return replace(rules, document=tuple(bands))
+
+
 def _chunks(data: bytes, size: int) -> Iterator[bytes]:
     n = max(1, len(data) // size)
     for i in range(n):
@@ -94,6 +162,11 @@ def text_statistics(text: str) -> tuple[int, int, int, int, int]:
             repeated_window_words(words))
 
 
+def base_failed(n_words: int, word_chars: int, n_symbols: int, n_dup_lines: int, n_repeat_words: int) -> bool:
+    """Too few words, or more than a fifth of them in repeated windows."""
+    return n_words < 10 or 100 * n_repeat_words > 20 * n_words
+
+
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("ratio", "chunk_ratio_min", "chunk_ratio_max")
 
@@ -105,7 +178,7 @@ def quality_columns(texts: list[str], rules: CompressionRules) -> dict[str, list
     for text in texts:
         stats = text_statistics(text)
         *ratios, good = compression_verdict(text.encode(), rules, compress)
-        failed = stats[0] < 10 or 100 * stats[4] > 20 * stats[0]
+        failed = base_failed(*stats)
         for name, value in zip(out, (*stats, *ratios, failed, good and not failed)):
             out[name].append(value)
     return out
@@ -130,7 +203,10 @@ def quality_report(docs: DataFrame, rules: CompressionRules = CompressionRules()
 
 
 def keep_quality(docs: DataFrame, rules: CompressionRules = CompressionRules(), text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text passes, with all their columns."""
+    """The rows of ``docs`` whose text passes, with all their columns.
+
+    A null or empty text goes; repeated rows are judged one by one; an empty table gives an empty result.
+    """
     def run(batches):
         for part in text_slices(batches, text_col):
             made = quality_columns([t or "" for t in part.column(text_col).to_pylist()], rules)

@@ -21,7 +21,7 @@ def _sentencepiece(t: Tables) -> DataFrame:
 
 @registry.add("op2_compression_bands")
 def _quality(t: Tables) -> DataFrame:
-    return quality.quality_report(t.documents)
+    return quality.quality_report(t.documents, quality.fit_bands(t.documents))
 
 
 @registry.add("op3_simhash_bk_trees")

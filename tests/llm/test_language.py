@@ -49,8 +49,29 @@ def test_code_switched_texts_and_texts_without_letters(docs):
 
 
 def test_training_rows_are_bounded_and_may_be_missing(spark, docs):
-    frame = docs(["alpha beta"] * 30 + [None])
-    assert len(language.training_rows(frame, rows=5)) == 5
+    frame = docs(["alpha beta"] * 30 + [None, "123", ""])
+    assert language.training_rows(frame, texts=5) == [("alpha beta", "en")]
     assert language.training_rows(frame.filter("false")) == []
+    long = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnop'[i // 10 % 6]}{'qrstuvw'[i // 60 % 7]}" for i in range(410))
+    found = language.training_rows(docs([long] * 9 + ["one two"]))
+    assert len(found) == 22 and {w for p, _ in found for w in p.split()} == set(long.split()) | {"one", "two"}
+    assert len(language.training_rows(docs([long]), pieces=4)) == 4
     empty = language.train([])
     assert {r.lang_pred for r in language.predict_language(frame, empty).collect()} == {"und"}
+
+
+def test_short_texts_are_learned():
+    r = random.Random(2)
+    fr, en = ["le chat mange une souris grise dehors", "nous allons au marché chaque lundi matin"], "the people of this town have always been known for their long walks in the hills"
+    french = [" ".join(r.sample(" ".join(fr).split(), 7)) for _ in range(200)]
+    english = [" ".join(r.choice(en.split()) for _ in range(60)) for _ in range(20)]
+    model = language.train([(t, "fr") for t in french] + [(t, "en") for t in english])
+    assert {label for label, *_ in language.label_texts(french, model)} == {"fr"} and {label for label, *_ in language.label_texts(english, model)} == {"en"}
+
+
+def test_letters_are_letters_and_marks_stay_in_their_words():
+    model = language.train([("abc def " * 20, "one"), ("हिन्दी भाषा " * 20, "two")])
+    und = [x[0] for x in language.label_texts(["½ ² ①", "Ⅷ ٣ १२", "̀ ", "☃ 😀", "é", "हिन्दी"], model)]
+    assert und[:4] == ["und"] * 4 and "und" not in und[4:]
+    assert language.text_words("हिन्दी भाषा") == ["हिन्दी".encode(), "भाषा".encode()]
+    assert language.text_words("l'été e\u0301té 3rd x²") == ["l'été".encode(), "e\u0301té".encode(), b"rd", b"x"]

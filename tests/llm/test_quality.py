@@ -1,7 +1,14 @@
 import random
 import re
 
-from synthframe.llm.quality import CompressionRules, keep_quality, quality_report, repeated_window_words
+import statistics
+
+import zstandard
+
+from synthframe.llm.quality import CompressionRules, fit_bands, keep_quality, length_class, quality_report, repeated_window_words
+from synthframe.llm.queries import all_queries
+
+SF = "/root/testdata/sf0.01"
 
 
 def brute(text):
@@ -41,3 +48,41 @@ def test_keep_returns_whole_rows_and_takes_empty_tables(docs, prose):
     assert keep_quality(frame).columns == frame.columns
     assert quality_report(frame.filter("false")).count() == 0 and keep_quality(frame.filter("false"), CompressionRules()).count() == 0
     assert repeated_window_words(["a"] * 7) == 7
+
+
+def test_fitted_bands_decide_like_a_plain_computation(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in all_queries()["op2_compression_bands"](spark, SF).collect()}
+    ratio = {i: len(zstandard.ZstdCompressor(level=3).compress(t.encode())) / len(t.encode()) for i, t in texts.items() if t}
+    classes = {}
+    for i, t in texts.items():
+        if t and not rows[i].base_failed:
+            classes.setdefault(length_class(len(t.encode())), []).append(round(1000 * ratio[i]))
+    checked = 0
+    for i, t in texts.items():
+        if rows[i].base_failed:
+            assert not rows[i].kept
+            continue
+        own = classes[length_class(len(t.encode()))]
+        if len(own) >= 20 and len(t.encode()) <= 4096:
+            middle = statistics.median_low(own)
+            spread = 1.4826 * max(statistics.median_low([abs(v - middle) for v in own]), 1)
+            assert rows[i].kept == (middle - 3.5 * spread <= 1000 * ratio[i] <= middle + 6 * spread)
+            checked += 1
+    assert checked > 500
+
+
+def test_bands_reject_what_labels_call_bad(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = [r for r in all_queries()["op2_compression_bands"](spark, SF).collect() if r.doc_id in labels and not r.base_failed]
+    lost = [labels[r.doc_id] for r in rows if not r.kept]
+    assert lost.count(0) >= 0.5 * sum(labels[r.doc_id] == 0 for r in rows) and lost.count(1) <= 0.1 * len(lost)
+
+
+def test_length_classes_and_small_tables(docs, prose):
+    for n in [*range(1, 300), 2**20 - 1, 2**20, 2**20 + 1]:
+        c = length_class(n)
+        assert 2 ** (c / 2) <= n < 2 ** ((c + 1) / 2)
+    assert fit_bands(docs([None, ""])) == fit_bands(docs(["x"]).filter("false")) == CompressionRules()
+    fitted = fit_bands(docs(prose(40)))
+    assert [b.max_bytes for b in fitted.document] == sorted({b.max_bytes for b in fitted.document}) and fitted != CompressionRules()
