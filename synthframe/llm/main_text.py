@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +36,11 @@ NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner
                         "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside footer masthead topbar toolbar share sharing social follow newsletter subscribe "
                         "subscription signup login comment comments commentlist disqus respond replies reply related recommended recommendations widget widgets pagination pager skip "
                         "hidden".split())
+#: Elements of running text.
+SPOKEN = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Class names that mark content, and first words of a name that only speak about its page or its surroundings.
+CONTENT_NAMES = frozenset("article body content entry main page post story text".split())
+SAYING = frozenset("has have is no not show hide with without".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*>?)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
 SPACE = re.compile(r"\s+")
@@ -44,7 +50,7 @@ WORDS = re.compile(r"[a-z]+")
 class Element:
     """An element of the open stack or a container of the page."""
 
-    __slots__ = ("tag", "parent", "label", "noise", "article", "container", "score", "first", "last")
+    __slots__ = ("tag", "parent", "label", "noise", "article", "linked", "container", "place", "score", "first", "last", "lists")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -52,10 +58,14 @@ class Element:
         classes = sorted({re.sub(r"\d+", "#", c) for c in found.get("class", "").lower().split()})
         self.label = ".".join([tag, *classes])
         self.article = tag in ("article", "main") or parent is not None and parent.article
+        self.linked = tag == "a" or parent is not None and parent.linked
         self.noise = parent is not None and parent.noise or tag in NOISE or tag == "header" and not self.article or self._marked(tag, found)
         self.container = self if tag in CONTAINERS else parent.container if parent else None
+        # stands for the whole path, which is only spelled where it matters
+        self.place = hash((parent.place if parent else 0, self.label))
         self.score = 0.0
         self.first = self.last = -1  # blocks of a container
+        self.lists = 0  # text outside links in the items of a list
 
     def _marked(self, tag: str, found: dict[str, str]) -> bool:
         if not found or tag in ("html", "body", "main", "article"):
@@ -64,7 +74,7 @@ class Element:
             return True
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
             return True
-        return any(w in NOISE_WORDS for name in ("class", "id") for w in WORDS.findall(found.get(name, "").lower()))
+        return marked_names(found.get("class", "").lower().split() + found.get("id", "").lower().split())
 
     def path(self) -> str:
         names, at = [], self
@@ -74,6 +84,20 @@ class Element:
         return ">".join(reversed(names))
 
 
+def marked_names(names: list[str]) -> bool:
+    """Whether class names and ids mark a menu, notice, advert or the like.
+
+    A name that is such a word does. A name that has one as a part does as well (``cookie-banner``), unless it says what the
+    page has or lacks (``has-sidebar``, ``no-comments``), or another name of the element marks content.
+    """
+    words = [WORDS.findall(n) for n in names]
+    if any(len(w) == 1 and w[0] in NOISE_WORDS for w in words):
+        return True
+    if any(len(w) == 1 and w[0] in CONTENT_NAMES for w in words):
+        return False
+    return any(w and w[0] not in SAYING and any(x in NOISE_WORDS for x in w) for w in words)
+
+
 class Page:
     """Blocks of text of a page, in order, and its containers."""
 
@@ -82,6 +106,7 @@ class Page:
         self.containers: list[Element] = []
         self._parts: list[str] = []
         self._linked = 0
+        self._open: Counter[str] = Counter()  # open elements by tag: what is not open is not looked for
         root = Element("html", None, "")
         root.container = root
         self.containers.append(root)
@@ -114,7 +139,7 @@ class Page:
         if text and not self._stack[-1].noise:
             text = html.unescape(text)
             self._parts.append(text)
-            if any(e.tag == "a" for e in self._stack[-3:]):
+            if self._stack[-1].linked:
                 self._linked += len(text.strip())
 
     def _flush(self) -> None:
@@ -122,13 +147,19 @@ class Page:
             text = SPACE.sub(" ", "".join(self._parts)).strip()
             if text:
                 self.blocks.append((text, self._stack[-1], self._linked))
+                if (item := self._listed()) is not None:
+                    item.lists += max(len(text) - self._linked, 0)
             self._parts = []
         self._linked = 0
 
+    def _listed(self) -> Element | None:
+        """The list that the open element is an item of."""
+        return list_of(self._stack[-1]) if self._open["li"] else None
+
     def _start(self, tag: str, attributes: str) -> None:
         if tag in BLOCKS:
             self._flush()
-            if self._stack[-1].tag == "p" or any(e.tag == "p" for e in self._stack[-4:]):
+            if self._open["p"]:
                 self._pop_to({"p"}, CONTAINERS | {"table", "ul", "ol", "li"})
         elif tag == "br":
             self._parts.append(" ")
@@ -141,9 +172,12 @@ class Page:
             element.first = len(self.blocks)
             self.containers.append(element)
         self._stack.append(element)
+        self._open[tag] += 1
 
     def _pop_to(self, tags: set[str], beyond) -> None:
-        for depth in range(len(self._stack) - 1, max(0, len(self._stack) - 64), -1):
+        if not any(self._open[t] for t in tags):
+            return
+        for depth in range(len(self._stack) - 1, 0, -1):
             if self._stack[depth].tag in tags:
                 self._flush()
                 while len(self._stack) > depth:
@@ -155,6 +189,8 @@ class Page:
     def _end(self, tag: str) -> None:
         if tag in BLOCKS:
             self._flush()
+        if not self._open[tag]:
+            return
         for depth in range(len(self._stack) - 1, 0, -1):
             if self._stack[depth].tag == tag:
                 while len(self._stack) > depth:
@@ -165,6 +201,7 @@ class Page:
 
     def _close(self) -> None:
         element = self._stack.pop()
+        self._open[element.tag] -= 1
         if element.tag in CONTAINERS or not self._stack:
             element.first, element.last = max(element.first, 0), len(self.blocks)
 
@@ -177,27 +214,59 @@ class Page:
             if near.parent is not None and near.parent.container is not None:
                 near.parent.container.score += worth / 2
         found = max(self.containers, key=lambda e: e.score + 0.25 * e.score * (e.tag in ("article", "main")), default=None)
-        return found if found is not None and found.score > 0 else None
+        return self._whole(found) if found is not None and found.score > 0 else None
+
+    def _whole(self, found: Element) -> Element:
+        """The container around the best one that holds an article in parts, else the best one.
+
+        What stands beside it must be paragraphs and headings for the most part, at least one paragraph among them; a box or
+        a list of links is none. The page's body is never taken for an article in parts.
+        """
+        at = found
+        while at.parent is not None and (at := at.parent.container) is not None and at.tag not in ("html", "body"):
+            rest = self.blocks[at.first : found.first] + self.blocks[found.last : at.last]
+            if not rest:
+                continue
+            spoken = [(len(text) - linked, e.tag if e.tag in SPOKEN else e.parent.tag if e.parent is not None else "") for text, e, linked in rest]
+            if not any(tag == "p" for _, tag in spoken) or 2 * sum(n for n, tag in spoken if tag in SPOKEN) < sum(len(text) for text, _, _ in rest):
+                break
+            found = at
+        return found
 
     def at_path(self, path: str) -> list[Element]:
         """Outermost containers with that path, in page order."""
-        last = path.rpartition(">")[2]
+        place = 0
+        for label in path.split(">"):
+            place = hash((place, label))
         found: list[Element] = []
         for element in self.containers:
-            if element.label == last and not (found and element.last <= found[-1].last) and not element.noise and element.path() == path:
+            if element.place == place and not (found and element.last <= found[-1].last) and not element.noise and element.path() == path:
                 found.append(element)
         return found
 
     def text(self, elements: list[Element]) -> str:
-        """Blocks inside the elements; lists that hold links only are menus."""
+        """Blocks inside the elements. Outside an article, lists of several items that all are nothing but links are menus."""
         kept = []
         for element in elements:
-            for text, inside, linked in self.blocks[element.first : element.last]:
-                if not (inside.tag == "li" and linked >= len(text)):
+            blocks = self.blocks[element.first : element.last]
+            items = Counter(id(group) for _, inside, _ in blocks if (group := list_of(inside)) is not None)
+            for text, inside, _ in blocks:
+                group = list_of(inside)
+                if group is None or inside.article or group.lists > 0 or items[id(group)] < 2:
                     kept.append(text)
         return "\n\n".join(kept)
 
 
+def list_of(element: Element) -> Element | None:
+    """The list around an element's nearest list item, if no other container stands between."""
+    at: Element | None = element
+    while at is not None and at.tag not in CONTAINERS:
+        if at.tag == "li":
+            return at.parent
+        at = at.parent
+    return None
+
+
 def host_of(column: str = "url"):
     """Lower-cased host of an address; an address without one is its own host, a null one the empty host."""
     url = F.coalesce(F.col(column), F.lit(""))
