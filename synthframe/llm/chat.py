@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 # The marks of the template.
 ESCAPE = "␛"
@@ -184,9 +185,9 @@ def conversation_digests(formatted: DataFrame, conversation: str, order: list[st
 
     Rows are dealt by conversation and sorted in their task; the task streams over them with running
     hashes, so that a conversation of any length takes the memory of one row. ``formatted`` rows that are
-    null (unknown layouts) do not count. Null conversations form one.
+    null (unknown layouts) do not count. Null conversations form one. The key may be of any type that can be sorted.
     """
-    key = formatted.schema[conversation].dataType.simpleString()
+    key = formatted.schema[conversation].dataType
 
     def run(batches):
         current, state = None, None
@@ -202,13 +203,9 @@ def conversation_digests(formatted: DataFrame, conversation: str, order: list[st
         if state is not None:
             yield _digest_batch([(current, *state.result())], schema)
 
-    schema = pa.schema([(conversation, _arrow(key)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    schema = pa.schema([(conversation, to_arrow_type(key)), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
     return (formatted.filter(F.col("formatted").isNotNull()).repartition(F.col(conversation)).sortWithinPartitions(conversation, *order)
-            .select(conversation, "formatted", "loss_from", "loss_to").mapInArrow(run, f"`{conversation}` {key}, {DIGEST}"))
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+            .select(conversation, "formatted", "loss_from", "loss_to").mapInArrow(run, f"`{conversation}` {key.simpleString()}, {DIGEST}"))
 
 
 def _digest_batch(rows, schema):

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
 
+from ..session import scratch_path
 from .suffix_arrays import narrow, suffix_array
 from .texts import joined, text_slices
 from .words import byte_table, word_bounds, word_hashes
@@ -161,8 +162,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Words are runs of ASCII letters and digits and of all characters above, with A-Z folded. A null text
     has no words; an item without words has no window; an item with a null id hits but stands in no list.
     Repeated rows are judged one by one, repeated items count once by id. Other columns are not read. The
-    test items travel in blocks of ``block_bytes``, each block a narrow pass, so nothing that is broadcast
-    grows with either table.
+    test items, repeated ones once, pass through the driver in blocks of ``block_bytes``, each block a narrow pass over a
+    table, so neither what travels nor a plan grows with either table.
     """
     found = _found(docs.select(F.struct(F.col(f"`{id_col}`")).alias("_row"), F.col(f"`{text_col}`").alias("_text")),
                    benchmark.select(F.col(f"`{item_col}`").alias("_item"), F.col(f"`{item_text}`").alias("_text")), window, block_bytes)
@@ -171,13 +172,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                         window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    """The rows of ``docs`` that are not contaminated, with all their columns, whatever their names.
+
+    A null text has no words and stays; repeated rows are judged one by one; without test items all rows stay.
+    """
     found = _found(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text")),
                    benchmark.select(F.col(f"`{item_col}`").alias("_item"), F.col(f"`{item_text}`").alias("_text")), window, block_bytes)
     return found.filter(~contaminated()).select("_row.*")
 
 
 def _found(rows: DataFrame, items: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    spark = rows.sparkSession
+    items = items.distinct()
     total = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     rows = rows.select("_row", "_text", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"),
@@ -186,6 +192,11 @@ def _found(rows: DataFrame, items: DataFrame, window: int, block_bytes: int) ->
         part = items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == block)
         test = TestItems.of([tuple(r) for r in part.orderBy("_item", "_text").collect()], window)
         rows = rows.mapInArrow(_search(test, byte_table()), rows.schema)
+        if block < blocks - 1:
+            # the next pass starts from a table, so that no plan holds more than one block
+            path = scratch_path(spark, "decontamination")
+            rows.write.parquet(path)
+            rows = spark.read.schema(rows.schema).parquet(path)
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return rows.withColumn("items", F.filter("items", lambda x: x.isNotNull())).withColumn("n_hit", covered)
 

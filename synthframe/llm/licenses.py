@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import regex
@@ -122,11 +123,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 whole = b" " + b" ".join(words) + b" "
                 counts.append(len(words))
                 places.append([{"label": label, "word": w} for label, phrase in exact for w in phrase_places(whole, phrase)])
-                found, line = [], None
+                found, line, blanks = [], None, None
                 for notice, pattern, seeds in patterns:
                     if any(s in whole for s in seeds):
-                        line = whole[1:-1].decode() if line is None else line
-                        found += [{"label": notice.label, "first_word": line.count(" ", 0, a), "n_words": line.count(" ", a, b) + 1, "errors": e,
+                        if line is None:
+                            line = whole[1:-1].decode()
+                            blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 0x20)
+                        before = lambda at: int(np.searchsorted(blanks, at))  # noqa: E731, B023
+                        found += [{"label": notice.label, "first_word": before(a), "n_words": before(b) - before(a) + 1, "errors": e,
                                    "score": 1 - e / len(notice.phrase), "found": line[a:b]} for a, b, e in fuzzy_places(line, notice, pattern)]
                 matches.append(sorted(found, key=lambda m: (m["first_word"], m["label"], m["errors"])))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(places, _PLACES), pa.array(matches, _MATCHES)], [id_col, "n_words", "base", "matches"])

@@ -208,8 +208,10 @@ def keep_quality(docs: DataFrame, rules: CompressionRules = CompressionRules(),
     A null or empty text goes; repeated rows are judged one by one; an empty table gives an empty result.
     """
     def run(batches):
-        for part in text_slices(batches, text_col):
-            made = quality_columns([t or "" for t in part.column(text_col).to_pylist()], rules)
-            yield part.filter(pa.array(made["kept"], pa.bool_()))
+        for part in text_slices(batches, "_text"):
+            made = quality_columns([t or "" for t in part.column("_text").to_pylist()], rules)
+            yield part.select(["_row"]).filter(pa.array(made["kept"], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    kept = rows.mapInArrow(run, rows.select("_row").schema)
+    return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])

@@ -456,7 +456,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     (A-Z folded) have a Jaccard similarity of ``similarity`` or more. Candidates share one of ``MINIMA``
     smallest shingle hashes; all of a shard's candidates are decided on the whole sets before any link is left
     out. A null text is empty; texts without words are equal to each other. A null id counts as larger than any
-    other, and of rows equal in id and text one stays.
+    other, and of rows equal in id and text one stays. All columns stay, whatever their names. Texts are told apart by a
+    64-bit hash alone: two texts of one hash count as equal, which at n distinct texts is expected n * n / 2 ** 65 times.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -472,5 +473,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = connected_components(spark.read.parquet(path)).withColumnRenamed("node", "content")
     rooted = alone.join(found, "content", "left").select(F.coalesce("component", "content").alias("_root"), "_first", "content")
     kept = rooted.groupBy("_root").agg(F.min(F.struct("_first", "content")).alias("_kept")).select(F.col("_kept.content").alias("_kept_content"), F.col("_kept._first._id").alias("_kept_id"))
-    return (docs.withColumn("_content", content).join(kept, (F.col("_content") == F.col("_kept_content")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
-            .dropDuplicates([id_col, "_content"]).drop("_content"))
+    # whole rows travel in one column, so that no name of theirs meets another
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), content.alias("_content"))
+    return (rows.join(kept, (F.col("_content") == F.col("_kept_content")) & F.col("_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+            .dropDuplicates(["_id", "_content"]).select("_row.*"))

@@ -301,7 +301,7 @@ def _shrunk(data: bytes, a: int, b: int) -> tuple[int, int]:
 
 
 def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = LENGTH, whole_characters: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, cuts): ``docs`` without the text but with ``text_key``; and per distinct text its ``text_key``,
+    """(rows, cuts): ``docs`` with its other columns in ``_row``, ``_none`` (the text is null) and ``text_key``; and per distinct text its ``text_key``,
     ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and ``kept`` (text, if ``whole_characters``: ranges
     are then narrowed to whole characters, so that it is valid UTF-8; else null).
 
@@ -311,7 +311,7 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    rows = docs.select(F.struct(*own, F.col(f"`{text_col}`").isNull().alias("_null")).alias("_row"), F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"))
+    rows = docs.select(F.struct(*own or [F.lit(0).alias("none")]).alias("_row"), F.col(f"`{text_col}`").isNull().alias("_none"), F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"))
     # Every use below takes all columns of this table, so that its shuffle is made once and read three times.
     texts = (docs.select(F.xxhash64(text).alias("text_key"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
              .groupBy("text_key", "n_bytes").agg(F.first("text").alias("text"), F.count("*").alias("copies")))
@@ -340,12 +340,14 @@ def repeated_substrings(docs: DataFrame, text_col: str = "text", length: int = L
 
 def removal_report(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per input row its other columns, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``; columns of these names are replaced."""
-    rows, cuts = repeated_substrings(docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256"), text_col, length)
-    return rows.join(cuts, ["text_key", "n_bytes"]).select("_row.*", "n_bytes", "n_removed", "n_spans", "kept_sha256").drop("_null")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    rows, cuts = repeated_substrings(docs, text_col, length)
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c != text_col]
+    return rows.join(cuts, ["text_key", "n_bytes"]).select(*own, "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes cut out of the text, whole characters only; null texts stay null."""
     rows, cuts = repeated_substrings(docs, text_col, length, whole_characters=True)
-    kept = F.when(~F.col("_row._null"), F.col("kept")).alias(text_col)
+    kept = F.when(~F.col("_none"), F.col("kept")).alias(text_col)
     return rows.join(cuts, ["text_key", "n_bytes"]).select(*[kept if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
