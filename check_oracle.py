@@ -45,9 +45,11 @@ def table(columns, rows):
     return [columns[i] for i in order], body
 
 
-def compare(spark, con, folder, name):
-    """None when equal, else a short description of the first difference."""
+def compare(spark, con, folder, name, inspect=None):
+    """None when equal, else a short description of the first difference. ``inspect`` sees the query's DataFrame first."""
     df = all_queries()[name](spark, folder)
+    if inspect is not None:
+        inspect(df)
     got_columns, got = table(df.columns, [tuple(r) for r in df.collect()])
     sql = all_oracles().get(name)
     if sql is None:
