@@ -25,22 +25,28 @@ from .texts import text_slices
 from .words import mixed
 
 
-def _ranges(kinds: str) -> str:
-    """All characters whose Unicode category begins with one of ``kinds``, as the inside of a character class."""
+def _ranges(kinds: str, first: int, end: int) -> str:
+    """Characters of a range whose Unicode category begins with one of ``kinds``, as the inside of a character class."""
     out, start = [], None
-    for code in range(sys.maxunicode + 2):
-        inside = code <= sys.maxunicode and unicodedata.category(chr(code))[0] in kinds
+    for code in range(first, end + 1):
+        inside = code < end and unicodedata.category(chr(code))[0] in kinds
         if inside and start is None:
             start = code
         elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{code - 1:08x}" if code - 1 > start else f"\\U{start:08x}")
+            out.append(f"\\U{start:08x}-\\U{code - 1:08x}")
             start = None
     return "".join(out)
 
 
+def _one(kinds: str, many: str = "") -> str:
+    """A character of some kinds. The common plane is one table in the pattern engine; others are only tried on their like."""
+    plane, above = 0x10000, sys.maxunicode + 1
+    return f"(?:[{_ranges(kinds, 0, plane)}]{many}|(?=[\\U00010000-\\U0010ffff])[{_ranges(kinds, plane, above)}])"
+
+
 #: A letter, then letters and the marks that belong to them, also past an apostrophe; digits, other numerals and signs
 #: say nothing about a language.
-WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*(?:['’][{_ranges('L')}][{_ranges('LM')}]*)*")
+WORD = re.compile(f"{_one('L')}{_one('LM', '++')}*+(?:['’]{_one('L')}{_one('LM', '++')}*+)*+")
 #: Hash buckets of features. Bytes of prefixes and suffixes, and of n-grams.
 BUCKETS, AFFIXES, GRAMS = 1 << 17, (2, 3, 4), (2, 3, 4)
 #: Distinct texts per language in the training sample, pieces per language that are cut from them, and words of one
