@@ -57,11 +57,18 @@ def _run_stats(t):
     return bn.bench_stats(_samples(t), ["day", "operation"])
 
 
+def _stored_stats(t):
+    """The statistics of all runs as a store holds them: baselines and trends read stored runs."""
+    store = scratch_path(t.spark, "statistics")
+    publish_run(_run_stats(t).select(F.lit("prod").alias("env"), F.lit("nightly").alias("run_name"), F.col("day").alias("started_utc"), F.col("operation").alias("key"), "count", *bn.STATS), store)
+    return t.spark.read.parquet(store).select("started_utc", "key", "count", *bn.STATS)
+
+
 @reg.add("ben4_median_baseline", f"""
 SELECT operation, CAST(round_even(quantile_cont(count::DOUBLE, 0.5), 0) AS BIGINT) AS count, {', '.join(
     f'round_even(quantile_cont("{s}", 0.5), 3) AS "{s}"' for s in bn.STATS)} FROM {_RUN_STATS_SQL} GROUP BY operation""")
 def _(t):
-    return bn.median_baseline(_run_stats(t), key="operation")
+    return bn.median_baseline(_stored_stats(t).withColumnRenamed("key", "operation"), key="operation")
 
 
 _RUNS_SQL = """(SELECT date_trunc('day', ts) AS started_utc, CASE WHEN day(ts) % 2 = 0 THEN 'ci' ELSE 'CI' END AS env,
@@ -180,9 +187,7 @@ SELECT *, round_even((current_ms - baseline_ms) / baseline_ms * 100, 1) AS delta
   CASE WHEN (current_ms - baseline_ms) / baseline_ms * 100 > 5 THEN 'worse' WHEN (current_ms - baseline_ms) / baseline_ms * 100 < -5 THEN 'better' END AS verdict
 FROM y""")
 def _(t):
-    store = scratch_path(t.spark, "statistics")  # a trend reads stored statistics
-    publish_run(_run_stats(t).select(F.lit("prod").alias("env"), F.lit("nightly").alias("run_name"), F.col("day").alias("started_utc"), F.col("operation").alias("key"), "count", *bn.STATS), store)
-    stats = t.spark.read.parquet(store).select("started_utc", "key", "count", *bn.STATS)
+    stats = _stored_stats(t)
     kept = stats.filter(~((F.col("key") == "view") & (F.dayofmonth("started_utc") % 4 == 0)))
     now = F.lit("2024-01-28").cast("timestamp")
     out = bn.trend_series(kept.filter(F.col("started_utc") < now), stats.filter(F.col("started_utc") == now))
