@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 import zstandard
 from pyspark.sql import DataFrame
@@ -208,10 +209,13 @@ def keep_quality(docs: DataFrame, rules: CompressionRules = CompressionRules(),
     A null or empty text goes; repeated rows are judged one by one; an empty table gives an empty result.
     """
     def run(batches):
-        for part in text_slices(batches, "_text"):
+        # the text is looked at inside its row: it crosses to the task once
+        named = (pa.RecordBatch.from_arrays([b.column(0), pc.struct_field(b.column(0), [at])], ["_row", "_text"]) for b in batches)
+        for part in text_slices(named, "_text", 4 << 20):
             made = quality_columns([t or "" for t in part.column("_text").to_pylist()], rules)
             yield part.select(["_row"]).filter(pa.array(made["kept"], pa.bool_()))
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
-    kept = rows.mapInArrow(run, rows.select("_row").schema)
+    at = docs.columns.index(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = rows.mapInArrow(run, rows.schema)
     return kept.select(*[F.col(f"_row.`{c}`") for c in docs.columns])
