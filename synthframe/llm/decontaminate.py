@@ -176,9 +176,11 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
 
     A null text has no words and stays; repeated rows are judged one by one; without test items all rows stay.
     """
-    found = _found(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text")),
+    # the text crosses to the tasks once, beside the other columns
+    own = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("none")]
+    found = _found(docs.select(F.struct(*own).alias("_row"), F.col(f"`{text_col}`").alias("_text")),
                    benchmark.select(F.col(f"`{item_col}`").alias("_item"), F.col(f"`{item_text}`").alias("_text")), window, block_bytes)
-    return found.filter(~contaminated()).select("_row.*")
+    return found.filter(~contaminated()).select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def _found(rows: DataFrame, items: DataFrame, window: int, block_bytes: int) -> DataFrame:
