@@ -114,7 +114,7 @@ _LEASES_SQL = """(SELECT event_id AS lease_id, CASE WHEN user_id % 3 <> 0 THEN '
 
 def _leases(t):
     u = F.col("user_id")
-    seconds = F.round(F.col("value") * 100).cast("bigint")
+    seconds = F.rint(F.col("value") * 100).cast("bigint")  # halves to even, as the cast of the SQL
     return t.events.select(
         F.col("event_id").alias("lease_id"), F.when(u % 3 != 0, F.concat(F.lit("env"), (u % 3).cast("string"))).alias("environment"),
         F.col("event_type").alias("domain"), F.concat(F.lit("db"), (u % 4).cast("string")).alias("database_id"), F.col("ts").alias("acquired_utc"),
@@ -128,7 +128,7 @@ def _(t):
 
 @reg.add("reg3_lease_conflicts", f"""
 SELECT lease_id, strftime(held_until, '%Y-%m-%d %H:%M:%S.%f') AS held_until FROM (
-  SELECT *, max(expires_utc) OVER (PARTITION BY coalesce(environment, ''), domain, database_id ORDER BY acquired_utc, lease_id
+  SELECT *, max(expires_utc) OVER (PARTITION BY coalesce(environment, ''), domain, database_id ORDER BY acquired_utc, lease_id, expires_utc
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held_until FROM {_LEASES_SQL}) WHERE held_until > acquired_utc""")
 def _(t):
     return rg.lease_conflicts(_leases(t)).withColumn("held_until", F.date_format("held_until", "yyyy-MM-dd HH:mm:ss.SSSSSS"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+import uuid
 
 import pytest
 from pyspark.sql import Window
@@ -107,6 +108,31 @@ def test_lease_blocks_do_not_matter(spark, rows):
     assert one == sorted(by_hand, key=str)
 
 
+def test_lease_sketches_that_answer_differently_each_time_do_not_matter(spark, rows, monkeypatch):
+    leases = _leases(spark, 61)
+    one, sketch = rows(rg.lease_conflicts(leases, 1)), F.percentile_approx
+    moved = F.udf(lambda cuts: sorted(c + uuid.uuid4().int % 20_000_000_000 for c in cuts), "array<bigint>").asNondeterministic()
+    monkeypatch.setattr(rg.F, "percentile_approx", lambda *args: moved(sketch(*args)))
+    spark.conf.set("spark.sql.exchange.reuse", "false")  # reuse hides a second reading in small plans only
+    try:
+        assert all(rows(rg.lease_conflicts(leases, 7)) == one for _ in range(3))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_lease_conflicts_with_nulls_ties_and_halves_equal_the_sql(spark, con, tmp_path):
+    """The registered query on events without type, user, time or id, on equal times and ids, and on half seconds."""
+    start = "timestamp_ntz '2024-01-01 00:00:00'"
+    spark.range(400).select(
+        F.expr("if(id % 11 = 3, null, id div 3)").alias("event_id"),
+        F.expr(f"if(id % 13 = 5, null, {start} + make_dt_interval(0, 0, 0, id div 4))").alias("ts"), F.expr("if(id % 7 = 2, null, id % 2)").alias("user_id"),
+        F.expr("if(id % 5 = 1, null, 'view')").alias("event_type"), F.expr("if(id % 17 = 4, null, (id * 29 % 50) / 200D)").alias("value"), F.lit("{}").alias("props"),
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    other = con.cursor()
+    other.execute(f"CREATE OR REPLACE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert compare(spark, other, str(tmp_path), "reg3_lease_conflicts")[0] is None
+
+
 def test_one_busy_day_of_one_database_is_spread(spark):
     busy = _leases(spark, 20).withColumn("environment", F.lit("e")).withColumn("database_id", F.lit("only"))
     assert busy.agg(F.count_distinct(F.to_date("acquired_utc"))).first()[0] == 1
