@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-dedup, substring dedup, decontamination, tokens.
 
-Each stage is an operator of ``synthframe.llm`` over everything its predecessor kept; near dedup is the one on five-word
-shingles, which takes its trees and links from the operator of that module. A stage takes
+Each stage is an operator of ``synthframe.llm`` over everything its predecessor kept; near dedup takes fingerprints, their
+components and the BK-trees from operator 3, on sets of five-word shingles, and checks what they find. A stage takes
 (spark, docs, sf_dir) and returns a DataFrame; its rows are written as Parquet and read again as the next
 stage's documents, so a lost executor repeats one stage at most.
 """
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates stays: SimHash and BK-trees over five-word shingles, checked at similarity 0.8."""
     return drop_near_duplicates(docs)
 
 

@@ -26,6 +26,8 @@ from .words import mixed
 SEED = 42
 #: Codes of one tree; a shard with more is cut into several trees.
 TREE_CODES = 4096
+#: Up to this radius each edge that may be followed is looked up; beyond it most are, and a code's own edges are listed.
+NARROW = 8
 #: Codes that search a tree together.
 QUERY_CODES = 256
 #: Codes a shard should hold on average; more codes get more and narrower shards.
@@ -92,10 +94,21 @@ def search_tree(codes: np.ndarray, child: np.ndarray, queries: np.ndarray, radiu
     """(query, code, distance) of all codes within ``radius``; only edges whose distance can lead there are followed."""
     query, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
     found = []
+    if radius > NARROW:
+        above, edges = np.nonzero(child >= 0)
+        children = child[above, edges].astype(np.int64)
+        ends = np.searchsorted(above, np.arange(len(codes) + 1))
+        many = np.diff(ends)
     while len(query):
         distance = np.bitwise_count(queries[query] ^ codes[node]).astype(np.int64)
         near = distance <= radius
         found.append((query[near], node[near], distance[near]))
+        if radius > NARROW:
+            parent = np.repeat(np.arange(len(node)), many[node])
+            edge = np.arange(len(parent)) + np.repeat(ends[node] - np.cumsum(many[node]) + many[node], many[node])
+            ok = np.abs(edges[edge] - distance[parent]) <= radius
+            query, node = query[parent[ok]], children[edge[ok]]
+            continue
         down = []
         for step in range(-radius, radius + 1):
             edge = distance + step
@@ -240,26 +253,32 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 #: Words of a shingle, least Jaccard similarity of shingle sets, and minima per document: two documents of
 #: similarity s share none of them with probability (1 - s)**MINIMA.
 WORDS, SIMILARITY, MINIMA = 5, 0.8, 8
+#: Bits within which a tree is searched for similar sets; pairs at 0.8 differ in 9.7 of 64 bits on average.
+WIDE_RADIUS = 20
+#: Pairs that a tree search may return at once.
+SEARCH_PAIRS = 1 << 18
 #: Shingles that a tree of a shard should hold on average, and that are sent on or checked at once.
 TREE_SHINGLES, SENT_SHINGLES = 4 << 20, 1 << 20
 
 
 def _sketches(words: int):
-    """Task: texts to (content, shingles, minima): the size of the shingle set, and the smallest shingle hash in each of some orders."""
+    """Task: texts to (content, code, shingles, minima): fingerprint and size of the shingle set, and the smallest shingle hash in each of some orders."""
     def run(batches):
         for part in text_slices(batches, "_text"):
-            sizes, minima = [], []
+            codes, sizes, minima = [], [], []
             for text in part.column("_text").to_pylist():
-                hashes = shingle_hashes(text, words)
-                sizes.append(len(np.unique(hashes)))
+                hashes = np.unique(shingle_hashes(text, words))  # a shingle counts once, as in the similarity
+                codes.append(simhash(hashes))
+                sizes.append(len(hashes))
                 minima.append([int(mixed(hashes + np.uint64(i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)).min().view(np.int64)) for i in range(MINIMA)] if len(hashes) else [0])
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("content"), pa.array(sizes, pa.int64()), pa.array(minima, pa.list_(pa.int64()))], ["_id", "content", "shingles", "minima"])
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("content"), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(minima, pa.list_(pa.int64()))],
+                                              ["_id", "content", "code", "shingles", "minima"])
 
     return run
 
 
 def _visiting_sets(words: int):
-    """Task: (content, text, visits) to one row per visit with the distinct shingle hashes, sorted."""
+    """Task: (content, code, text, visits) to one row per visit with the distinct shingle hashes, sorted."""
     def run(batches):
         for part in text_slices(batches, "_text"):
             sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column("_text").to_pylist()]
@@ -271,24 +290,29 @@ def _visiting_sets(words: int):
             while low < len(of):
                 high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + SENT_SHINGLES, "right")))
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field(n)[low:high] for n in ("key", "tree", "part")] + [part.column("content").take(pa.array(of[low:high])), pa.array([sets[i] for i in of[low:high]], pa.list_(pa.int64()))],
-                    ["key", "tree", "part", "content", "shingles"])
+                    [flat.field(n)[low:high] for n in ("key", "tree", "part")] + [part.column(n).take(pa.array(of[low:high])) for n in ("content", "code")]
+                    + [pa.array([sets[i] for i in of[low:high]], pa.list_(pa.int64()))], ["key", "tree", "part", "content", "code", "shingles"])
                 low = high
 
     return run
 
 
-def similar_forest(values: np.ndarray, sizes: np.ndarray, similarity: float, labels: np.ndarray, old: int = 0) -> list[tuple[int, int]]:
+def similar_forest(values: np.ndarray, sizes: np.ndarray, similarity: float, labels: np.ndarray, old: int = 0, codes: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (a, b) that join sets as all pairs of Jaccard similarity ``similarity`` or more do; each link is such a pair.
 
     ``values`` are the sets one after another. With ``old``, pairs of one of the first ``old`` sets and one of
     the others are looked at, else all pairs. ``labels`` say which sets are joined already, and are updated.
+    ``codes`` are the fingerprints of the sets, computed here if they are not given.
 
+    Pairs come from a BK-tree over the fingerprints, within ``WIDE_RADIUS`` bits, the nearest of each set first; an exact
+    check decides each one, and a pair that fails it stays unlinked. Pairs that are farther apart are checked after them.
     No pair is lost: of two similar sets, each has one of their common values among its first
     ``size - ceil(similarity * size) + 1`` in any order that both share (here rare values first), so pairs that
     share such a value are checked whole, except where checked links join them already.
     """
     n, links = len(sizes), []
+    if codes is None:
+        codes = np.array([simhash(x.view(np.uint64)) for x in np.split(values, np.cumsum(sizes)[:-1])], np.uint64)
     known, ids, found = np.unique(values, return_inverse=True, return_counts=True)
     ends = np.cumsum(sizes)
     starts = ends - sizes
@@ -330,40 +354,63 @@ def similar_forest(values: np.ndarray, sizes: np.ndarray, similarity: float, lab
     order = np.argsort(token, kind="stable")
     token, doc = token[order], doc[order]  # by value, then by set
 
-    # neighbours in each value's list, those with most values in common first: copies are joined here
-    pairs, shared = np.unique((doc[:-1] * n + doc[1:])[token[:-1] == token[1:]], return_counts=True)
-    for low in range(0, len(pairs), 256):
-        if low == 0:
-            pairs = pairs[np.argsort(-shared, kind="stable")]
-        a, b = np.divmod(pairs[low : low + 256], n)
-        ok = likely(a, b)
-        for x, y in zip(a[ok].tolist(), b[ok].tolist()):
-            if labels[x] != labels[y] and len(check(x, np.array([y]))):
-                join(x, y)
-
-    # all that is left: values in whose lists not everything is joined
+    # each set's values among them, and the list of each value
+    heads = np.searchsorted(token, token)
+    tails = np.searchsorted(token, token, "right")
+    by_doc = np.argsort(doc, kind="stable")
+    doc_ends = np.searchsorted(doc[by_doc], np.arange(n + 1))
+
+    def sharing(b: int) -> np.ndarray:
+        """Which sets have one of these values in common with ``b``."""
+        seen = np.zeros(n, bool)
+        for i in by_doc[doc_ends[b] : doc_ends[b + 1]].tolist():
+            seen[doc[heads[i] : tails[i]]] = True
+        return seen
+
+    def settle(b: int, others: np.ndarray) -> None:
+        for a in check(b, others).tolist() if len(others) else []:
+            if labels[a] != labels[b]:
+                join(a, b)
+
+    # what the tree finds
+    own, of_code = np.unique(codes[: old or n], return_inverse=True)
+    child = bk_tree(own)
+    by_code = np.argsort(of_code, kind="stable")
+    alike = np.bincount(of_code, minlength=len(own))
+    group = max(1, SEARCH_PAIRS // len(of_code))
+    for low in range(old, n, group):
+        query, at, distance = search_tree(own, child, codes[low : min(low + group, n)], WIDE_RADIUS)
+        many = alike[at]
+        upto = np.cumsum(many)
+        a = by_code[np.arange(many.sum()) + np.repeat((np.cumsum(alike) - alike)[at] - upto + many, many)]
+        b, distance = np.repeat(query + low, many), np.repeat(distance, many)
+        ok = likely(a, b) & (a < b)
+        a, b, distance = a[ok], b[ok], distance[ok]
+        order = np.lexsort((distance, b))
+        a, b = a[order], b[order]
+        nearest = np.flatnonzero(np.diff(b, prepend=-1))
+        for x, y in zip(a[nearest].tolist(), b[nearest].tolist()):
+            if labels[x] != labels[y]:
+                settle(y, np.array([x]))
+        ok = labels[a] != labels[b]
+        a, b = a[ok], b[ok]
+        for some in np.split(a, np.flatnonzero(np.diff(b)) + 1) if len(a) else []:
+            y = int(b[0])
+            b = b[len(some) :]
+            some = some[labels[some] != labels[y]]
+            if len(some):
+                settle(y, some[sharing(y)[some]])
+
+    # pairs beyond its radius: values in whose lists not everything is joined
     if len(token):
-        heads = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        mixed_lists = np.minimum.reduceat(labels[doc], heads) != np.maximum.reduceat(labels[doc], heads)
-        spans = np.diff(np.concatenate((heads, [len(token)])))
-        left = np.flatnonzero(np.repeat(mixed_lists, spans))
-        head = np.repeat(heads, spans)[left]
-        order = np.argsort(doc[left], kind="stable")
-        left, head = left[order], head[order]
-        bounds = np.flatnonzero(np.diff(doc[left])) + 1
-        for low, high in zip([0, *bounds.tolist()], [*bounds.tolist(), len(left)] if len(left) else []):
-            b = int(doc[left[low]])
-            if b < old:
-                continue
-            seen = np.zeros(n, bool)
-            for x, y in zip(head[low:high].tolist(), left[low:high].tolist()):
-                seen[doc[x:y]] = True
-            others = np.flatnonzero(seen)
-            others = others[likely(others, np.full(len(others), b))]
-            if len(others):
-                for a in check(b, others).tolist():
-                    if labels[a] != labels[b]:
-                        join(a, b)
+        starts_of = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        mixed_lists = np.minimum.reduceat(labels[doc], starts_of) != np.maximum.reduceat(labels[doc], starts_of)
+        left = np.repeat(mixed_lists, np.diff(np.concatenate((starts_of, [len(token)]))))
+        for b in np.unique(doc[left]).tolist():
+            if b >= old:
+                others = np.flatnonzero(sharing(b)[:b])
+                others = others[likely(others, np.full(len(others), b))]
+                settle(b, others[np.bitwise_count(codes[others] ^ codes[b]) > WIDE_RADIUS])
     return links
 
 
@@ -373,7 +420,7 @@ class _Tree:
     def __init__(self, similarity: float):
         self.similarity, self.members, self.visitors, self.labels, self.links = similarity, [], [], None, []
 
-    def add(self, visits: bool, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    def add(self, visits: bool, rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> None:
         (self.visitors if visits else self.members).append(rows)
         if visits and (sum(len(x[0]) for x in self.visitors) >= TREE_CODES or sum(len(x[2]) for x in self.visitors) >= TREE_SHINGLES):
             self.look()
@@ -393,9 +440,9 @@ class _Tree:
             self.labels, self.visitors = labels[:old], []
 
     def _link(self, rows, labels: np.ndarray, old: int) -> None:
-        node, sizes, values = (np.concatenate(x) for x in zip(*rows))
+        node, sizes, values, codes = (np.concatenate(x) for x in zip(*rows))
         if len(node) > 1:
-            self.links += [(node[a], node[b]) for a, b in similar_forest(values, sizes, self.similarity, labels, old)]
+            self.links += [(node[a], node[b]) for a, b in similar_forest(values, sizes, self.similarity, labels, old, codes)]
 
 
 def _checked_links(similarity: float):
@@ -403,7 +450,8 @@ def _checked_links(similarity: float):
     def run(batches):
         tree, last, links = None, None, []
         for batch in batches:
-            key, number, part, node = (batch.column(n).to_numpy() for n in ("key", "tree", "part", "content"))
+            key, number, part, node, code = (batch.column(n).to_numpy() for n in ("key", "tree", "part", "content", "code"))
+            code = code.view(np.uint64)
             offsets, values = batch.column("shingles").offsets.to_numpy().astype(np.int64), batch.column("shingles").values.to_numpy()
             visits = part != number
             bounds = np.flatnonzero((key[1:] != key[:-1]) | (number[1:] != number[:-1]) | (visits[1:] != visits[:-1])) + 1
@@ -414,7 +462,7 @@ def _checked_links(similarity: float):
                         tree.look()
                         links += tree.links
                     tree, last = _Tree(similarity), here
-                tree.add(bool(visits[low]), (node[low:high], np.diff(offsets[low : high + 1]), values[offsets[low] : offsets[high]]))
+                tree.add(bool(visits[low]), (node[low:high], np.diff(offsets[low : high + 1]), values[offsets[low] : offsets[high]], code[low:high]))
             if len(links) >= 1 << 12:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], ["a", "b"])
                 links = []
@@ -430,7 +478,7 @@ def _checked_links(similarity: float):
 def similar_links(docs: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links (a, b) of texts that share a ``key``, which join them as all pairs of the similarity do.
 
-    ``docs``: content (long), _text; ``keyed``: key (long), content (long), shingles (size of the set). Keys
+    ``docs``: content (long), _text; ``keyed``: key, content, code (longs), shingles (size of the set). Keys
     with one text are dropped, and of keys with the same texts one stays. A key with more than ``TREE_CODES``
     texts or ``TREE_SHINGLES`` shingles is cut into trees by the content; a text visits its own tree and the later ones.
     """
@@ -440,9 +488,10 @@ def similar_links(docs: DataFrame, keyed: DataFrame, words: int, similarity: flo
     sizes = sizes.filter("_n > 1").groupBy("_n", "_shingles", "_x", "_y").agg(F.min("key").alias("key")).select("key", trees.alias("_trees"))
     placed = keyed.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("content"), F.col("_trees")).cast("int"))
     visits = placed.withColumn("tree", F.explode(F.sequence("part", F.col("_trees") - 1)))
-    visits = visits.groupBy("content").agg(F.collect_list(F.struct("key", "tree", "part")).alias("visits"))
+    visits = visits.groupBy("content", "code").agg(F.collect_list(F.struct("key", "tree", "part")).alias("visits"))
     texts = docs.groupBy("content").agg(F.first("_text").alias("_text"))
-    sets = texts.join(visits, "content").select("content", "_text", "visits").mapInArrow(_visiting_sets(words), "key long, tree int, part int, content long, shingles array<long>")
+    sets = (texts.join(visits, "content").select("content", "code", "_text", "visits")
+            .mapInArrow(_visiting_sets(words), "key long, tree int, part int, content long, code long, shingles array<long>"))
     # a check costs more than its bytes say, so these tasks must not be merged by size
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (sets.repartition(tasks, "key", "tree").sortWithinPartitions("key", "tree", F.col("part") != F.col("tree"), "content")
@@ -453,9 +502,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each group of near-duplicates: the one with the smallest id.
 
     Groups are components of links between equal texts and between texts whose sets of ``words``-word shingles
-    (A-Z folded) have a Jaccard similarity of ``similarity`` or more. Candidates share one of ``MINIMA``
-    smallest shingle hashes; all of a shard's candidates are decided on the whole sets before any link is left
-    out. A null text is empty; texts without words are equal to each other. A null id counts as larger than any
+    (A-Z folded) have a Jaccard similarity of ``similarity`` or more. Each set has a SimHash fingerprint; candidates
+    are in one component of fingerprints 3 bits apart (``near_components``), or share one of ``MINIMA`` smallest shingle
+    hashes. Each such shard has a BK-tree over its fingerprints, and all that it finds, then what lies beyond its radius,
+    is decided on the whole sets before any link is left out (see ``similar_forest``). A null text is empty; texts without words are equal to each other. A null id counts as larger than any
     other, and of rows equal in id and text one stays. All columns stay, whatever their names. Texts are told apart by a
     64-bit hash alone: two texts of one hash count as equal, which at n distinct texts is expected n * n / 2 ** 65 times.
     """
@@ -464,10 +514,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     content = F.xxhash64(text)
     path = scratch_path(spark, "sketches")
     (docs.select(F.col(f"`{id_col}`").alias("_id"), content.alias("content"), text.alias("_text"))
-     .mapInArrow(_sketches(words), f"_id {kind}, content long, shingles long, minima array<long>").write.parquet(path))
+     .mapInArrow(_sketches(words), f"_id {kind}, content long, code long, shingles long, minima array<long>").write.parquet(path))
     first = F.struct(F.col("_id").isNull().alias("_null"), "_id")
-    alone = spark.read.parquet(path).groupBy("content").agg(F.min(first).alias("_first"), F.first("shingles").alias("shingles"), F.first("minima").alias("minima"))
-    keyed = alone.select("content", "shingles", F.posexplode("minima")).select(F.xxhash64("pos", "col").alias("key"), "content", "shingles")
+    alone = spark.read.parquet(path).groupBy("content").agg(F.min(first).alias("_first"), *[F.first(c).alias(c) for c in ("code", "shingles", "minima")])
+    path = scratch_path(spark, "near-codes")
+    near_components(alone.select("content", "code"), "content").write.parquet(path)
+    close = spark.read.parquet(path).select("content", F.xxhash64(F.lit("codes"), "component").alias("key")).join(alone, "content")
+    keyed = alone.select("*", F.posexplode("minima")).withColumn("key", F.xxhash64("pos", "col"))
+    keyed = keyed.select("key", "content", "code", "shingles").unionByName(close.select("key", "content", "code", "shingles"))
     path = scratch_path(spark, "near-links")
     similar_links(docs.select(content.alias("content"), text.alias("_text")), keyed, words, similarity).write.parquet(path)
     found = connected_components(spark.read.parquet(path)).withColumnRenamed("node", "content")

@@ -150,3 +150,44 @@ def test_repeated_phrases_do_not_part_equal_sets(docs, prose):
     texts = [x for t in prose(20, seed=13, words=805) for x in (t, " ".join(t.split() + t.split()[-5:] * 37))]
     assert stays(texts) == list(range(0, 40, 2))
     assert sorted(x.doc_id for x in simhash.drop_near_duplicates(docs(texts)).collect()) == stays(texts)
+
+
+def test_similar_sets_are_found_in_the_tree_and_those_beyond_it_after_it(monkeypatch):
+    r, found, search = random.Random(14), set(), simhash.search_tree
+
+    def seen(codes, child, queries, radius):
+        q, at, distance = search(codes, child, queries, radius)
+        found.update(zip(queries[q].tolist(), codes[at].tolist()))
+        return q, at, distance
+
+    monkeypatch.setattr(simhash, "search_tree", seen)
+    sets = []
+    for _ in range(6):
+        base = [r.getrandbits(63) for _ in range(100)]
+        for _ in range(20):
+            changed, at = r.randrange(14), r.randrange(100)
+            sets.append(sorted({r.getrandbits(63) if (i - at) % 100 < changed else v for i, v in enumerate(base)}))
+    values, sizes = np.array([v for s in sets for v in s], np.int64), np.array([len(s) for s in sets])
+    want = groups(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(set(sets[a]) & set(sets[b])) >= 0.8 * len({*sets[a], *sets[b]})])
+    codes = [simhash.simhash(np.array(s, np.uint64)) for s in sets]
+    links = simhash.similar_forest(values, sizes, 0.8, np.arange(len(sets)))
+    assert groups(len(sets), links) == want
+    near = [(a, b) for a, b in links if (codes[a] ^ codes[b]).bit_count() <= simhash.WIDE_RADIUS]
+    assert near and all((codes[max(x)], codes[min(x)]) in found for x in near)
+    far = np.array([r.getrandbits(64) for _ in sets], np.uint64)
+    old = 50
+    assert groups(len(sets), simhash.similar_forest(values, sizes, 0.8, np.arange(len(sets)), 0, far)) == want
+    for c in (np.array(codes, np.uint64), far):
+        inside = [simhash.similar_forest(values[a:b], sizes[x:y], 0.8, np.arange(y - x), 0, c[x:y]) for x, y, a, b in ((0, old, 0, sizes[:old].sum()), (old, len(sets), sizes[:old].sum(), None))]
+        across = simhash.similar_forest(values, sizes, 0.8, np.arange(len(sets)), old, c)
+        assert groups(len(sets), inside[0] + [(a + old, b + old) for a, b in inside[1]] + across) == want
+
+
+def test_fingerprints_near_each_other_are_a_shard_of_their_own(docs, prose, monkeypatch):
+    """Without any shared minimum, texts whose fingerprints the operator links are still compared on the whole sets."""
+    monkeypatch.setattr(simhash, "MINIMA", 0)  # sent with the plan, so tasks see it too
+    texts = [x for t in prose(10, seed=15, words=805) for x in (t, t + " end")]
+    assert stays(texts) == list(range(0, 20, 2))
+    codes = [simhash.simhash(np.unique(simhash.shingle_hashes(t, 5))) for t in texts]
+    assert all((a ^ b).bit_count() <= 3 for a, b in zip(codes[::2], codes[1::2]))
+    assert sorted(x.doc_id for x in simhash.drop_near_duplicates(docs(texts)).collect()) == stays(texts)
